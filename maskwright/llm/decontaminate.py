@@ -65,8 +65,8 @@ def _places(texts: DataFrame, sizes: list[int]) -> DataFrame:
     for n in sizes:
         w = F.col("words")
         hashes = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), partial(_hash, w, n)))
-        # The array is a column of its own, so that the rows below only point at it.
-        part = texts.withColumn("_h", hashes).select("key", "words", F.posexplode("_h").alias("at", "hash")).withColumn("size", F.lit(n))
+        # The outer form: the plain one filters by the array's size first, which would work it out anew for each shingle.
+        part = texts.withColumn("_h", hashes).select("key", "words", F.posexplode_outer("_h").alias("at", "hash")).where("hash is not null").withColumn("size", F.lit(n))
         out = part if out is None else out.union(part)
     return out
 
