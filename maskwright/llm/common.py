@@ -39,6 +39,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Texts may be long: Arrow batches of few rows and bytes keep the Python workers of an executor small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once (a lambda variable stands for it)."""
     return F.transform(F.array(value), body)[0]

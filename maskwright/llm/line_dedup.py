@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, materialize, texts_of
+from .common import SPACE_BYTES, materialize, small_batches, texts_of
 
 CHUNK = 1 << 16  # bytes of a filter that travel together
 MOST_BITS = 1 << 28  # 32 MB a filter, whatever the input
@@ -119,6 +119,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
     lines of that key). n_lines counts the lines before, n_dropped those that went.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bits = 1 << 16
     rows = docs.count()
     while bits < min(MOST_BITS, rows * BITS_PER_DOC):
