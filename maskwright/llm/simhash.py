@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, texts_of
+from .common import connected_components, materialize, small_batches, texts_of
 
 SEGMENTS = 16
 SEED = 42
@@ -55,6 +55,7 @@ def _fingerprints(texts: list[bytes], n: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns and the 64-bit `fp` (as a signed long) of each row's text."""
     keep = tuple(keep)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

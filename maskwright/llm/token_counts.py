@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import small_batches, utf8
 
 #: A run of spaces with what follows it up to the next space or line feed, or a line feed.
 PRE_TOKEN = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -93,5 +93,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 n += counter.counts([t or "" for t in column.slice(start, 256).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     return docs.select("doc_id", "text").mapInArrow(count, schema)
