@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash, token_counts
+from . import decontaminate, language_id, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity
 from .common import table
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -42,18 +42,33 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.split_of(4) == 2
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, training=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.split_of(5) == 0
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 OP3_SQL = r"""
