@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity
+from . import decontaminate, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -23,6 +23,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
@@ -84,6 +90,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM flagged GROUP BY r, doc_id
 """
 
+OP4_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+repeated AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM windows JOIN repeated USING (k)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs),
+kept AS (SELECT x.r, string_agg(x.word, ' ' ORDER BY x.j) AS kept FROM words x LEFT JOIN gone g ON x.r = g.r AND x.j = g.j WHERE g.r IS NULL GROUP BY x.r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN n ON d.r = n.r LEFT JOIN kept k ON d.r = k.r
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE rows_ AS (
   SELECT row_number() OVER () AS r, doc_id, source,
@@ -133,4 +151,4 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN hit h ON d.r = h.r LEFT JOIN named m ON d.r = m.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}
