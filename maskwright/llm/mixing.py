@@ -22,10 +22,13 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
 
+def _hash_of():
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text"))), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of each row."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text"))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), h.alias("h"))
+    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _hash_of().alias("h"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
@@ -96,15 +99,32 @@ def thresholds(rows: DataFrame, budgets: DataFrame, levels=LEVELS) -> DataFrame:
     return state.select("source", below.alias("below"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, repeats, taken."""
-    rows = materialize(sized(docs))
+def plan(rows: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
+    """(_s: source, source_size, target, whole: repeats of every document, below: hashes under it get one more)."""
     goal = materialize(targets(rows, weights, most_repeats, share))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_repeats))).otherwise(0)
     goal = goal.withColumn("whole", whole.cast("long"))
     cut = thresholds(rows, goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     goal = goal.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    goal = materialize(goal).withColumnRenamed("source", "_s")
-    repeats = F.least(F.col("whole") + (F.col("h") < F.col("below")).cast("long"), F.lit(most_repeats))
-    out = rows.join(goal, F.col("source").eqNullSafe(F.col("_s")))
-    return out.select("doc_id", "size", "source", "source_size", "target", repeats.cast("long").alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"))
+    return materialize(goal).withColumnRenamed("source", "_s")
+
+
+def _repeats(most_repeats: int):
+    return F.least(F.col("whole") + (F.col("h") < F.col("below")).cast("long"), F.lit(most_repeats)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, repeats, taken."""
+    rows = materialize(sized(docs))
+    goal = plan(rows, weights, most_repeats, share)
+    out = rows.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumn("repeats", _repeats(most_repeats))
+    return out.select("doc_id", "size", "source", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
+    """The rows of docs that the mix takes, with `repeats`: how often (1 to most_repeats)."""
+    goal = plan(materialize(sized(docs)), weights, most_repeats, share)
+    kept = [c for c in docs.columns if c != "repeats"]
+    own = docs.select(F.struct(*kept).alias("_row"), F.col("source").alias("_source"), _hash_of().alias("h"))
+    out = own.join(goal, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("repeats", _repeats(most_repeats))
+    return out.where("repeats > 0").select("_row.*", "repeats")
