@@ -5,6 +5,360 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import text as T
+from ..functions import validators as V
+from ..operators import layout, merge, metrics, redact, refine, resolve, rules
+from ..sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_LINES = "(SELECT doc_id AS page_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents)"
+_BOXES = """(SELECT l_orderkey AS page_id, l_linenumber AS line_no, min(l_partkey) * 37 % 500 AS l, min(l_suppkey) * 53 % 300 AS t,
+  min(l_partkey) * 37 % 500 + 20 + 3 * min(l_quantity)::BIGINT AS r, min(l_suppkey) * 53 % 300 + 20 AS b FROM lineitem GROUP BY 1, 2)"""
+_SPANS = """(SELECT l_orderkey // 4 AS page_id, (l_orderkey % 4)::INT AS line_no, l_returnflag AS kind, l_linenumber AS id, min(l_partkey) % 40 AS start,
+  min(l_partkey) % 40 + 3 + min(l_quantity)::BIGINT % 12 AS "end" FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.document_lines(ingest.table(spark, sf_dir, "documents"))
+
+
+def boxes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes made from the numbers of order lines: a page per order."""
+    x = ingest.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("line_no")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"))
+    l, t = F.col("p") * 37 % 500, F.col("s") * 53 % 300
+    return x.select("page_id", "line_no", l.alias("l"), t.alias("t"), (l + 20 + 3 * F.col("q")).alias("r"), (t + 20).alias("b"))
+
+
+def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans made from the numbers of order lines: a page per four orders, a line per order, the kind from the return flag."""
+    x = ingest.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
+    start = F.col("p") % 40
+    return x.select(F.expr("l_orderkey div 4").alias("page_id"), (F.col("l_orderkey") % 4).cast("int").alias("line_no"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("id"), start.alias("start"), (start + 3 + F.col("q") % 12).alias("end"))
+
+
+def _tokens(spark, sf_dir, rule: str) -> DataFrame:
+    found = rules.matches(lines_of(spark, sf_dir), {r.id: "ON" if r.id == rule else "OFF" for r in rules.CATALOGUE})
+    return found.groupBy("page_id", "line_no", "token").agg(F.count("*").alias("n"))
+
+
+def _tokens_sql(pattern: str, check: str = "true") -> str:
+    return f"""SELECT page_id, line_no, token, count(*) AS n FROM (SELECT page_id, line_no, unnest(regexp_extract_all(text, '{pattern}', 1)) AS token FROM {_LINES}) WHERE {check} GROUP BY ALL"""
+
+
+@query()
+def redact_documents(spark, sf_dir):
+    return redact.redact_documents(ingest.table(spark, sf_dir, "documents"), {"ip": "ON"})
+
+
+@query(f"SELECT page_id, line_no, length(text) AS n_chars FROM {_LINES}")
+def document_lines(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("page_id", "line_no", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT page_id, line_no, 40 + 20 * length(text) AS r, 100 + 40 * line_no AS t FROM {_LINES}")
+def line_boxes(spark, sf_dir):
+    return ingest.with_boxes(lines_of(spark, sf_dir)).select("page_id", "line_no", F.col("r").cast("long").alias("r"), F.col("t").cast("long").alias("t"))
+
+
+@query("""SELECT conv_id AS page_id, turn, role, count(*) AS n_lines, sum(length(line)) AS n_chars
+FROM (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations) GROUP BY ALL""")
+def conversation_lines(spark, sf_dir):
+    return ingest.conversation_lines(ingest.table(spark, sf_dir, "conversations")).groupBy("page_id", "turn", "role").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+_EMAIL = r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24})(?:[^A-Za-z0-9.-]|$)"
+_IP = r"(?:^|[^\w.:])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^\w.:]|$)"
+_IP_OK = "list_bool_and(list_transform(string_split(token, '.'), lambda p: p::INT <= 255 AND (length(p) = 1 OR p NOT LIKE '0%')))"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(d)[i]::INT WHEN reverse(d)[i]::INT > 4 THEN 2 * reverse(d)[i]::INT - 9 ELSE 2 * reverse(d)[i]::INT END)) % 10 = 0"
+
+
+@query(_tokens_sql(_EMAIL, "length(regexp_extract(token, '[A-Za-z]+$')) = 2 OR regexp_extract(token, '[A-Za-z]+$') IN ('com', 'org', 'net')"))
+def email_spans(spark, sf_dir):
+    return _tokens(spark, sf_dir, "email")
+
+
+@query(_tokens_sql(_IP, _IP_OK))
+def ip_spans(spark, sf_dir):
+    return _tokens(spark, sf_dir, "ip")
+
+
+@query(_tokens_sql(r"(?:^|[^0-9-])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9-]|$)", "(SELECT " + _LUHN + " AND d NOT SIMILAR TO '0*' FROM (SELECT regexp_replace(token, '[^0-9]', '', 'g') AS d))"))
+def card_spans(spark, sf_dir):
+    return _tokens(spark, sf_dir, "card")
+
+
+@query(_tokens_sql(r"(?:^|[^0-9A-Za-z])(\+[1-9](?:[ ().-]{0,2}[0-9]){7,14})(?:[^0-9]|$)"))
+def phone_spans(spark, sf_dir):
+    return _tokens(spark, sf_dir, "phone")
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^/\\s][^\\s]*)$', 1) AS path FROM pages WHERE regexp_extract(url, '^https?://[^/]+(/[^/\\s][^\\s]*)$', 1) <> ''")
+def url_paths(spark, sf_dir):
+    """Only the path of an address counts, its host stays."""
+    lines = ingest.table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("line_no"), F.col("url").alias("text"), F.lit(0.95).alias("confidence"))
+    return rules.matches(lines, {r.id: "ON" if r.id == "url" else "OFF" for r in rules.CATALOGUE}).select("page_id", F.col("token").alias("path"))
+
+
+@query("SELECT c_custkey AS page_id, substr(c_name, 10) AS token, 9::INT AS start FROM customer WHERE length(c_name) >= 17")
+def long_numbers(spark, sf_dir):
+    lines = ingest.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit(0).alias("line_no"), F.col("c_name").alias("text"), F.lit(0.95).alias("confidence"))
+    return rules.matches(lines, {"longnum": "ON"}).where("kind = 'LONG_NUMBER'").select("page_id", "token", "start")
+
+
+@query(f"""WITH found AS (SELECT page_id, 'EMAIL' AS kind FROM ({_tokens_sql(_EMAIL)}), (SELECT unnest(range(1)))
+ UNION ALL SELECT page_id, 'IP_ADDR' FROM ({_tokens_sql(_IP, _IP_OK)}))
+SELECT kind, lang, count(*) AS n FROM found JOIN documents ON page_id = doc_id GROUP BY ROLLUP (kind, lang)""")
+def kind_counts_rollup(spark, sf_dir):
+    both = _tokens(spark, sf_dir, "email").withColumn("kind", F.lit("EMAIL")).unionByName(_tokens(spark, sf_dir, "ip").withColumn("kind", F.lit("IP_ADDR")))
+    langs = ingest.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang")
+    return metrics.kind_counts(both.join(langs, "page_id"), "lang").drop("level")
+
+
+@query(f"""SELECT o_orderkey, {_LUHN.replace('d)', "luhn)").replace('reverse(d', 'reverse(luhn')} AS luhn_ok,
+ list_sum(list_transform(range(1, 18), lambda i: cn[i]::INT * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 = 2 AS cn_ok,
+ NOT (ssn LIKE '000%' OR ssn LIKE '666%' OR ssn LIKE '9%' OR ssn LIKE '%-00-%' OR ssn LIKE '%-0000') AS ssn_ok,
+ (list_sum(list_transform(range(1, 10), lambda i: luhn[i + 7]::INT * [7, 3, 1][(i - 1) % 3 + 1])) % 10)::INT AS mrz
+FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + 4000000000000000)::VARCHAR, 16, '4') AS luhn, lpad((o_orderkey * 104729)::VARCHAR, 17, '1') || 'X' AS cn,
+ substr(lpad((o_orderkey * 7919)::VARCHAR, 9, '0'), 1, 3) || '-' || substr(lpad((o_orderkey * 7919)::VARCHAR, 9, '0'), 4, 2) || '-' || substr(lpad((o_orderkey * 7919)::VARCHAR, 9, '0'), 6, 4) AS ssn FROM orders)""")
+def checksum_families(spark, sf_dir):
+    k = F.col("o_orderkey")
+    luhn = F.lpad((k * 7919 + 4000000000000000).cast("string"), 16, "4")
+    nine = F.lpad((k * 7919).cast("string"), 9, "0")
+    ssn = F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 2), F.substring(nine, 6, 4))
+    cn = F.concat(F.lpad((k * 104729).cast("string"), 17, "1"), F.lit("X"))
+    out = ingest.table(spark, sf_dir, "orders").select("o_orderkey", luhn.alias("luhn"), cn.alias("cn"), ssn.alias("ssn"))
+    return out.select("o_orderkey", V.luhn(F.col("luhn")).alias("luhn_ok"), V.cn_id(F.col("cn")).alias("cn_ok"), V.ssn(F.col("ssn")).alias("ssn_ok"), V.mrz_check(F.substring("luhn", 8, 9)).cast("int").alias("mrz"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[0-9a-f]{{16,40}}')) AS token FROM documents))
+SELECT token, round(-(SELECT sum(n * 1.0 / length(token) * log2(n * 1.0 / length(token))) FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(token, '')) AS c) WHERE c <> '' GROUP BY c)), 6) AS bits FROM t""")
+def entropy_tokens(spark, sf_dir):
+    text = ingest.table(spark, sf_dir, "documents").select(F.explode_outer(F.regexp_extract_all("text", F.lit("[0-9a-f]{16,40}"), F.lit(0))).alias("token"))
+    return text.where("token is not null").distinct().select("token", F.round(V.entropy(F.col("token")), 6).alias("bits"))
+
+
+@query()
+def priority_resolution(spark, sf_dir):
+    return resolve.by_priority(spans_of(spark, sf_dir), ["kind", "id", "start"])
+
+
+@query(f"""SELECT a.* FROM {_SPANS} a WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} b WHERE a.page_id = b.page_id AND a.line_no = b.line_no AND a.start < b."end" AND b.start < a."end"
+ AND ((a.kind = 'N' AND b.kind IN ('A', 'R')) OR (a.kind = 'R' AND b.kind = 'A')))""")
+def yield_anti_join(spark, sf_dir):
+    pairs = spark.createDataFrame([("N", "A"), ("N", "R"), ("R", "A")], "kind string, to string")
+    return resolve.giving_way(spans_of(spark, sf_dir), pairs)
+
+
+@query(f"""SELECT g.* FROM {_SPANS} g WHERE g.kind = 'N' AND EXISTS (SELECT 1 FROM {_SPANS} a WHERE a.kind = 'A' AND a.page_id = g.page_id AND abs(a.line_no - g.line_no) <= 1
+ AND NOT (a.line_no = g.line_no AND g.start < a."end" AND a.start < g."end"))""")
+def anchor_semi_join(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    return resolve.anchored(spans.where("kind = 'N'"), spans.where("kind = 'A'"))
+
+
+@query(f"""SELECT page_id, line_no, token, n FROM ({_tokens_sql(_EMAIL)}) WHERE page_id IN (SELECT doc_id FROM documents WHERE text LIKE '%Licen%') AND page_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%password%')""")
+def page_cue_filter(spark, sf_dir):
+    return resolve.on_page_with(_tokens(spark, sf_dir, "email"), lines_of(spark, sf_dir), "Licen", "password")
+
+
+@query("""WITH x AS (SELECT DISTINCT conv_id AS page_id, turn AS line_no, unnest(regexp_extract_all(text, '[^ .,\n]{9,}')) AS value FROM conversations)
+SELECT DISTINCT c.page_id, c.line_no::BIGINT AS line_no, c.value FROM x c JOIN x s ON c.page_id = s.page_id AND c.value = s.value AND c.line_no <> s.line_no""")
+def value_echo(spark, sf_dir):
+    turns = ingest.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line_no"), "text")
+    seeds = turns.select("page_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^ .,\n]{9,}"), F.lit(0)))).alias("value"))
+    return resolve.value_echo(seeds, turns, "[^ .,\n]{9,}")
+
+
+_PAIRS = f"{_BOXES} x JOIN {_BOXES} y ON x.page_id = y.page_id"
+_ROW = "(least(x.b, y.b) - greatest(x.t, y.t)) / least(x.b - x.t, y.b - y.t)::DOUBLE"
+
+
+@query(f"""SELECT page_id, line_no, right_no FROM (SELECT x.page_id, x.line_no, y.line_no AS right_no, row_number() OVER (PARTITION BY x.page_id, x.line_no ORDER BY y.l - x.r, y.line_no) AS n
+ FROM {_PAIRS} WHERE y.l >= x.r AND y.l - x.r <= 10 * (x.b - x.t) AND {_ROW} >= 0.5) WHERE n = 1""")
+def nearest_right(spark, sf_dir):
+    return layout.nearest_right(boxes_of(spark, sf_dir))
+
+
+@query(f"""SELECT page_id, line_no, below_no FROM (SELECT x.page_id, x.line_no, y.line_no AS below_no, row_number() OVER (PARTITION BY x.page_id, x.line_no ORDER BY y.t - x.b, y.line_no) AS n
+ FROM {_PAIRS} WHERE y.t >= x.b AND y.t - x.b <= 1.5 * (x.b - x.t) AND least(x.r, y.r) > greatest(x.l, y.l)) WHERE n = 1""")
+def nearest_below(spark, sf_dir):
+    return layout.nearest_below(boxes_of(spark, sf_dir))
+
+
+@query(f"""SELECT page_id, line_no, wrap_no FROM (SELECT x.page_id, x.line_no, y.line_no AS wrap_no, row_number() OVER (PARTITION BY x.page_id, x.line_no ORDER BY y.t, y.line_no) AS n
+ FROM {_PAIRS} WHERE x.line_no <> y.line_no AND y.t > x.t AND y.t - x.b <= x.b - x.t AND y.l - x.l BETWEEN -3 * (x.b - x.t) AND x.b - x.t) WHERE n = 1""")
+def wrap_of(spark, sf_dir):
+    return layout.wrap_of(boxes_of(spark, sf_dir))
+
+
+@query(f"""SELECT x.* FROM {_BOXES} x WHERE x.line_no % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {_BOXES} y WHERE x.page_id = y.page_id AND x.line_no <> y.line_no AND y.t - x.b < 1.5 * (x.b - x.t) AND x.t - y.b < 1.5 * (x.b - x.t))""")
+def lone_lines(spark, sf_dir):
+    named = boxes_of(spark, sf_dir).withColumn("text", F.when(F.col("line_no") % 2 == 0, "even").otherwise("odd"))
+    return layout.lone(named, "even").drop("text")
+
+
+@query(f"""SELECT page_id, line_no, sum(n) OVER (PARTITION BY page_id ORDER BY t, l, line_no) AS "row" FROM (SELECT *, coalesce(((least(b, lag(b) OVER w) - greatest(t, lag(t) OVER w)) / least(b - t, lag(b) OVER w - lag(t) OVER w)::DOUBLE <= 0.5)::INT, 0) AS n
+ FROM {_BOXES} WINDOW w AS (PARTITION BY page_id ORDER BY t, l, line_no))""")
+def visual_rows(spark, sf_dir):
+    return layout.rows(boxes_of(spark, sf_dir)).select("page_id", "line_no", "row")
+
+
+@query(f"SELECT page_id, line_no, row_number() OVER (PARTITION BY page_id ORDER BY floor(t / 10.0), l, line_no) AS pos FROM {_BOXES}")
+def reading_order(spark, sf_dir):
+    return layout.reading_order(boxes_of(spark, sf_dir)).select("page_id", "line_no", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""WITH x AS (SELECT page_id, line_no, CASE WHEN abs(l % 360 - round((l % 360) / 90.0) * 90) <= 25 THEN (round((l % 360) / 90.0)::INT % 4) END AS quarter, r - l AS len FROM {_BOXES}),
+s AS (SELECT page_id, quarter, sum(len) AS len, count(*) AS n FROM x WHERE quarter IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, first_value(quarter) OVER (PARTITION BY page_id ORDER BY len DESC, quarter) AS main, sum(len) OVER (PARTITION BY page_id) AS total FROM s)
+SELECT x.page_id, x.line_no, x.quarter, CASE WHEN n >= 3 AND m.len >= 0.15 * total THEN m.quarter ELSE main END AS "group" FROM x LEFT JOIN m ON x.page_id = m.page_id AND x.quarter = m.quarter""")
+def orientation_groups(spark, sf_dir):
+    lines = boxes_of(spark, sf_dir).select("page_id", "line_no", (F.col("l") % 360).alias("degrees"), (F.col("r") - F.col("l")).alias("length"))
+    return layout.orientation_groups(lines).select("page_id", "line_no", "quarter", "group")
+
+
+@query()
+def reading_frames(spark, sf_dir):
+    lines = boxes_of(spark, sf_dir).select("page_id", (F.col("l") % 360).alias("degrees"), (F.col("r") - F.col("l")).alias("length"))
+    return layout.reading_frames(lines)
+
+
+@query(f"SELECT page_id, max(n) AS n FROM (SELECT page_id, count(*) OVER (PARTITION BY page_id ORDER BY l RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM {_BOXES}) GROUP BY 1")
+def largest_cluster(spark, sf_dir):
+    return layout.largest_cluster(boxes_of(spark, sf_dir).select("page_id", F.col("l").alias("v")), 60)
+
+
+def candidates_of(spark, sf_dir):
+    x = boxes_of(spark, sf_dir)
+    return x.select("page_id", F.concat(F.lit("c"), F.col("line_no").cast("string")).alias("id"), F.when(F.col("line_no") % 3 == 0, "EMAIL").otherwise("PHONE").alias("kind"),
+        F.when(F.col("line_no") % 4 == 0, "LLM").when(F.col("line_no") % 5 == 0, "MANUAL").otherwise("RULE").alias("source"), (F.col("line_no") % 7 / 10.0).alias("confidence"), (F.col("l") % 2 == 0).alias("enabled"), *[F.col(c).cast("double").alias(c) for c in "ltrb"])
+
+
+_CANDIDATES = f"""(SELECT page_id, 'c' || line_no AS id, CASE WHEN line_no % 3 = 0 THEN 'EMAIL' ELSE 'PHONE' END AS kind, CASE WHEN line_no % 4 = 0 THEN 'LLM' WHEN line_no % 5 = 0 THEN 'MANUAL' ELSE 'RULE' END AS source,
+ (line_no % 7) / 10.0::DOUBLE AS confidence, l % 2 = 0 AS enabled, l::DOUBLE AS l, t::DOUBLE AS t, r::DOUBLE AS r, b::DOUBLE AS b, line_no FROM {_BOXES})"""
+
+
+@query()
+def dedupe_candidates(spark, sf_dir):
+    return merge.dedupe(candidates_of(spark, sf_dir))
+
+
+@query(f"""WITH x AS (SELECT *, floor((t + b) / 2 / greatest(b - t, 1)) AS band FROM {_CANDIDATES}),
+m AS (SELECT *, coalesce((abs(t + b - lag(t) OVER w - lag(b) OVER w) / 2 > 0.5 * greatest(b - t, lag(b) OVER w - lag(t) OVER w) OR l - lag(r) OVER w >= 0.5 * greatest(b - t, lag(b) OVER w - lag(t) OVER w)), true)::INT AS n
+ FROM x WINDOW w AS (PARTITION BY page_id, kind, band ORDER BY l, id)), i AS (SELECT *, sum(n) OVER (PARTITION BY page_id, kind, band ORDER BY l, id) AS island FROM m)
+SELECT page_id, kind, string_agg(id, '+' ORDER BY l, id) AS id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, max(confidence) AS confidence, bool_or(enabled) AS enabled FROM i GROUP BY page_id, kind, band, island""")
+def join_adjacent(spark, sf_dir):
+    return merge.join_adjacent(candidates_of(spark, sf_dir))
+
+
+@query(f"""SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY source = 'MANUAL', CASE WHEN source <> 'MANUAL' THEN -(r - l) * (b - t) END NULLS FIRST, line_no) AS draw FROM {_CANDIDATES}""")
+def drawing_order(spark, sf_dir):
+    return merge.drawing_order(candidates_of(spark, sf_dir).withColumn("ord", F.substring("id", 2, 9).cast("int"))).select("page_id", "id", F.col("draw").cast("long").alias("draw"))
+
+
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY (r - l) * (b - t) DESC, id) AS ord, id AS candidate_id, kind, source FROM {_CANDIDATES} WHERE enabled")
+def mask_plan(spark, sf_dir):
+    return merge.mask_plan(candidates_of(spark, sf_dir)).select("page_id", F.col("ord").cast("long").alias("ord"), "candidate_id", "kind", "source")
+
+
+@query(f"""WITH c AS (SELECT page_id, unnest(range(4)) AS k FROM (SELECT DISTINCT page_id FROM {_BOXES})), k AS (SELECT page_id, k AS corner, (k % 2) * 400 AS l, (k // 2) * 250 AS t FROM c)
+SELECT k.page_id, coalesce(min(corner) FILTER (NOT EXISTS (SELECT 1 FROM {_BOXES} m WHERE m.page_id = k.page_id AND k.l < m.r AND m.l < k.l + 100 AND k.t < m.b AND m.t < k.t + 50)), -1)::INT AS corner FROM k GROUP BY 1""")
+def free_corner(spark, sf_dir):
+    boxes = boxes_of(spark, sf_dir)
+    k = boxes.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("corner"))
+    l, t = F.col("corner") % 2 * 400, F.floor(F.col("corner") / 2) * 250
+    return merge.free_corner(boxes, k.select("page_id", "corner", l.alias("l"), t.alias("t"), (l + 100).alias("r"), (t + 50).alias("b")))
+
+
+@query("""SELECT page_id, line_no, min(i) AS first, max(i) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY page_id, line_no ORDER BY i) AS g FROM (SELECT DISTINCT l_orderkey AS page_id, l_suppkey % 2 AS line_no, l_linenumber AS i FROM lineitem)) GROUP BY page_id, line_no, g""")
+def glyph_runs(spark, sf_dir):
+    x = ingest.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_suppkey") % 2).alias("line_no"), F.col("l_linenumber").alias("i")).distinct()
+    return merge.runs_of(x)
+
+
+@query("""WITH s AS (SELECT user_id AS seq_id, event_id // 4 AS step, event_id % 4 AS cls, value AS p FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY seq_id, step ORDER BY p DESC, cls) AS n FROM s),
+r AS (SELECT *, coalesce((cls <> lag(cls) OVER (PARTITION BY seq_id ORDER BY step))::INT, 1) AS new FROM m WHERE n = 1), g AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY step) AS run FROM r)
+SELECT seq_id, cls, min(step) AS first, max(step) AS last, round(avg(p), 6) AS p FROM g WHERE cls <> 0 GROUP BY seq_id, run, cls""")
+def ctc_collapse(spark, sf_dir):
+    steps = ingest.table(spark, sf_dir, "events").select(F.col("user_id").alias("seq_id"), F.expr("event_id div 4").alias("step"), (F.col("event_id") % 4).alias("cls"), F.col("value").alias("p"))
+    return merge.ctc_decode(steps).withColumn("p", F.round("p", 6))
+
+
+@query("SELECT user_id, number FROM (SELECT user_id, event_id AS number, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
+def newest_runs(spark, sf_dir):
+    return merge.newest(ingest.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("number")), ["user_id"])
+
+
+@query()
+def undo_states(spark, sf_dir):
+    steps = ingest.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "error", "UNDO").otherwise("PUSH").alias("op"), F.col("event_type").alias("state"))
+    return merge.undo_stack(steps)
+
+
+_MEET = """f.page_id = t.page_id AND f.line_no = t.line_no AND f.start < t."end" AND t.start < f."end" """
+
+
+@query(f"""WITH f AS (SELECT * FROM {_SPANS} WHERE kind <> 'A'), t AS (SELECT * FROM {_SPANS} WHERE kind = 'A'),
+n AS (SELECT (SELECT count(*) FROM t) AS truths, (SELECT count(*) FROM f WHERE id % 2 = 0) AS masks, (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM f WHERE {_MEET})) AS outlined,
+ (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM f WHERE id % 2 = 0 AND {_MEET})) AS masked, (SELECT count(*) FROM f WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM t WHERE {_MEET})) AS "right")
+SELECT outlined / truths AS outline_rate, masked / truths AS masked_recall, "right" / masks AS precision FROM n""")
+def precision_recall(spark, sf_dir):
+    spans = spans_of(spark, sf_dir).withColumn("page_id", F.concat_ws(":", "page_id", "line_no"))
+    found = spans.where("kind <> 'A'").withColumn("kind", F.lit("X")).withColumn("enabled", F.col("id") % 2 == 0)
+    return metrics.precision_recall(found, spans.where("kind = 'A'").withColumn("kind", F.lit("X")))
+
+
+@query(f"""WITH s AS (SELECT * FROM {_SPANS}) SELECT kind, count(*) AS wanted, count(*) FILTER (EXISTS (SELECT 1 FROM s f WHERE f.page_id = t.page_id AND f.line_no = t.line_no AND f.id % 2 = 0
+ AND least(f."end", t."end") - greatest(f.start, t.start) >= 0.5 * (t."end" - t.start) AND f."end" - f.start <= 2 * (t."end" - t.start))) AS hit FROM s t WHERE id % 2 = 1 GROUP BY kind""")
+def recall_by_kind(spark, sf_dir):
+    spans = spans_of(spark, sf_dir).withColumn("page_id", F.concat_ws(":", "page_id", "line_no"))
+    return metrics.recall_by_kind(spans.where("id % 2 = 0"), spans.where("id % 2 = 1"))
+
+
+@query("""SELECT source AS theme, count(*) AS n, sum((substr(text, 1, 30) = lower(substr(text, 1, 30)))::INT)::BIGINT AS exact, round(sum(levenshtein(substr(text, 1, 30), lower(substr(text, 1, 30)))) / sum(length(substr(text, 1, 30)))::DOUBLE, 6) AS cer
+FROM documents WHERE regexp_matches(text, '^[ -~]{30}') GROUP BY 1""")
+def reading_errors(spark, sf_dir):
+    """Error rates by theme; the reading is the text in lower case. Only plain ASCII beginnings, as engines measure others in bytes."""
+    head = ingest.table(spark, sf_dir, "documents").where(F.col("text").rlike("^[ -~]{30}")).select(F.col("source").alias("theme"), F.substring("text", 1, 30).alias("truth"), F.lower(F.substring("text", 1, 30)).alias("read"))
+    return metrics.character_error_rate(head, ["theme"]).withColumn("cer", F.round("cer", 6))
+
+
+@query()
+def prompt_chunks(spark, sf_dir):
+    return refine.chunks(lines_of(spark, sf_dir))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT page_id, 'EMAIL' AS kind, token AS quote FROM ({_tokens_sql(_EMAIL)})), l AS (SELECT * FROM {_LINES})
+SELECT l.page_id, l.line_no::INT AS line_no, kind, (instr(l.text, quote) - 1)::INT AS start FROM q JOIN l ON q.page_id = l.page_id AND contains(l.text, quote)""")
+def reply_quotes(spark, sf_dir):
+    """A reply that quotes each document's e-mail addresses, parsed and found again in its lines."""
+    reply = _tokens(spark, sf_dir, "email").groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("email|\""), "token", F.lit("\"")))), "\n").alias("reply"))
+    return refine.located(refine.parsed(reply), lines_of(spark, sf_dir)).groupBy("page_id", "line_no", "kind", F.col("end") - F.col("start")).agg(F.min("start").alias("start")).select("page_id", "line_no", "kind", F.col("start").cast("int").alias("start"))
+
+
+@query("SELECT doc_id, round(CASE WHEN h + l > 0 THEN h / (h + l)::DOUBLE ELSE 0 END, 6) AS han FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS h, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents)")
+def han_route(spark, sf_dir):
+    return ingest.table(spark, sf_dir, "documents").select("doc_id", F.round(T.han_ratio(F.col("text")), 6).alias("han"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE)::INT AS n FROM events), s AS (SELECT *, sum(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m)
+SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf_dir):
+    from ..streaming.stream import user_sessions as sessions
+
+    return sessions(ingest.table(spark, sf_dir, "events")).select("user_id", "n", "start")
