@@ -24,7 +24,7 @@ def chunks(lines: DataFrame, budget: int = BUDGET) -> DataFrame:
         return pd.DataFrame(out, columns=["page_id", "chunk", "line_no", "n", "text"])
 
     usable = lines.where((F.col("confidence") >= 0.5) & (F.regexp_count("text", F.lit(r"[\p{L}0-9]")) >= 2))
-    schema = lines.select("page_id").schema.add("chunk", "int").add("line_no", lines.schema["line_no"].dataType).add("n", "int").add("text", "string")
+    schema = lines.select("page_id").schema.add("chunk", "integer").add("line_no", lines.schema["line_no"].dataType).add("n", "integer").add("text", "string")
     return usable.select("page_id", "line_no", "text").groupBy("page_id").applyInPandas(pack, schema)
 
 
