@@ -6,9 +6,11 @@ immutable run, a table of (fingerprint, n) sorted by fingerprint, n being the nu
 is merge-joined with the runs before it; a fingerprint that now has two places or more is a repeat. Runs of the same level
 are compacted into one of the next level, so that a batch meets only a few.
 
-Repeats are verified: every window whose fingerprint may be a repeat (a Bloom filter of bounded size, without misses) is
-hashed as a whole to 64 bits and counted; only windows counted twice or more remove words. Texts are not shuffled but
-for those rows that hold such a window.
+Repeats are verified. Windows of a text that take their fingerprint from one place form a stretch, hashed as a whole. Where
+all places of a repeated fingerprint (found through a Bloom filter of bounded size, without misses) have one and the same
+stretch, as all windows of any stretch with two places, they are repeats. Only where the stretches of a fingerprint differ
+are the windows of one place of each hashed singly to 64 bits and counted; those counted twice or more are repeats too.
+Texts are not shuffled but for those rows that hold a suspected window.
 
 Cases: null texts have no words; texts shorter than a window keep all; windows repeat across and within rows and may
 overlap; repeated rows count as repeats of each other; other columns are ignored.
@@ -245,71 +247,158 @@ def repeated_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     return found.distinct()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept: the words that stay, joined by one space) of each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    repeats = materialize(repeated_fingerprints(docs, window, gram, batches))
-    bits, n = 1 << 16, repeats.count()
-    while bits < min(MOST_BITS, 16 * n):
-        bits *= 2
-    bloom = spark.sparkContext.broadcast(_bloom(repeats, bits))
-    marked_type = docs.select("doc_id").schema.add("n_words", "long").add("kept", "string").add("text", "string").add("starts", "binary").add("windows", "binary")
+class _Filter:
+    """A Bloom filter of fingerprints, of at most MOST_BITS, sent to the executors once."""
+
+    def __init__(self, repeats: DataFrame):
+        bits, n = 1 << 16, repeats.count()
+        while bits < min(MOST_BITS, 16 * n):
+            bits *= 2
+        self.bits, self.sent = bits, repeats.sparkSession.sparkContext.broadcast(_bloom(repeats, bits))
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        seen, hit = np.frombuffer(self.sent.value, np.uint8), np.ones(len(values), bool)
+        for at in _places(values, self.bits):
+            hit &= (seen[at >> 3] >> (at & 7) & 1).astype(bool)
+        return hit
+
+
+def _anchors(texts: _Texts, place: np.ndarray, value: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, fingerprint, hash of the whole stretch) of each stretch of windows that share a place.
+
+    Two windows that share a place overlap, so the hashes of a stretch's first and last one stand for all of its words.
+    """
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate([first, [len(place)]]))
+    start = texts.inside[first]
+    whole = _rolled(texts.hash, window)
+    with np.errstate(over="ignore"):
+        shape = (n * window + place[first] - start).astype(np.uint64)
+        stretch = _mixed((_mixed(whole[start] * _ODD + whole[start + n - 1]) + shape) * _ODD) if len(start) else np.zeros(0, np.uint64)
+    return start, n, value[first], stretch
+
+
+def suspected(docs: DataFrame, repeats: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, n_words, kept, text, row, starts, sizes, fps, stretches): kept where no window is suspected, else the text and
+    its suspected stretches. Written once, so that a row's number stays what it is."""
+    wanted = _Filter(repeats)
+    schema = docs.select("doc_id").schema.add("n_words", "long").add("kept", "string").add("text", "string")
+    for c in ("starts", "sizes", "fps", "stretches"):
+        schema = schema.add(c, "binary")
 
     def mark(it):
-        seen = np.frombuffer(bloom.value, np.uint8)
         for batch in it:
             for part in pieces(batch):
                 texts = _Texts(part.column("text"), window)
-                _, value = texts.fingerprints(gram)
-                hit = np.ones(len(value), bool)
-                for at in _places(value, bits):
-                    hit &= (seen[at >> 3] >> (at & 7) & 1).astype(bool)
-                place = texts.inside[hit]
-                whole = _rolled(texts.hash, window)[place] if len(place) else np.zeros(0, np.uint64)
-                local = (place - texts.first_word[texts.row[place]]).astype(np.int32)
-                cut = np.searchsorted(texts.row[place], np.arange(part.num_rows + 1))
-                kept, open_, starts, windows = [], [], [], []
+                start, n, value, stretch = _anchors(texts, *texts.fingerprints(gram), window)
+                hit = wanted.has(value)
+                start, n, value, stretch = start[hit], n[hit], value[hit], stretch[hit]
+                row = texts.row[start] if len(start) else np.zeros(0, np.int64)
+                local = (start - texts.first_word[row]).astype(np.int32)
+                packed = (local, n.astype(np.uint16), value, stretch)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                kept, open_, own = [], [], [[] for _ in packed]
                 raw = texts.bytes.tobytes()
                 for i, text in enumerate(part.column("text").to_pylist()):
                     a, b = cut[i], cut[i + 1]
                     w, x = texts.first_word[i], texts.first_word[i + 1]
                     kept.append(None if b > a else b" ".join(raw[texts.starts[w] : texts.ends[x - 1]].split()).decode() if x > w else "")
                     open_.append(text if b > a else None)
-                    starts.append(local[a:b].tobytes() if b > a else None)
-                    windows.append(whole[a:b].tobytes() if b > a else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(texts.first_word), pa.int64()), pa.array(kept, pa.string()), pa.array(open_, pa.string()), pa.array(starts, pa.binary()), pa.array(windows, pa.binary())], marked_type.names)
+                    for out, values in zip(own, packed):
+                        out.append(values[a:b].tobytes() if b > a else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(texts.first_word), pa.int64()), pa.array(kept, pa.string()), pa.array(open_, pa.string()), *(pa.array(x, pa.binary()) for x in own)], schema.names)
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(mark, schema).withColumn("row", F.monotonically_increasing_id()))
 
-    marked = docs.select("doc_id", "text").mapInArrow(mark, marked_type).withColumn("row", F.monotonically_increasing_id())
-    # Written once: from here on a row's number stays what it is.
-    marked = materialize(marked)
+
+def _unpacked(marked: DataFrame) -> DataFrame:
+    """(row, start, n, fp, stretch) of each suspected stretch."""
+    kinds = {"starts": np.int32, "sizes": np.uint16, "fps": np.int64, "stretches": np.int64}
 
     def unpack(it):
         for batch in it:
-            for row, starts, windows in zip(*(batch.column(c).to_pylist() for c in ("row", "starts", "windows"))):
-                at, h = np.frombuffer(starts, np.int32), np.frombuffer(windows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(at), pa.array(h)], ["row", "start", "h"])
+            parts = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for c, k in kinds.items()}
+            per = [len(x) // 4 for x in batch.column("starts").to_pylist()]
+            row = np.repeat(batch.column("row").to_numpy(), per)
+            for k in range(0, len(row), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(parts["starts"][part]), pa.array(parts["sizes"][part].astype(np.int32)), pa.array(parts["fps"][part]), pa.array(parts["stretches"][part])], ["row", "start", "n", "fp", "stretch"])
+
+    return marked.where("starts is not null").select("row", *kinds).mapInArrow(unpack, "row long, start int, n int, fp long, stretch long")
+
+
+def _occurrence(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a stretch's place."""
+    with np.errstate(over="ignore"):
+        return _mixed(_mixed(row.astype(np.uint64) * _ODD + np.uint64(1)) + start.astype(np.uint64))
+
 
-    suspects = marked.where("starts is not null").select("row", "starts", "windows").mapInArrow(unpack, "row long, start int, h long")
-    repeated = materialize(suspects.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    places = suspects.join(repeated, "h").groupBy("row").agg(F.collect_list("start").alias("found"))
+def _windows_of(marked: DataFrame, chosen: DataFrame, window: int, gram: int) -> DataFrame:
+    """(row, start, h) of each window within the stretches of chosen(fp: hash of a place), or what seems to be one."""
+    wanted = _Filter(chosen)
+
+    def find(it):
+        for batch in it:
+            for part in pieces(batch):
+                texts = _Texts(part.column("text"), window)
+                start, n, _, _ = _anchors(texts, *texts.fingerprints(gram), window)
+                if not len(start):
+                    continue
+                row = part.column("row").to_numpy()
+                hit = wanted.has(_occurrence(row[texts.row[start]], start - texts.first_word[texts.row[start]]))
+                # The windows of a stretch stand one behind the other.
+                n = n[hit]
+                start = np.repeat(start[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                if len(start):
+                    of = texts.row[start]
+                    whole = _rolled(texts.hash, window)[start]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[of]), pa.array((start - texts.first_word[of]).astype(np.int32)), pa.array(whole.view(np.int64))], ["row", "start", "h"])
+
+    return marked.where("starts is not null").select("row", "text").mapInArrow(find, "row long, start int, h long")
+
+
+def _places_of(chosen: DataFrame) -> DataFrame:
+    """The hash, as fp, of the place of each stretch of chosen(row, start)."""
+
+    def run(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array(_occurrence(batch.column("row").to_numpy(), batch.column("start").to_numpy()).view(np.int64))], ["fp"])
+
+    return chosen.select("row", "start").mapInArrow(run, "fp long")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept: the words that stay, joined by one space) of each row."""
+    small_batches(docs.sparkSession)
+    marked = suspected(docs, materialize(repeated_fingerprints(docs, window, gram, batches)), window, gram)
+    stretches = _unpacked(marked)
+    kinds = materialize(stretches.groupBy("fp", "stretch").agg(F.count("*").alias("places"), F.min(F.struct("row", "start")).alias("first")))
+    # Of a fingerprint with several stretches, one place of each shows its windows; those of single stretches are in doubt.
+    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
+    shown = materialize(_places_of(kinds.join(several, "fp").select("first.*")))
+    whole = stretches.join(kinds.where("places > 1").select("stretch"), "stretch", "left_semi").select("row", "start", "n")
+    windows = materialize(_windows_of(marked, shown, window, gram))
+    repeated = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    single = windows.join(repeated, "h").select("row", "start", F.lit(1).alias("n"))
+    places = whole.union(single).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    places = places.select("row", F.col("found.start").alias("starts"), F.col("found.n").alias("sizes"))
     todo = marked.where("starts is not null").select("doc_id", "n_words", "text", "row").join(places, "row", "left")
     done_type = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def cut_out(it):
         for batch in it:
             kept, gone = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
+            for text, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "sizes"))):
                 words = text.encode().split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                if found:
-                    at = np.array(found)
-                    cover[at] += 1
-                    np.subtract.at(cover, at + window, 1)
+                if starts:
+                    at = np.array(starts)
+                    np.add.at(cover, at, 1)
+                    np.subtract.at(cover, at + np.array(sizes) - 1 + window, 1)
                 stays = np.cumsum(cover[:-1]) == 0
                 kept.append(b" ".join(w for w, s in zip(words, stays.tolist()) if s).decode())
                 gone.append(int((~stays).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], done_type.names)
 
     clean = marked.where("starts is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    return clean.union(todo.select("doc_id", "n_words", "text", "found").mapInArrow(cut_out, done_type))
+    return clean.union(todo.select("doc_id", "n_words", "text", "starts", "sizes").mapInArrow(cut_out, done_type))
