@@ -19,11 +19,17 @@ def test_against_whole_texts(spark):
         assert got[i] == (len((t or "").encode()), n, n > 500), (i, t)
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_counts, "MOST_KNOWN", 3)
-    counter = token_counts.Counter(PATH)
-    first = counter.counts(["a b c d e f", "a b", ""])
-    assert first == counter.counts(["a b c d e f", "a b", ""]) and len(counter.known) <= 6
+@pytest.mark.parametrize("most_sent", [0, 20])
+def test_joined_pre_tokens_count_alike(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(token_counts, "MOST_HELD", 3)
+    rows = docs(spark, mixed())
+    wanted = sorted(token_counts.token_counts(rows, PATH).collect())
+    assert sorted(token_counts.token_counts(rows, PATH, most_sent=most_sent).collect()) == wanted
+
+
+def test_each_distinct_pre_token_is_encoded_once(spark):
+    words = token_counts.vocabulary(docs(spark, ["a b a", "a b", None, "a"]), PATH).collect()
+    assert {r.token: r.n for r in words} == {" a": 4, " b": 2}
 
 
 def test_empty_table(spark):
