@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import materialize, small_batches, utf8
 
@@ -104,7 +105,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, most_sent:
     small_batches(spark)
     words = vocabulary(docs, model_path)
     sent = spark.sparkContext.broadcast(most_frequent(words, most_sent))
-    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("known", "long").add("rest", "array<struct<token:string,n:bigint>>")
+    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("known", "long").add("rest", ArrayType(StructType().add("token", "string").add("n", "long")))
 
     def count(batches):
         pieces = sent.value
