@@ -32,7 +32,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwright-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
