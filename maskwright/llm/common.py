@@ -90,7 +90,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each node's neighbours are linked to the smallest of them, so that the
     number of edges never grows and paths shrink by half. Every round is written to the shared folder. Hubs only meet
-    pre-aggregated minima in a group-by and an equi-join that Spark may split.
+    pre-aggregated minima in a group-by and an equi-join that Spark may split. Ends when all that is left are stars; raises
+    an error if they are not reached in most_rounds.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = materialize(pairs)
@@ -103,9 +104,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lows = down.groupBy("n").agg(F.min("m").alias("lo"))
         small = down.join(lows, "n").select(F.col("lo").alias("a"), F.col("m").alias("b")).union(lows.select(F.col("lo").alias("a"), F.col("n").alias("b")))
         small = materialize(small.where("a < b").distinct())
-        # Stars only, when no centre is also a leaf.
-        if small.select("a").join(small.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            pairs = small
-            break
         pairs = small
+        # Stars only, when no centre is also a leaf and each leaf (edges are distinct) hangs on one centre.
+        centre_is_leaf = small.select("a").join(small.select(F.col("b").alias("a")), "a", "left_semi")
+        if small.groupBy("b").agg(F.count("*").alias("centres")).where("centres > 1").isEmpty() and centre_is_leaf.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"connected components have not converged in {most_rounds} rounds")
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).union(pairs.select("a", F.col("a").alias("component")).distinct())
