@@ -1,10 +1,10 @@
-"""Interpolated Kneser-Ney character models, one per class, counted by Spark and stored in sorted hash arrays.
+"""Interpolated Kneser-Ney character models, one per class, counted by Spark and looked up under full n-gram codes.
 
 Texts are lower-cased, runs of anything but letters become one space, and each symbol takes 12 bits, so that an n-gram of
 up to five symbols is one long. Tasks count the n-grams of their rows; Spark sums them over all rows and derives, order by
-order, continuation counts, discounts, probabilities and backoff weights with group-bys and equi-joins. Each order of each
-class is at last folded to FOLD_BITS bits of a hash: an array of at most 2**FOLD_BITS entries however large the corpus is,
-which bounds what is sent to the executors (of entries that meet, the one with the larger count stays).
+order, continuation counts, discounts, probabilities and backoff weights with group-bys and equi-joins. No n-gram is
+dropped or merged with another. A model of at most MOST_SENT entries is sent to the executors as sorted arrays; a larger one
+stays in Spark, where the distinct n-grams of the texts are joined to it and their values joined back to the texts.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pieces, utf8
 
 BITS = 12
 SYMBOLS = 1 << BITS
-FOLD_BITS = 21
+MOST_SENT = 4_000_000
 SPACE_ID = 32
 
 _tables: dict[str, np.ndarray] = {}
@@ -107,8 +108,8 @@ def ngram_counts(rows: DataFrame, order: int) -> DataFrame:
     return parts.groupBy("cls", "code").agg(F.sum("n").alias("n"))
 
 
-def model_table(counts: DataFrame, order: int, shared: int = 0, fold_bits: int = FOLD_BITS) -> DataFrame:
-    """(cls, ord, kind, key, val): probabilities ("p") of seen n-grams and weights ("b") of seen histories.
+def model_table(counts: DataFrame, order: int, shared: int = 0) -> DataFrame:
+    """(cls, ord, kind, code, val): probabilities ("p") of seen n-grams and weights ("b") of seen histories.
 
     The orders up to `shared` are taken from all classes together.
     """
@@ -140,41 +141,110 @@ def model_table(counts: DataFrame, order: int, shared: int = 0, fold_bits: int =
             below = lower.select("cls", F.col("code").alias("suffix"), F.col("p").alias("p0"))
             seen = both.join(below, ["cls", "suffix"], "left").select("cls", "code", "n", (own + F.col("weight") * F.coalesce("p0", F.lit(1.0 / SYMBOLS))).alias("p"))
         lower = materialize(seen)
-        rows = lower.select("cls", F.lit(n).alias("ord"), F.lit("p").alias("kind"), "code", F.col("p").alias("val"), F.col("n").alias("rank"))
-        rows = rows.union(context.select("cls", F.lit(n).alias("ord"), F.lit("b").alias("kind"), F.col("history").alias("code"), F.col("weight").alias("val"), F.col("total").alias("rank")))
+        rows = lower.select("cls", F.lit(n).alias("ord"), F.lit("p").alias("kind"), "code", F.col("p").alias("val"))
+        rows = rows.union(context.select("cls", F.lit(n).alias("ord"), F.lit("b").alias("kind"), F.col("history").alias("code"), F.col("weight").alias("val")))
         out = rows if out is None else out.union(rows)
-    key = F.xxhash64("code").bitwiseAND(F.lit((1 << fold_bits) - 1)).cast("int")
-    return out.groupBy("cls", "ord", "kind", key.alias("key")).agg(F.max_by("val", F.struct("rank", "code")).cast("float").alias("val"))
+    return out.withColumn("val", F.col("val").cast("float"))
 
 
-def _rotated(x: np.ndarray, k: int) -> np.ndarray:
-    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+def _log_p(p: Column) -> Column:
+    return F.log(F.greatest(p, F.lit(1e-12))).cast("float")
 
 
-def hash_of(code: np.ndarray) -> np.ndarray:
-    """XXH64 of longs with seed 42, as xxhash64() gives it."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    with np.errstate(over="ignore"):
-        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (_rotated(code.astype(np.uint64) * p2, 31) * p1)
-        h = _rotated(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
+def joined_log_p(codes: DataFrame, table: DataFrame, order: int, classes: int) -> DataFrame:
+    """(code, p): log-probabilities per class of codes(code) by joins with a model table, from order 1 up."""
+    grams = materialize(codes.distinct())
+    of_class = lambda name, c: F.element_at(name, F.lit(c))
+    below = None
+    for n in range(1, order + 1):
+        own = lambda kind, name: table.where((F.col("ord") == n) & (F.col("kind") == kind)).groupBy(F.col("code").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("cls", "val"))).alias(kind))  # noqa: E731, B023
+        level = grams.select(F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("gram")).distinct().join(own("p", "gram"), "gram", "left")
+        if n == 1:
+            p = F.array(*[F.coalesce(of_class("p", c), F.lit(1.0 / SYMBOLS / 10)).cast("double") for c in range(classes)])
+        else:
+            level = level.withColumns({"history": F.shiftright("gram", BITS), "suffix": F.col("gram").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))})
+            level = level.join(own("b", "history"), "history", "left").join(below, "suffix")
+            p = F.array(*[F.coalesce(of_class("p", c), F.coalesce(of_class("b", c), F.lit(1.0)) * F.get("p0", F.lit(c))).cast("double") for c in range(classes)])
+        below = materialize(level.select(F.col("gram").alias("suffix"), p.alias("p0")))
+    return below.select(F.col("suffix").alias("code"), F.transform("p0", _log_p).alias("p"))
+
+
+class Scorer:
+    """Runs body(part, model) over the texts of rows, whatever the size of the model table."""
+
+    def __init__(self, table: DataFrame, order: int, classes: int, most: int | None = None):
+        self.table, self.order, self.classes = materialize(table), order, classes
+        small = self.table.count() <= (MOST_SENT if most is None else most)
+        self.sent = table.sparkSession.sparkContext.broadcast(self.table.toArrow()) if small else None
+
+    def run(self, rows: DataFrame, body, schema) -> DataFrame:
+        order, classes, sent = self.order, self.classes, self.sent
+        if sent is None:
+            return self._joined(rows, body, schema)
+
+        def score(batches):
+            model = Model(sent.value, order, classes)
+            for batch in batches:
+                for part in pieces(batch):
+                    yield body(part, model)
+
+        return rows.mapInArrow(score, schema)
+
+    def _joined(self, rows: DataFrame, body, schema) -> DataFrame:
+        order, classes = self.order, self.classes
+        rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+        def distinct(batches):
+            for batch in batches:
+                for part in pieces(batch):
+                    code, offsets = codes(*symbols(part.column("text")), order)
+                    for row, a, b in zip(part.column("_row").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                        own = np.unique(code[a:b])
+                        for k in range(0, len(own), 50_000):
+                            some = own[k : k + 50_000]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row, np.int64)), pa.array(some)], ["_row", "code"])
+
+        def score(batches):
+            for batch in batches:
+                for part in pieces(batch):
+                    known = part.column("_known").flatten()
+                    yield body(part, Known(order, classes, pc.struct_field(known, "code").to_numpy(zero_copy_only=False), pc.struct_field(known, "p").flatten().to_numpy(zero_copy_only=False)))
+
+        pairs = materialize(rows.select("_row", "text").mapInArrow(distinct, "_row long, code long"))
+        values = joined_log_p(pairs.select("code"), self.table, order, classes)
+        known = pairs.join(values, "code").groupBy("_row").agg(F.collect_list(F.struct("code", "p")).alias("_known"))
+        return rows.join(known, "_row", "left").mapInArrow(score, schema)
+
+
+class Known:
+    """Log-probabilities of the n-grams of a few texts, looked up before."""
+
+    def __init__(self, order: int, classes: int, code: np.ndarray, values: np.ndarray):
+        self.order, self.classes = order, classes
+        self.code, first = np.unique(code, return_index=True)
+        self.values = values.reshape(-1, classes)[first]
+
+    def log_p(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.code, code), self.values
 
 
 class Model:
-    """Sorted hash arrays of a model table; scores n-grams, each distinct one once while it is remembered."""
+    """Sorted arrays of a model table; scores n-grams, each distinct one once while it is remembered."""
 
     MOST_KNOWN = 1_000_000
 
-    def __init__(self, table: pa.Table, order: int, classes: int, fold_bits: int = FOLD_BITS):
-        self.order, self.classes, self.mask = order, classes, np.uint64((1 << fold_bits) - 1)
+    def __init__(self, table: pa.Table, order: int, classes: int):
+        self.order, self.classes = order, classes
         self.arrays = {}
-        frame = table.to_pandas()
-        for (c, n, kind), part in frame.groupby(["cls", "ord", "kind"]):
-            key = part["key"].to_numpy(np.int32)
-            by = np.argsort(key)
-            self.arrays[int(c), int(n), kind] = (key[by], part["val"].to_numpy(np.float32)[by])
+        for c in range(classes):
+            of_class = table.filter(pc.equal(table["cls"], c))
+            for n in range(1, order + 1):
+                for kind in "pb":
+                    part = of_class.filter(pc.and_(pc.equal(of_class["ord"], n), pc.equal(of_class["kind"], kind)))
+                    if part.num_rows:
+                        code = part["code"].to_numpy()
+                        by = np.argsort(code)
+                        self.arrays[c, n, kind] = (code[by], part["val"].to_numpy()[by])
         self.known = np.zeros(0, np.int64)
         self.values = np.zeros((0, classes), np.float32)
 
@@ -182,9 +252,8 @@ class Model:
         keys, values = self.arrays.get(which, (None, None))
         if keys is None:
             return np.full(len(code), default, np.float32), np.zeros(len(code), bool)
-        k = (hash_of(code) & self.mask).astype(np.int32)
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        hit = keys[at] == k
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        hit = keys[at] == code
         return np.where(hit, values[at], np.float32(default)), hit
 
     def _log_p(self, code: np.ndarray) -> np.ndarray:

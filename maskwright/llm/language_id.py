@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import materialize, pieces, small_batches
+from .common import small_batches
 
 ORDER = 4
 CALIBRATION_ROWS = 20_000
@@ -58,19 +58,14 @@ def identify(docs: DataFrame, training=None, order: int = ORDER) -> DataFrame:
     # One training row in twenty, by a hash of its own, is for calibration.
     apart = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(20)) == 0
     counts = kn.ngram_counts(usable.where(~apart).select(number.alias("cls"), "text"), order)
-    table = materialize(kn.model_table(counts, order)).toArrow()
-    shared = spark.sparkContext.broadcast(table)
-    size = len(names)
+    scorer = kn.Scorer(kn.model_table(counts, order), order, len(names))
 
-    def measure(batches):
-        model = kn.Model(shared.value, order, size)
-        for batch in batches:
-            for part in pieces(batch):
-                entropy, n = _entropies(part, model)
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(n), pa.array(list(entropy), pa.list_(pa.float64()))], ["cls", "n", "entropy"])
+    def measure(part, model):
+        entropy, n = _entropies(part, model)
+        return pa.RecordBatch.from_arrays([part.column("cls"), pa.array(n), pa.array(list(entropy), pa.list_(pa.float64()))], ["cls", "n", "entropy"])
 
     sample = usable.where(apart).select(number.alias("cls"), "text").limit(CALIBRATION_ROWS)
-    seen = [r for r in sample.mapInArrow(measure, "cls int, n long, entropy array<double>").collect() if r.n]
+    seen = [r for r in scorer.run(sample, measure, "cls int, n long, entropy array<double>").collect() if r.n]
     sharpness, least = SHARPNESS[3], 0.0
     if seen:
         entropy, truth = np.array([r.entropy for r in seen]), np.array([r.cls for r in seen])
@@ -80,13 +75,10 @@ def identify(docs: DataFrame, training=None, order: int = ORDER) -> DataFrame:
         if right.any():
             least = float(np.quantile(_posterior(entropy, sharpness).max(axis=1)[right], REJECTED_SHARE))
 
-    def predict(batches):
-        model = kn.Model(shared.value, order, size)
-        for batch in batches:
-            for part in pieces(batch):
-                entropy, n = _entropies(part, model)
-                score = np.where(n > 0, _posterior(entropy, sharpness).max(axis=1), 0.0)
-                best = [names[k] if m else "und" for k, m in zip(entropy.argmin(axis=1).tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best, pa.string()), pa.array(score), pa.array((score < least) | (n == 0))], ["doc_id", "lang_pred", "score", "rejected"])
+    def predict(part, model):
+        entropy, n = _entropies(part, model)
+        score = np.where(n > 0, _posterior(entropy, sharpness).max(axis=1), 0.0)
+        best = [names[k] if m else "und" for k, m in zip(entropy.argmin(axis=1).tolist(), n.tolist())]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best, pa.string()), pa.array(score), pa.array((score < least) | (n == 0))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, schema)
+    return scorer.run(docs.select("doc_id", "text"), predict, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import materialize, pieces, small_batches
+from .common import materialize, small_batches
 
 ORDER = 5
 SHARED = 2
@@ -85,27 +85,21 @@ def score(docs: DataFrame, labels: DataFrame, training=None, order: int = ORDER)
         share = float(max(both, default=0))
         return docs.select("doc_id", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     counts = kn.ngram_counts(labelled.where(~apart).select("cls", "text"), order)
-    shared = spark.sparkContext.broadcast(materialize(kn.model_table(counts, order, SHARED)).toArrow())
+    scorer = kn.Scorer(kn.model_table(counts, order, SHARED), order, 2)
 
-    def measure(batches):
-        model = kn.Model(shared.value, order, 2)
-        for batch in batches:
-            for part in pieces(batch):
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(list(_features(part, model)), pa.list_(pa.float64()))], ["cls", "x"])
+    def measure(part, model):
+        return pa.RecordBatch.from_arrays([part.column("cls"), pa.array(list(_features(part, model)), pa.list_(pa.float64()))], ["cls", "x"])
 
     sample = labelled.where(apart).select("cls", "text").limit(CALIBRATION_ROWS)
-    seen = sample.mapInArrow(measure, "cls int, x array<double>").collect()
+    seen = scorer.run(sample, measure, "cls int, x array<double>").collect()
     if len({r.cls for r in seen}) == 2:
         mean, scale, w = _fit(np.array([r.x for r in seen]), np.array([r.cls for r in seen], float))
     else:  # too few rows to fit: the strongest word decides
         mean, scale, w = np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.eye(FEATURES)[1], -2 * STRONG]
 
-    def predict(batches):
-        model = kn.Model(shared.value, order, 2)
-        for batch in batches:
-            for part in pieces(batch):
-                z = np.c_[(_features(part, model) - mean) / scale, np.ones(part.num_rows)] @ w
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+    def predict(part, model):
+        z = np.c_[(_features(part, model) - mean) / scale, np.ones(part.num_rows)] @ w
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, schema)
+    return scorer.run(docs.select("doc_id", "text"), predict, schema)
