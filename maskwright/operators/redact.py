@@ -23,9 +23,9 @@ def redacted_text(text: Column, found: Column) -> Column:
 def redact_lines(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5) -> DataFrame:
     """lines with `redacted` and `n_masks`; lines below the confidence floor stay as they are."""
     chosen = R.chosen(states)
-    may = (F.col("confidence") >= floor) & F.col("text").rlike(R.MAY_MATCH)
-    none = F.array().cast(f"array<{R.HIT}>")
     folded = half_width_digits(F.col("text"))
+    may = (F.col("confidence") >= floor) & R.may_match(folded, chosen)
+    none = F.array().cast(f"array<{R.HIT}>")
     found = lines.withColumn("_hits", F.when(may, R.hits(folded, chosen)).otherwise(none))
     settled = found.withColumn("_hits", F.when(F.size("_hits") > 0, R.yielded(F.col("text"), F.col("_hits"), chosen)).otherwise(F.col("_hits")))
     new = F.when(F.size("_hits") > 0, redacted_text(F.col("text"), F.col("_hits"))).otherwise(F.col("text"))
@@ -45,7 +45,7 @@ def redact_documents(docs: DataFrame, states: dict[str, str] | None = None) -> D
             return F.when(F.size(found) > 0, R.yielded(line, found, chosen)).otherwise(found)
 
         hit = S.let(S.let(R.hits(half_width_digits(line), chosen), settle), finish)
-        return F.when(line.rlike(R.MAY_MATCH), hit).otherwise(F.struct(line.alias("text"), F.lit(0).alias("n")))
+        return F.when(R.may_match(half_width_digits(line), chosen), hit).otherwise(F.struct(line.alias("text"), F.lit(0).alias("n")))
 
     done = docs.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), one))
     return done.select("doc_id", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("redacted"), F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_masks"))

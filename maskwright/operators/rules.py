@@ -230,8 +230,26 @@ def yielded(text: Column, found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.transform(found, settle)) if gives_way else found
 
 
-#: Texts that none of the rules can match need no rule: they have no digit, no @ and no label.
-MAY_MATCH = r"[0-9@<*]|(?:Mr|Mrs|Ms|Dr|Prof)\b|[:：]"
+#: What every match of a rule of the catalogue has in it, in text with half-width digits.
+NEEDS = dict.fromkeys(("card", "iban", "ssn", "phone", "idnumber", "pickup", "birthdate", "plate", "longnum", "datetime"), "[0-9]") | {
+    "mac": "[:-]",
+    "email": "@",
+    "passport": "[0-9<]",
+    "vin": f"[0-9]|(?i:{_VIN_LABELS})",
+    "apikey": "sk-|ghp_|gho_|ghs_|AKIA|eyJ",
+    "name": r"[:：]|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]",
+    "address": "[0-9省市区县]",
+    "url": "/",
+    "ip": "[0-9:]",
+}
+
+
+def may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether text with half-width digits has what one of the rules needs; true of all texts for rules of the user's own."""
+    if any(r != BY_ID.get(r.id) for r in rules):
+        return text.isNotNull()
+    needs = sorted({NEEDS[r.id] for r in rules})
+    return text.rlike("|".join(needs)) if needs else F.lit(False)
 
 
 def matches(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5) -> DataFrame:
@@ -240,7 +258,7 @@ def matches(lines: DataFrame, states: dict[str, str] | None = None, floor: float
 
     rules = chosen(states)
     # Projections of their own: each array is worked out once. The outer explode keeps it out of inferred filters.
-    kept = lines.where(F.col("confidence") >= floor).where(F.col("text").rlike(MAY_MATCH)).withColumn("_t", half_width_digits(F.col("text")))
+    kept = lines.where(F.col("confidence") >= floor).where(may_match(half_width_digits(F.col("text")), rules)).withColumn("_t", half_width_digits(F.col("text")))
     found = kept.withColumn("_hits", hits(F.col("_t"), rules))
     resolved = found.withColumn("_hits", yielded(F.col("_t"), F.col("_hits"), rules))
     return resolved.select("page_id", "line_no", F.explode_outer("_hits").alias("h")).where("h is not null").select("page_id", "line_no", "h.*")
