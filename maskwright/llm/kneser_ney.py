@@ -147,6 +147,12 @@ def model_table(counts: DataFrame, order: int, shared: int = 0) -> DataFrame:
     return out.withColumn("val", F.col("val").cast("float"))
 
 
+def set_apart(total: int, most: int, share: float, *columns: str) -> Column:
+    """A condition true of about `most` of `total` rows and of `share` of them at most, by a hash of columns."""
+    scale = 1 << 30
+    return F.pmod(F.xxhash64(F.lit("calibration"), *columns), F.lit(scale)) < F.lit(int(scale * min(share, most / max(total, 1))))
+
+
 def _log_p(p: Column) -> Column:
     return F.log(F.greatest(p, F.lit(1e-12))).cast("float")
 

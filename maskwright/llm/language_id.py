@@ -2,7 +2,7 @@
 
 A text goes to the language of the lowest cross-entropy per symbol. On training rows set apart from the counting, the
 sharpness of the score is fitted and the score is found below which texts are marked as rejected (one in a hundred of the
-rightly recognised ones). That calibration takes at most CALIBRATION_ROWS rows; the models count all others.
+rightly recognised ones). That calibration takes about CALIBRATION_ROWS rows at most, by a hash; the models count all others.
 
 Cases: null texts and texts without letters are "und" with score 0; rows without a language are not learned from; without
 any learned language all is "und"; null ids count as an empty id for the split; repeated rows count each; the columns
@@ -50,13 +50,14 @@ def identify(docs: DataFrame, training=None, order: int = ORDER) -> DataFrame:
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if training is not None:
         usable = usable.where(training)
-    names = sorted(r.lang for r in usable.select("lang").distinct().collect())
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    names = sorted(sizes)
     schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     if not names:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(i)) for i, x in enumerate(names)])
-    # One training row in twenty, by a hash of its own, is for calibration.
-    apart = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(20)) == 0
+    # One training row in twenty, or fewer in a large corpus, is for calibration; all others are counted.
+    apart = kn.set_apart(sum(sizes.values()), CALIBRATION_ROWS, 0.05, "doc_id", "text")
     counts = kn.ngram_counts(usable.where(~apart).select(number.alias("cls"), "text"), order)
     scorer = kn.Scorer(kn.model_table(counts, order), order, len(names))
 
@@ -64,7 +65,7 @@ def identify(docs: DataFrame, training=None, order: int = ORDER) -> DataFrame:
         entropy, n = _entropies(part, model)
         return pa.RecordBatch.from_arrays([part.column("cls"), pa.array(n), pa.array(list(entropy), pa.list_(pa.float64()))], ["cls", "n", "entropy"])
 
-    sample = usable.where(apart).select(number.alias("cls"), "text").limit(CALIBRATION_ROWS)
+    sample = usable.where(apart).select(number.alias("cls"), "text")
     seen = [r for r in scorer.run(sample, measure, "cls int, n long, entropy array<double>").collect() if r.n]
     sharpness, least = SHARPNESS[3], 0.0
     if seen:

@@ -3,7 +3,7 @@
 One model of toxic and one of ordinary text share the counts of their lowest orders, to which rare expressions back off.
 For each text the two log-likelihoods are compared per symbol, over the whole text and over each of its words; a logistic
 function of the mean, of the strongest words and of the number of strong ones gives the score. It is fitted on labelled
-training rows set apart from the counting, CALIBRATION_ROWS at most; the models count all the others.
+training rows set apart from the counting by a hash, about CALIBRATION_ROWS at most; the models count all the others.
 
 Cases: null texts and texts without letters get the score of no evidence; rows without a label are not learned from; rows
 with several labels count as toxic if one says so; with labels of one class only every score is that class's share; null
@@ -77,20 +77,21 @@ def score(docs: DataFrame, labels: DataFrame, training=None, order: int = ORDER)
         labels = labels.where(training)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("cls"))
     known = materialize(known)
-    apart = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(4)) == 0
     labelled = docs.select("doc_id", "text").join(known, "doc_id")
     schema = docs.select("doc_id").schema.add("score", "double").add("predicted", "integer")
     both = {r.cls: r["count"] for r in known.groupBy("cls").count().collect()}
     if len(both) < 2:
         share = float(max(both, default=0))
         return docs.select("doc_id", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+    # One labelled row in four, or fewer in a large corpus, is for calibration; all others are counted.
+    apart = kn.set_apart(labelled.count(), CALIBRATION_ROWS, 0.25, "doc_id", "text")
     counts = kn.ngram_counts(labelled.where(~apart).select("cls", "text"), order)
     scorer = kn.Scorer(kn.model_table(counts, order, SHARED), order, 2)
 
     def measure(part, model):
         return pa.RecordBatch.from_arrays([part.column("cls"), pa.array(list(_features(part, model)), pa.list_(pa.float64()))], ["cls", "x"])
 
-    sample = labelled.where(apart).select("cls", "text").limit(CALIBRATION_ROWS)
+    sample = labelled.where(apart).select("cls", "text")
     seen = scorer.run(sample, measure, "cls int, x array<double>").collect()
     if len({r.cls for r in seen}) == 2:
         mean, scale, w = _fit(np.array([r.x for r in seen]), np.array([r.cls for r in seen], float))
