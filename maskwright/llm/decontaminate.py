@@ -135,7 +135,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), n_words(F.col("text")).alias("_n"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
     bad = materialize(hits(docs, benchmark).select(F.col("key").alias("_key"), "n_hit"))
     both = keyed.join(bad, "_key", "left")
-    return both.where(F.coalesce(~contaminated(F.col("n_hit"), n_words(F.col("text"))), F.lit(True))).select(*docs.columns)
+    return both.where(F.coalesce(~contaminated(F.col("n_hit"), F.col("_n")), F.lit(True))).select("_row.*")

@@ -158,10 +158,13 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
     if keep == "first":
         loses = loses.where(~F.struct("_id", "_text").eqNullSafe(F.col("first")))
     loses = loses.groupBy("_id", "_text").agg(F.collect_set("key").alias("_keys"))
-    own = docs.select(*rest, F.col("doc_id").alias("_own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_own_text"))
-    with_keys = own.join(loses, own["_own_id"].eqNullSafe(loses["_id"]) & (own["_own_text"] == loses["_text"]), "left").select(*rest, "_keys")
+    own = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").alias("_own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_own_text"))
+    both = own.join(loses, own["_own_id"].eqNullSafe(loses["_id"]) & (own["_own_text"] == loses["_text"]), "left")
+    # Arrow takes columns by name: the keys get one that no column of the table has.
+    name = "_keys" + "_" * max(map(len, rest))
+    with_keys = both.select("_row.*", F.col("_keys").alias(name))
 
     def by_row(batches):
-        yield from cut(batches, lambda batch: [{*x} if x else () for x in batch.column("_keys").to_pylist()])
+        yield from cut(batches, lambda batch: [{*x} if x else () for x in batch.column(name).to_pylist()])
 
     return with_keys.mapInArrow(by_row, schema)

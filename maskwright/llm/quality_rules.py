@@ -60,20 +60,22 @@ def _repeat_words(w: Column) -> Column:
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs with the columns of COUNTS."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    w = F.col("_words")
+    taken = max(map(len, docs.columns))
+    words, lines_ = "_w" * taken, "_l" * taken  # names that no column of docs has
+    w = F.col(words)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.drop(*COUNTS).withColumn("_words", words_of(F.col("text"))).withColumn("_lines", lines)
+    out = docs.drop(*COUNTS).withColumn(words, words_of(F.col("text"))).withColumn(lines_, lines)
     return out.withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
             "n_repeat_words": _repeat_words(w),
-            "n_word_lines": F.size("_lines").cast("long"),
+            "n_word_lines": F.size(lines_).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit(r"[!?]{2}")).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop(words, lines_)
 
 
 def base_failed() -> Column:

@@ -1,26 +1,29 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A 64-bit fingerprint maps to 16 counts of set bits, one per 4-bit segment. The Manhattan distance of two such points never
-exceeds the Hamming distance, so fingerprints that differ in two bits lie within distance two on the grid, and each pair
-like that shares a cell of the two unit balls around its points. Every distinct fingerprint is therefore sent to its own
-cell and the cells next to it (33 at most). A cell with two fingerprints is verified at once by the exact distance. The
-members of a cell with more are verified without pairs: each is sent to itself and its 64 one-bit neighbours, and two
-fingerprints meet there exactly if they differ in two bits or fewer (so 65 meet at most). Links go to the smallest one.
+A 64-bit fingerprint maps to counts of set bits, one per segment. The Manhattan distance of two such points never exceeds
+the Hamming distance, so fingerprints that differ in two bits lie within distance two on the grid, and each pair like that
+shares a cell of the two unit balls around its points: every distinct fingerprint is sent to its own cell and those next to
+it. A cell with two fingerprints is verified at once by the exact distance. The members of a crowded cell are placed anew on
+the next grid of LEVELS, with narrower segments. On the last one a segment is one bit, so that the bound is the exact
+distance: those who meet in a cell (65 at most) are within two bits of each other, and link to the least of them. No pairs
+within a cell are ever made. The first grid has about 48 bits of entropy, so that cells stay apart at 10^10 fingerprints and
+only true groups of near copies go on to the second.
 
 Cases: null or blank texts have fingerprint zero and link to one another; fewer than three words make one shingle; copies
-share a fingerprint and are one node; null ids are only chosen where a group has no other; other columns are ignored.
+share a fingerprint and are one node; null ids are only chosen where a group has no other; rows that are the same in id and
+text count as one for one_of_each; other columns, whatever their names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, small_batches, texts_of
 
-SEGMENTS = 16
+LEVELS = (32, 64)  # segments of the grids, from the first to the exact one
 SEED = 42
 
 
@@ -65,32 +68,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
     return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
-def _cells(fp):
-    """The cell of a fingerprint and those next to it: 16 counts of 3 bits each in a long."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, 4 * i).bitwiseAND(F.lit(15).cast("long"))).cast("long") for i in range(SEGMENTS)]
-    own = counts[0]
-    for i in range(1, SEGMENTS):
-        own = own + F.shiftleft(counts[i], 3 * i)
-    up = [F.when(c < 4, F.lit(1 << 3 * i).cast("long")) for i, c in enumerate(counts)]
-    down = [F.when(c > 0, F.lit(-(1 << 3 * i)).cast("long")) for i, c in enumerate(counts)]
+def _cells(fp: Column, segments: int) -> tuple[Column, Column]:
+    """The cell of a fingerprint (its counts in one long) and what turns it into itself and the cells next to it, as XOR masks."""
+    wide = 64 // segments
+    bits = wide.bit_length()  # of a count
+    counts = [F.bit_count(F.shiftrightunsigned(fp, wide * i).bitwiseAND(F.lit((1 << wide) - 1).cast("long"))).cast("long") for i in range(segments)]
+    own = F.lit(0).cast("long")
+    for i, c in enumerate(counts):
+        own = own.bitwiseOR(F.shiftleft(c, bits * i))
+    up = [F.when(c < wide, F.shiftleft(c.bitwiseXOR(c + 1), bits * i)) for i, c in enumerate(counts)]
+    down = [F.when(c > 0, F.shiftleft(c.bitwiseXOR(c - 1), bits * i)) for i, c in enumerate(counts)]
     return own, F.array_compact(F.array(F.lit(0).cast("long"), *up, *down))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def _spread(nodes: DataFrame, segments: int) -> DataFrame:
+    """(fp, cell): each fingerprint in the cells of its unit ball."""
+    own, steps = _cells(F.col("fp"), segments)
+    placed = nodes.select("fp", own.alias("own"), F.explode(steps).alias("step"))
+    return placed.select("fp", F.col("own").bitwiseXOR(F.col("step")).alias("cell"))
+
+
+def links(nodes: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, enough to connect all that differ in two bits or fewer."""
-    own, steps = _cells(F.col("fp"))
-    placed = nodes.select("fp", own.alias("cell"), steps.alias("steps"))
-    spread = placed.select("fp", "cell", F.explode("steps").alias("step")).select("fp", (F.col("cell") + F.col("step")).alias("cell"))
-    cells = materialize(spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = cells.where("n = 2").where(near).select("a", "b")
-    members = spread.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-    around = members.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    lows = materialize(around.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"))
-    two = lows.where("n = 2").select("a", "b")
-    more = around.join(lows.where("n > 2").select("key", "a"), "key").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    return pairs.union(two).union(more).distinct()
+    out = None
+    for segments in levels:
+        spread = _spread(nodes, segments)
+        cells = materialize(spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+        pairs = cells.where("n = 2").where(near).select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+        crowded = cells.where("n > 2")
+        if segments < 64:
+            nodes = materialize(spread.join(crowded.select("cell"), "cell", "left_semi").select("fp").distinct())
+        else:
+            out = out.union(spread.join(crowded.select("cell", "a"), "cell").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")))
+    return out.distinct()
 
 
 def components(prints: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -110,7 +122,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that of the least doc_id (nulls last), then the least text hash."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     prints = materialize(fingerprints(keyed, keep=("doc_id", "_h")))
     grouped = prints.join(materialize(components(prints)).withColumnRenamed("component_id", "_c"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h"))
@@ -118,4 +130,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     best = grouped.groupBy("_c", F.when(F.col("_c").isNull(), F.col("fp")).alias("_f")).agg(F.min(order).alias("best"))
     best = best.select(F.col("best.id").alias("_id"), F.col("best.h").alias("_bh"))
     kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_h"] == best["_bh"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_h"]).select("_row.*")
