@@ -14,19 +14,21 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+_local: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, on a local master) a temporary one that is set here."""
+    """The folder all executors share: spark.checkpoint.dir, or (unset, on a local master) a temporary one of the application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='maskwright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='maskwright-')}"
+        _local[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

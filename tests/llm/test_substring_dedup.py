@@ -43,6 +43,44 @@ def test_against_brute_force(spark, window, gram):
     assert sorted(tuple(r) for r in got.collect()) == brute(texts, window)
 
 
+@pytest.mark.parametrize("bits", [3, 10])
+def test_words_decide_where_fingerprints_collide(spark, bits):
+    """A hash of a few bits gives unlike windows the same fingerprint everywhere."""
+    texts = mixed(12) + passages(5)
+    got = sd.remove_repeats(docs(spark, texts), 35, 8, bits=bits)
+    assert sorted(tuple(r) for r in got.collect()) == brute(texts, 35)
+
+
+def test_a_later_session_adds_a_batch(spark):
+    old, new = passages(6), passages(7)
+    new[:10] = old[:10]
+    path = f"{sd.shared_dir(spark)}/index-{random.random()}"
+    sd.remove_repeats(docs(spark, old), index=sd.FingerprintIndex(spark, path)).count()
+    later = spark.newSession()
+    table, history = (later.createDataFrame([(i, t) for i, t in enumerate(x)], "doc_id long, text string") for x in (new, old))
+    opened = sd.FingerprintIndex(later, path)
+    assert opened.runs and opened.version
+    got = sd.remove_repeats(table, index=opened, history=history)
+    expected = {k: rest for k, *rest in brute(new + old, WINDOW) if k < len(new)}
+    assert {r.doc_id: [r.n_words, r.n_removed, r.kept] for r in got.collect()} == expected
+
+
+def test_history_is_not_shuffled(spark):
+    index = sd.FingerprintIndex(spark)
+    frame = lambda k: spark.range(k, k + 1000).selectExpr("id * 7 AS fp", "1L AS n")
+    index.add(frame(0))
+    new = index._write(frame(500).repartition(index.buckets, "fp"), 0)
+    plan = new.select("fp").join(spark.table(index.runs[0][1]).hint("merge"), "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_repeated_rows_nulls_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "x"), (1, text, "x"), (None, None, "y"), (None, "short text", "y")]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, _new string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == [("1", 80, 80, ""), ("1", 80, 80, ""), ("None", 0, 0, ""), ("None", 2, 0, "short text")]
+
+
 def test_index_finds_repeats_across_batches_and_compacts(spark):
     index = sd.FingerprintIndex(spark)
     frame = lambda rows: spark.createDataFrame(rows, "fp long, n long")
