@@ -27,7 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pieces, shared_dir, small_batches, utf8
@@ -233,11 +233,7 @@ class FingerprintIndex:
         while any(x == level for x, _ in self.runs):
             own = [name for x, name in self.runs if x == level]
             if len(own) >= FAN_OUT:
-                merged = self.spark.table(own[0])
-                for name in own[1:]:
-                    a, b = merged.alias("a"), self.spark.table(name).hint("merge").alias("b")
-                    n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-                    merged = a.join(b, F.col("a.fp") == F.col("b.fp"), "full_outer").select(F.coalesce("a.fp", "b.fp").alias("fp"), n.alias("n"))
+                merged = self._merged(own)
                 self.runs = [(x, name) for x, name in self.runs if x != level]
                 self._write(merged, level + 1)
                 gone += own
@@ -248,13 +244,19 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 self._files().delete(self._at(f"{self.path}/{name}"), True)
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        """(fp, n) summed over runs by merge joins. (Not by a union: that of bucketed columnar scans passes for partitioned by
+        fp in this version of Spark although its partitions are strung together, and groups come out twice.)"""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            a, b = out.alias("a"), self.spark.table(name).hint("merge").alias("b")
+            n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
+            out = a.join(b, F.col("a.fp") == F.col("b.fp"), "full_outer").select(F.coalesce("a.fp", "b.fp").alias("fp"), n.alias("n"))
+        return out
+
     def counts(self) -> DataFrame:
         """(fp, n) over all runs."""
-        out = None
-        for _, name in self.runs:
-            run = self.spark.table(name)
-            out = run if out is None else out.union(run)
-        return out.groupBy("fp").agg(F.sum("n").alias("n"))
+        return self._merged([name for _, name in self.runs])
 
 
 def _bloom(repeats: DataFrame, bits: int) -> bytes:
