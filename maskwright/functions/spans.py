@@ -54,6 +54,28 @@ def before(text: Column, start: Column, n: int) -> Column:
     return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
 
 
+def after(text: Column, end: Column, n: int) -> Column:
+    """The n code points behind end."""
+    return F.substring(text, end + 1, F.lit(n))
+
+
+def joined_close(spans: Column, text: Column, gap: str, n: int) -> Column:
+    """Sorted spans that overlap, or with nothing but n characters of the class `gap` between, as one: array of (start, end, token)."""
+    plain = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    zero = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(out, x):
+        def glue(last):
+            between = F.substring(text, last["end"] + 1, F.greatest(x["start"] - last["end"], F.lit(0)))
+            near = between.rlike(f"^[{gap}]{{0,{n}}}$")
+            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+            return F.when(near, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(x)))
+
+        return F.when(F.size(out) == 0, F.array(x)).otherwise(glue(F.get(out, F.size(out) - 1)))
+
+    return F.transform(F.aggregate(plain, zero, step), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("token")))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 

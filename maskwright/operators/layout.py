@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -70,12 +67,41 @@ def cells(chars: DataFrame) -> DataFrame:
     return chars.withColumn("_new", new).withColumn("cell", F.sum("_new").over(w)).drop("_new")
 
 
+def _fold_rows(boxes: DataFrame, order: list, same) -> DataFrame:
+    """(page_id, line_no, row): in the given order, a box joins the last row if same(first box of the row, box)."""
+    one = F.struct(*[x.cast("double").alias(f"_{i}") for i, x in enumerate(order)], F.col("line_no"), F.col("t").cast("double").alias("t"), F.col("b").cast("double").alias("b"))
+    grouped = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    kind = boxes.schema["line_no"].dataType.simpleString()
+    zero = F.struct(F.lit(None).cast("struct<t:double,b:double>").alias("first"), F.lit(-1).alias("row"), F.array().cast(f"array<struct<line_no:{kind},row:int>>").alias("out"))
+
+    def step(acc, x):
+        joins = (acc["row"] >= 0) & F.coalesce(same(acc["first"], x), F.lit(False))
+        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        first = F.when(joins, acc["first"]).otherwise(F.struct(x["t"].alias("t"), x["b"].alias("b")))
+        return F.struct(first.alias("first"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(x["line_no"].alias("line_no"), row.alias("row")))).alias("out"))
+
+    return grouped.select("page_id", F.explode(F.aggregate("all", zero, step, lambda acc: acc["out"])).alias("x")).select("page_id", "x.*")
+
+
 def rows(boxes: DataFrame, share: float = 0.5) -> DataFrame:
-    """boxes with `row`: sorted by top, a box joins the row before it if it overlaps the row's last box by more than share."""
-    w = W.partitionBy("page_id").orderBy("t", "l", "line_no")
-    top, bottom = F.lag("t").over(w), F.lag("b").over(w)
-    over = (F.least("b", bottom) - F.greatest("t", top)) / F.least(F.col("b") - F.col("t"), bottom - top)
-    return boxes.withColumn("_new", F.coalesce((over <= share).cast("int"), F.lit(0))).withColumn("row", F.sum("_new").over(w)).drop("_new")
+    """(page_id, line_no, row): from the top, a box joins the row if it overlaps the row's first box by more than share."""
+
+    def same(first, x):
+        return (F.least(first["b"], x["b"]) - F.greatest(first["t"], x["t"])) / F.least(first["b"] - first["t"], x["b"] - x["t"]) > share
+
+    return _fold_rows(boxes, [F.col("t"), F.col("l")], same)
+
+
+def mask_rows(boxes: DataFrame) -> DataFrame:
+    """(page_id, line_no, row, pos): the order of a list of masks. By their centres, a mask joins the row if it and the row's
+    first mask reach over each other's centre line; rows from the top, within a row from the left."""
+
+    def same(first, x):
+        a, b = (first["t"] + first["b"]) / 2, (x["t"] + x["b"]) / 2
+        return (x["t"] <= a) & (a <= x["b"]) & (first["t"] <= b) & (b <= first["b"])
+
+    placed = _fold_rows(boxes, [(F.col("t") + F.col("b")) / 2, F.col("l")], same).join(boxes.select("page_id", "line_no", "l"), ["page_id", "line_no"])
+    return placed.withColumn("pos", F.row_number().over(W.partitionBy("page_id").orderBy("row", "l", "line_no"))).drop("l")
 
 
 def reading_order(boxes: DataFrame, band: int = 10) -> DataFrame:
@@ -98,18 +124,15 @@ def orientation_groups(lines: DataFrame, tolerance: float = 25, least: int = 3,
 
 
 def reading_frames(lines: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """(page_id, degrees): the length-weighted mode of the directions within tolerance, then their circular mean."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        d, w = frame["degrees"].to_numpy(float), frame["length"].to_numpy(float)
-        apart = abs((d[:, None] - d[None, :] + 180) % 360 - 180)
-        near = apart <= tolerance
-        best = near[(near * w[None, :]).sum(axis=1).argmax()]
-        x = sum(wi * math.cos(math.radians(di)) for di, wi, n in zip(d, w, best) if n)
-        y = sum(wi * math.sin(math.radians(di)) for di, wi, n in zip(d, w, best) if n)
-        return pd.DataFrame({"page_id": [frame["page_id"].iloc[0]], "degrees": [math.degrees(math.atan2(y, x))]})
-
-    return lines.select("page_id", "degrees", "length").groupBy("page_id").applyInPandas(one, lines.select("page_id").schema.add("degrees", "double"))
+    """(page_id, degrees): the direction with most length within tolerance (the least of equals), and of the lines within
+    tolerance of it the circular mean, weighted by length. Window sums over the directions unrolled by a turn each way."""
+    turn = F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))
+    own = F.pmod(F.col("degrees").cast("double"), F.lit(360.0))
+    wide = lines.select("page_id", own.alias("d"), F.col("length").cast("double").alias("w")).select("page_id", "d", "w", turn.alias("turn")).withColumn("at", F.col("d") + F.col("turn"))
+    near = f"over (partition by page_id order by at range between {float(tolerance)}D preceding and {float(tolerance)}D following)"
+    sums = wide.selectExpr("page_id", "d", "turn", f"sum(w) {near} sum", f"sum(w * cos(radians(d))) {near} x", f"sum(w * sin(radians(d))) {near} y").where("turn = 0")
+    best = sums.groupBy("page_id").agg(F.max_by(F.struct("x", "y"), F.struct(F.round("sum", 9), -F.col("d"))).alias("b"))
+    return best.select("page_id", F.degrees(F.atan2("b.y", "b.x")).alias("degrees"))
 
 
 def largest_cluster(values: DataFrame, tolerance: float) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StringType
 
+REGIONS = ("FACE", "BARCODE")
 SOURCE_PRIORITY = {"RULE": 0, "FACE": 0, "BARCODE": 0, "MANUAL": 0, "LINE": 0, "ENTITY_MODEL": 1, "LLM": 2}
 
 
@@ -29,43 +31,69 @@ def source_priority(source: Column) -> Column:
 
 def dedupe(candidates: DataFrame, most: float = 0.6) -> DataFrame:
     """Greedy suppression within a page and kind: by source, confidence and area, a box stays unless one that stays overlaps it
-    by more than `most`; what it enables is passed on to the one that stays. Pages are folded in one task each."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_p=frame["source"].map(SOURCE_PRIORITY).fillna(3), _a=(frame.r - frame.l) * (frame.b - frame.t))
-        frame = frame.sort_values(["_p", "confidence", "_a", "id"], ascending=[True, False, False, True], kind="stable")
-        rows, kept = frame.to_dict("records"), []
-        for x in rows:
-            for y in kept:
-                w, h = min(x["r"], y["r"]) - max(x["l"], y["l"]), min(x["b"], y["b"]) - max(x["t"], y["t"])
-                both = max(w, 0) * max(h, 0)
-                if both and both / (x["_a"] + y["_a"] - both) > most:
-                    y["enabled"] = y["enabled"] or x["enabled"]
-                    break
-            else:
-                kept.append(x)
-        return pd.DataFrame(kept, columns=frame.columns).drop(columns=["_p", "_a"])
-
-    return candidates.groupBy("page_id", "kind").applyInPandas(one, candidates.schema)
-
-
-def join_adjacent(candidates: DataFrame) -> DataFrame:
-    """Level boxes of one kind and row become one: gaps and islands from the left.
-
-    A box joins the one before it if their centres differ by half a height at most and the gap is under half a height.
+    by more than `most`; what it enables is passed on to the first that does. A native fold over the boxes of a page."""
+    rest = [c for c in candidates.columns if c not in ("page_id", "kind")]
+    one = F.struct(source_priority(F.col("source")).alias("_p"), (-F.col("confidence")).alias("_c"), (-area()).alias("_a"), F.col("id").alias("_i"), F.struct(*rest).alias("x"))
+    grouped = candidates.groupBy("page_id", "kind").agg(F.sort_array(F.collect_list(one)).alias("_all"))
+    zero = F.array().cast(f"array<{candidates.select(F.struct(*rest).alias('x')).schema['x'].dataType.simpleString()}>")
+
+    def overlap(x, y):
+        both = F.greatest(F.least(x["r"], y["r"]) - F.greatest(x["l"], y["l"]), F.lit(0)) * F.greatest(F.least(x["b"], y["b"]) - F.greatest(x["t"], y["t"]), F.lit(0))
+        size = lambda z: (z["r"] - z["l"]) * (z["b"] - z["t"])
+        return F.coalesce(both / F.nullif(size(x) + size(y) - both, F.lit(0)), F.lit(0.0)) > most
+
+    def fold(kept, y):
+        x = y["x"]
+        at = F.array_position(F.transform(kept, lambda k: overlap(x, k)), True)  # 0 where none does
+        passed = F.transform(kept, lambda k, i: F.when(i + 1 == at, k.withField("enabled", k["enabled"] | x["enabled"])).otherwise(k))
+        return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(passed)
+
+    kept = grouped.select("page_id", "kind", F.explode(F.aggregate("_all", zero, fold)).alias("x"))
+    return kept.select("page_id", "kind", "x.*").select(*candidates.columns)
+
+
+def _joined(boxes: list[dict], gap: float) -> list[dict]:
+    """The candidates of a page and kind after joining: the first takes in, pass by pass, whatever the box so far reaches."""
+    todo, out = list(boxes), []
+    while todo:
+        own = dict(todo.pop(0))
+        grew = own["source"] not in REGIONS
+        while grew:
+            grew, left = False, []
+            for x in todo:
+                h = max(own["b"] - own["t"], x["b"] - x["t"])
+                apart = max(0.0, max(own["l"], x["l"]) - min(own["r"], x["r"]))
+                if x["source"] in REGIONS or abs(own["t"] + own["b"] - x["t"] - x["b"]) > h or apart >= gap * h:
+                    left.append(x)
+                    continue
+                grew = True
+                own |= {"id": f"{own['id']}+{x['id']}", "l": min(own["l"], x["l"]), "t": min(own["t"], x["t"]), "r": max(own["r"], x["r"]), "b": max(own["b"], x["b"])}
+                own |= {"confidence": max(own["confidence"], x["confidence"]), "enabled": own["enabled"] or x["enabled"]}
+            todo = left
+        out.append(own)
+    return out
+
+
+def join_adjacent(candidates: DataFrame, gap: float = 0.5) -> DataFrame:
+    """Level candidates of one page and kind that stand side by side become one, in the order of dedupe.
+
+    Two join if their centres differ by half the greater height at most and the gap is under gap heights; the joined box is
+    compared on, until it reaches no more. Faces and codes never join. Spark gathers the candidates of a page and kind in one
+    array; Python sees many such arrays per Arrow batch.
     """
-    fixed = F.col("kind").isin("FACE", "BARCODE")
-    w = W.partitionBy("page_id", "kind", F.floor((F.col("t") + F.col("b")) / 2 / F.greatest(F.col("b") - F.col("t"), F.lit(1)))).orderBy("l", "id")
-    h = F.greatest(F.col("b") - F.col("t"), F.lag("b").over(w) - F.lag("t").over(w))
-    dy = F.abs(F.col("t") + F.col("b") - F.lag("t").over(w) - F.lag("b").over(w)) / 2
-    apart = F.coalesce(fixed | (dy > 0.5 * h) | (F.col("l") - F.lag("r").over(w) >= 0.5 * h), F.lit(True))
-    marked = candidates.withColumn("_row", F.floor((F.col("t") + F.col("b")) / 2 / F.greatest(F.col("b") - F.col("t"), F.lit(1)))).withColumn("_new", apart.cast("int"))
-    island = marked.withColumn("_island", F.sum("_new").over(W.partitionBy("page_id", "kind", "_row").orderBy("l", "id")))
-    return island.groupBy("page_id", "kind", "_row", "_island").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "id"))), lambda x: x["id"]), "+").alias("id"),
-        F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"),
-        F.max("confidence").alias("confidence"), F.max("enabled").alias("enabled"),
-    ).drop("_row", "_island")
+    fields = ("id", "source", "l", "t", "r", "b", "confidence", "enabled")
+    key = [source_priority(F.col("source")).alias("_p"), (-F.col("confidence")).alias("_c"), (-area()).alias("_a"), F.col("id").alias("_i")]
+    grouped = candidates.groupBy("page_id", "kind").agg(F.sort_array(F.collect_list(F.struct(*key, F.struct(*fields).alias("x")))).alias("all"))
+    box = candidates.select(*fields).schema
+    schema = candidates.select("page_id", "kind").schema.add("boxes", ArrayType(box))
+
+    def run(batches):
+        for batch in batches:
+            out = [_joined(x, gap) for x in batch.column("boxes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("kind"), pa.array(out, batch.column("boxes").type)], ["page_id", "kind", "boxes"])
+
+    arrays = grouped.select("page_id", "kind", F.transform("all", lambda x: x["x"]).alias("boxes"))
+    return arrays.mapInArrow(run, schema).select("page_id", "kind", F.explode("boxes").alias("x")).select("page_id", "kind", "x.*").drop("source")
 
 
 def drawing_order(plan: DataFrame) -> DataFrame:
@@ -89,15 +117,40 @@ def edited(plan: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def undo_stack(steps: DataFrame, depth: int = 50) -> DataFrame:
-    """(page_id, states): the history of steps(page_id, step, op, state) after PUSH and UNDO, `depth` at most."""
-    grouped = steps.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("step", "op", "state"))).alias("all"))
-    zero = F.array().cast("array<string>")
+    """(page_id, states): the history of steps(page_id, step, op, state) after PUSH, UNDO and REDO, `depth` at most.
 
-    def fold(stack, x):
-        pushed = F.concat(stack, F.array(x["state"]))
-        return F.when(x["op"] == "UNDO", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.slice(pushed, F.greatest(F.size(pushed) - depth, F.lit(0)) + 1, depth))
-
-    return grouped.select("page_id", F.aggregate("all", zero, fold).alias("states"))
+    Rows are dealt and sorted by page and step and streamed; a task holds one page's stack of `depth` states, whatever the
+    length of its history. A push forgets what could be redone.
+    """
+    schema = steps.select("page_id").schema.add("states", ArrayType(StringType()))
+
+    def run(batches):
+        page, states, undone, open_ = None, [], [], False
+        for batch in batches:
+            done = []
+            for own, op, state in zip(*(batch.column(c).to_pylist() for c in ("page_id", "op", "state"))):
+                if open_ and own != page:
+                    done.append((page, states))
+                if not open_ or own != page:
+                    page, states, undone, open_ = own, [], [], True
+                if op == "UNDO":
+                    if states:
+                        undone.append(states.pop())
+                        del undone[:-depth]
+                elif op == "REDO":
+                    if undone:
+                        states.append(undone.pop())
+                else:
+                    states.append(state)
+                    undone = []
+                del states[:-depth]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], batch.schema.field("page_id").type), pa.array([list(x) for _, x in done], pa.list_(pa.string()))], ["page_id", "states"])
+            last = batch.schema.field("page_id").type
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([page], last), pa.array([states], pa.list_(pa.string()))], ["page_id", "states"])
+
+    return steps.select("page_id", "step", "op", "state").repartition("page_id").sortWithinPartitions("page_id", "step").mapInArrow(run, schema)
 
 
 def newest(runs: DataFrame, by: list[str], n: int = 20) -> DataFrame:

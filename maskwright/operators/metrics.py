@@ -45,9 +45,36 @@ def recall_by_kind(found: DataFrame, truth: DataFrame, cover: float = 0.5, longe
 
 
 def character_error_rate(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, n, exact, cer) of pairs(*by, truth, read)."""
-    edits = F.levenshtein("truth", "read")
-    return pairs.groupBy(*by).agg(F.count("*").alias("n"), F.sum((F.col("truth") == F.col("read")).cast("long")).alias("exact"), (F.sum(edits) / F.sum(F.length("truth"))).alias("cer"))
+    """(*by, n, exact, exact_no_space, cer) of pairs(*by, truth, read): whole texts; null counts as empty."""
+    truth, read = F.coalesce("truth", F.lit("")), F.coalesce("read", F.lit(""))
+    plain = lambda x: F.regexp_replace(x, r"\s+", "")
+    edits = F.levenshtein(truth, read)
+    return pairs.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum((truth == read).cast("long")).alias("exact"), F.sum((plain(truth) == plain(read)).cast("long")).alias("exact_no_space"),
+        (F.sum(edits) / F.nullif(F.sum(F.length(truth)), F.lit(0))).alias("cer"),
+    )
+
+
+def substring_distance(pairs: DataFrame) -> DataFrame:
+    """pairs with `edits`: the least edit distance of truth to any piece of read (semi-global alignment); Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    def distance(truth: str, read: str) -> int:
+        row = np.zeros(len(read) + 1, np.int64)  # an alignment may begin anywhere
+        codes = np.array([ord(c) for c in read], np.int64)
+        step = np.arange(len(read) + 1)
+        for i, c in enumerate(truth):
+            best = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+            best = np.concatenate([[i + 1], best])
+            row = np.minimum.accumulate(best - step) + step
+        return int(row.min())
+
+    @F.pandas_udf("int")
+    def edits(truth: pd.Series, read: pd.Series) -> pd.Series:
+        return pd.Series([distance(a or "", b or "") for a, b in zip(truth, read)], dtype="int32")
+
+    return pairs.withColumn("edits", edits("truth", "read"))
 
 
 def kind_counts(found: DataFrame, by: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +9,23 @@ LINE_CHARS, BUDGET = 120, 1200
 
 
 def chunks(lines: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(page_id, chunk, line_no, n, text): lines, shortened to 120 characters, packed greedily to the budget, numbered from 1."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no")
-        chunk, used, n, out = 0, 0, 0, []
-        for line_no, text in zip(frame["line_no"], frame["text"]):
-            text = text[:LINE_CHARS]
-            if n and used + len(text) > budget:
-                chunk, used, n = chunk + 1, 0, 0
-            used, n = used + len(text), n + 1
-            out.append((frame["page_id"].iloc[0], chunk, line_no, n, text))
-        return pd.DataFrame(out, columns=["page_id", "chunk", "line_no", "n", "text"])
-
-    usable = lines.where((F.col("confidence") >= 0.5) & (F.regexp_count("text", F.lit(r"[\p{L}0-9]")) >= 2))
-    schema = lines.select("page_id").schema.add("chunk", "integer").add("line_no", lines.schema["line_no"].dataType).add("n", "integer").add("text", "string")
-    return usable.select("page_id", "line_no", "text").groupBy("page_id").applyInPandas(pack, schema)
+    """(page_id, chunk, line_no, n, text): lines, shortened to 120 characters, packed greedily to the budget, numbered from 1.
+
+    The lengths of a page's lines are folded in one array; the texts stay in their rows.
+    """
+    usable = lines.where((F.col("confidence") >= 0.5) & (F.regexp_count("text", F.lit(r"[\p{L}0-9]")) >= 2)).select("page_id", "line_no", F.substring("text", 1, LINE_CHARS).alias("text"))
+    sizes = usable.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", F.length("text").alias("size")))).alias("all"))
+    kind = lines.schema["line_no"].dataType.simpleString()
+    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<struct<line_no:{kind},chunk:int,n:int>>").alias("out"))
+
+    def step(acc, x):
+        new = (acc["n"] > 0) & (acc["used"] + x["size"] > budget)
+        chunk, n = acc["chunk"] + new.cast("int"), F.when(new, 1).otherwise(acc["n"] + 1)
+        used = F.when(new, x["size"]).otherwise(acc["used"] + x["size"])
+        return F.struct(chunk.alias("chunk"), used.alias("used"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["line_no"].alias("line_no"), chunk.alias("chunk"), n.alias("n")))).alias("out"))
+
+    placed = sizes.select("page_id", F.explode(F.aggregate("all", zero, step, lambda acc: acc["out"])).alias("x")).select("page_id", "x.*")
+    return placed.join(usable, ["page_id", "line_no"]).select("page_id", "chunk", "line_no", "n", "text")
 
 
 def parsed(replies: DataFrame) -> DataFrame:

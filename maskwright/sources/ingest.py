@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import MapType
 
 LINE_PITCH, CHAR_SIZE, LEFT, TOP = 40, 20, 40, 100
 
@@ -19,9 +21,12 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def conversation_lines(turns: DataFrame) -> DataFrame:
-    """Lines of conversations; a line's number counts through all turns."""
-    cut = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("within", "line")
-    return turns.select(F.col("conv_id").alias("page_id"), "turn", "role", cut).select("page_id", "turn", "role", (F.col("turn") * 10_000 + F.col("within")).alias("line_no"), F.col("line").alias("text"), F.lit(0.95).alias("confidence"))
+    """Lines of conversations; a line's number counts on through all turns of its conversation, whatever their lengths."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    before = F.sum(F.size("_lines")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1))
+    placed = turns.withColumn("_lines", lines).withColumn("_first", F.coalesce(before, F.lit(0)))
+    cut = placed.select(F.col("conv_id").alias("page_id"), "turn", "role", "_first", F.posexplode("_lines").alias("within", "line"))
+    return cut.select("page_id", "turn", "role", (F.col("_first") + F.col("within")).alias("line_no"), F.col("line").alias("text"), F.lit(0.95).alias("confidence"))
 
 
 def with_boxes(lines: DataFrame) -> DataFrame:
@@ -101,19 +106,28 @@ def write_redacted(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_if_unchanged(df: DataFrame, path: str, seen_rows: int) -> bool:
-    """Replaces a table only if it still has the rows that were seen: written beside it first, then moved in its place."""
+def table_fingerprint(df: DataFrame) -> tuple[int, int]:
+    """(rows, a sum of row hashes) of a table, whatever the order and partitioning of its rows."""
+    wide = F.xxhash64(*[F.to_json(F.col(c)) if isinstance(t.dataType, MapType) else F.col(c) for c, t in zip(df.columns, df.schema)])
+    row = df.agg(F.count("*").alias("n"), F.sum(wide.cast("decimal(38,0)")).alias("h")).first()
+    return row.n, int(row.h or 0)
+
+
+def write_if_unchanged(df: DataFrame, path: str, seen: tuple[int, int]) -> bool:
+    """Replaces a table only if its fingerprint is still the one that was seen. The new table is written beside it and moved in
+    its place; the old one is deleted once the new one has been read back with the rows that were written, else put back."""
     spark = df.sparkSession
-    if spark.read.parquet(path).count() != seen_rows:
+    if table_fingerprint(spark.read.parquet(path)) != tuple(seen):
         return False
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
     store = at.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    written = table_fingerprint(spark.read.parquet(f"{path}.new"))
     store.rename(at, old)
-    if not store.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.new"), at):
-        store.rename(old, at)
-        return False
-    store.delete(old, True)
-    return True
+    if store.rename(new, at) and table_fingerprint(spark.read.parquet(path)) == written:
+        store.delete(old, True)
+        return True
+    store.delete(at, True)
+    store.rename(old, at)
+    return False
