@@ -65,14 +65,24 @@ def fields(line: Column) -> Column:
 
 def is_line(line: Column) -> Column:
     """A line of a document: names with their fillers, or fields with two right check digits (one on a first line of a card)."""
-    found = fields(line)
-    return F.coalesce(F.when(found["names"].isNotNull(), True).otherwise(found["checks"] >= F.when(found["birth"].isNull(), 1).otherwise(2)), F.lit(False))
+
+    def ok(found: Column) -> Column:
+        return F.coalesce(F.when(found["names"].isNotNull(), True).otherwise(found["checks"] >= F.when(found["birth"].isNull(), 1).otherwise(2)), F.lit(False))
+
+    return S.let(fields(line), ok)
 
 
 def find(text: Column) -> Column:
-    """Spans of runs of such characters, single blanks included, that are a line of a document."""
-    runs = S.find_spans(text, rf"[A-Za-z0-9<{FILLERS}]+(?: [A-Za-z0-9<{FILLERS}]+)*")
-    return F.filter(runs, lambda x: F.length(plain(x["token"])).isin(30, 36, 44) & is_line(x["token"]))
+    """Spans of runs of such characters, blanks included, that are a line of a document. (The runs are of one class of
+    characters: nested repeats would overflow the matcher's stack on long texts.)"""
+    runs = S.find_spans(text, rf"[A-Za-z0-9<{FILLERS}][A-Za-z0-9<{FILLERS} ]{{28,}}+")
+
+    def trimmed(x: Column) -> Column:
+        value = F.rtrim(x["token"])
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), value.alias("token"))
+
+    sized = F.filter(runs, lambda x: F.length(plain(x["token"])).isin(30, 36, 44))
+    return F.filter(F.transform(sized, trimmed), lambda x: is_line(x["token"]))
 
 
 def read(lines: DataFrame) -> DataFrame:

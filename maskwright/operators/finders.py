@@ -128,7 +128,7 @@ def valued(labels: str, value: str, between: str = r"\s{0,2}[:：]?\s{0,2}", che
 
 def collect_codes(text: Column) -> Column:
     """A code of four digits or more behind 凭, where the rest of the sentence tells to fetch something."""
-    words = S.find_spans(text, "[A-Za-z0-9]+(?: ?[-－] ?[A-Za-z0-9]+)*")
+    words = S.find_spans(text, "[A-Za-z0-9]++(?: ?[-－] ?[A-Za-z0-9]++){0,6}")
 
     def fits(x):
         rest = F.regexp_extract(F.substring(text, x["end"] + 1, F.lit(200)), "^[^。；;！!？?]*", 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,6 @@ def character_error_rate(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def substring_distance(pairs: DataFrame) -> DataFrame:
     """pairs with `edits`: the least edit distance of truth to any piece of read (semi-global alignment); Arrow batches."""
-    import numpy as np
-    import pandas as pd
 
     def distance(truth: str, read: str) -> int:
         row = np.zeros(len(read) + 1, np.int64)  # an alignment may begin anywhere
@@ -70,13 +70,56 @@ def substring_distance(pairs: DataFrame) -> DataFrame:
             row = np.minimum.accumulate(best - step) + step
         return int(row.min())
 
-    @F.pandas_udf("int")
     def edits(truth: pd.Series, read: pd.Series) -> pd.Series:
         return pd.Series([distance(a or "", b or "") for a, b in zip(truth, read)], dtype="int32")
 
-    return pairs.withColumn("edits", edits("truth", "read"))
+    return pairs.withColumn("edits", F.pandas_udf(edits, "int")("truth", "read"))
 
 
 def kind_counts(found: DataFrame, by: str) -> DataFrame:
     """Counts by kind and `by` with subtotals and the total."""
     return found.rollup("kind", by).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def tally(found: DataFrame, truth: DataFrame, most: float = 0.5, inside: float = 0.7) -> DataFrame:
+    """(page_id, kind, wanted, hit, extra): greedy one-to-one matches of boxes by falling IoU; IoU of `most` or `inside` of the
+    smaller box contained is needed. The candidate pairs of a page and kind are folded in one array."""
+    w = F.greatest(F.least("f.r", "t.r") - F.greatest("f.l", "t.l"), F.lit(0))
+    h = F.greatest(F.least("f.b", "t.b") - F.greatest("f.t", "t.t"), F.lit(0))
+    size = lambda x: (F.col(f"{x}.r") - F.col(f"{x}.l")) * (F.col(f"{x}.b") - F.col(f"{x}.t"))
+    iou = w * h / F.nullif(size("f") + size("t") - w * h, F.lit(0))
+    near = (F.col("f.page_id") == F.col("t.page_id")) & (F.col("f.kind") == F.col("t.kind")) & ((iou >= most) | (w * h >= inside * F.least(size("f"), size("t"))))
+    pairs = found.alias("f").join(truth.alias("t"), near).select("t.page_id", "t.kind", F.struct((-iou).alias("o"), F.col("t.id").alias("t"), F.col("f.id").alias("f")).alias("p"))
+    one = pairs.groupBy("page_id", "kind").agg(F.sort_array(F.collect_list("p")).alias("all"))
+    zero = F.array().cast(f"array<{pairs.schema['p'].dataType.simpleString()}>")
+    taken = F.aggregate("all", zero, lambda out, p: F.when(F.exists(out, lambda o: (o["t"] == p["t"]) | (o["f"] == p["f"])), out).otherwise(F.concat(out, F.array(p))))
+    hits = one.select("page_id", "kind", F.size(taken).cast("long").alias("hit"))
+    n = lambda df, name: df.groupBy("page_id", "kind").agg(F.count("*").alias(name))
+    both = n(truth, "wanted").join(n(found, "all_found"), ["page_id", "kind"], "full").join(hits, ["page_id", "kind"], "left")
+    zero_ = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return both.select("page_id", "kind", zero_("wanted").alias("wanted"), zero_("hit").alias("hit"), (zero_("all_found") - zero_("hit")).alias("extra"))
+
+
+def ensemble(one: DataFrame, other: DataFrame, least: float = 0.6) -> DataFrame:
+    """one(page_id, line_no, l, t, r, b, text, confidence) with the text of its best partner in other where that is surer."""
+    w = F.greatest(F.least("x.r", "y.r") - F.greatest("x.l", "y.l"), F.lit(0))
+    h = F.greatest(F.least("x.b", "y.b") - F.greatest("x.t", "y.t"), F.lit(0))
+    size = lambda x: (F.col(f"{x}.r") - F.col(f"{x}.l")) * (F.col(f"{x}.b") - F.col(f"{x}.t"))
+    iou = w * h / F.nullif(size("x") + size("y") - w * h, F.lit(0))
+    met = one.alias("x").join(other.alias("y"), (F.col("x.page_id") == F.col("y.page_id")) & (iou >= least))
+    best = met.groupBy("x.page_id", "x.line_no").agg(F.max_by(F.struct("y.text", "y.confidence"), F.struct(iou, -F.col("y.line_no"))).alias("p"))
+    both = one.join(best, ["page_id", "line_no"], "left")
+    surer = F.coalesce(F.col("p.confidence") > F.col("confidence"), F.lit(False))
+    return both.withColumns({"text": F.when(surer, F.col("p.text")).otherwise(F.col("text")), "confidence": F.greatest("confidence", "p.confidence")}).drop("p")
+
+
+def joined_spans(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """Spans of one kind on a line with nothing or one blank between, or, for addresses, a comma and a region code, as one."""
+    cut = spans.join(lines.select("page_id", "line_no", "text"), ["page_id", "line_no"])
+    keys = "page_id, line_no, kind"
+    reach = F.expr(f"max(`end`) over (partition by {keys} order by start, `end` rows between unbounded preceding and 1 preceding)")
+    placed = cut.withColumn("_reach", reach)
+    between = F.substring(F.col("text"), F.col("_reach") + 1, F.greatest(F.col("start") - F.col("_reach"), F.lit(0)))
+    glued = between.rlike("^ ?$") | (F.col("kind") == "POSTAL_ADDRESS") & between.rlike("^, ?(?:[A-Z]{2},? ?)?$")
+    run = placed.withColumn("_new", F.coalesce((~glued).cast("int"), F.lit(1))).withColumn("_run", F.expr(f"sum(_new) over (partition by {keys} order by start, `end` rows between unbounded preceding and current row)"))
+    return run.groupBy("page_id", "line_no", "kind", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")

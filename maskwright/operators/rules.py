@@ -155,7 +155,7 @@ CATALOGUE: tuple[Rule, ...] = (
         Scan(P.chinese_addresses, 0.8),
     ), yields_to=("LICENSE_PLATE",)),
     Rule("pickup", "PICKUP_CODE", (
-        Scan(P.valued(f"(?:{_PICKUP})", "(?<![A-Za-z0-9－-])[A-Za-z0-9]+(?: ?[-－] ?[A-Za-z0-9]+)*", r"\s?[:：为是]?\s?", check=lambda v: v.rlike("[0-9]")), 0.8),
+        Scan(P.valued(f"(?:{_PICKUP})", "(?<![A-Za-z0-9－-])[A-Za-z0-9]++(?: ?[-－] ?[A-Za-z0-9]++){0,6}", r"\s?[:：为是]?\s?", check=lambda v: v.rlike("[0-9]")), 0.8),
         Scan(P.collect_codes, 0.7),
     )),
     Rule("birthdate", "BIRTH_DATE", (

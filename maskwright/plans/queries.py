@@ -442,3 +442,6 @@ def labelled_lines(spark, sf_dir):
 def checksum_vectors(spark, sf_dir):
     vectors = spark.createDataFrame([x[:2] for x in fixtures.CHECKSUMS], "family string, value string")
     return vectors.select("family", "value", V.valid(F.col("family"), F.col("value")).alias("valid"))
+
+
+from . import page_queries  # noqa: E402, F401  (registers its queries)
