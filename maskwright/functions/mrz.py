@@ -75,7 +75,7 @@ def is_line(line: Column) -> Column:
 def find(text: Column) -> Column:
     """Spans of runs of such characters, blanks included, that are a line of a document. (The runs are of one class of
     characters: nested repeats would overflow the matcher's stack on long texts.)"""
-    runs = S.find_spans(text, rf"[A-Za-z0-9<{FILLERS}][A-Za-z0-9<{FILLERS} ]{{28,}}+")
+    runs = S.find_spans(text, rf"[A-Z0-9<{FILLERS}][A-Z0-9<{FILLERS} ]{{28,}}+")
 
     def trimmed(x: Column) -> Column:
         value = F.rtrim(x["token"])

@@ -44,8 +44,12 @@ def redact_documents(docs: DataFrame, states: dict[str, str] | None = None) -> D
         def settle(found):
             return F.when(F.size(found) > 0, R.yielded(line, found, chosen)).otherwise(found)
 
-        hit = S.let(S.let(R.hits(half_width_digits(line), chosen), settle), finish)
-        return F.when(R.may_match(half_width_digits(line), chosen), hit).otherwise(F.struct(line.alias("text"), F.lit(0).alias("n")))
+        def look(folded):
+            hit = S.let(S.let(R.hits(folded, chosen), settle), finish)
+            return F.when(R.may_match(folded, chosen), hit).otherwise(F.struct(line.alias("text"), F.lit(0).alias("n")))
+
+        # Digits are folded once per line.
+        return S.let(half_width_digits(line), look)
 
     done = docs.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), one))
     return done.select("doc_id", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("redacted"), F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_masks"))
