@@ -92,7 +92,8 @@ def links(nodes: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, enough to connect all that differ in two bits or fewer."""
     out = None
     for segments in levels:
-        spread = _spread(nodes, segments)
+        # Written once: the join below would work the cells out anew for each of its rows.
+        spread = materialize(_spread(nodes, segments))
         cells = materialize(spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
         pairs = cells.where("n = 2").where(near).select("a", "b")
