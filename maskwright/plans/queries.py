@@ -430,11 +430,12 @@ _NUMBERED = [(i, *x) for i, x in enumerate(fixtures.RULE_LINES)]
 
 @query(f"SELECT n AS page_id, kind, token, (instr(text, token) - 1)::INT AS start FROM {_values(_NUMBERED)} v(n, text, kind, token) WHERE kind IS NOT NULL")
 def labelled_lines(spark, sf_dir):
-    """The rules over lines with one finding each, or none; each line's own rule is on, and the rules that it yields to."""
+    """The rules over lines with one finding each, or none; the rules that are off by default have lines of
+    their own, where they are on alone."""
     off_by_default = {"URL", "IP_ADDR", "LONG_NUMBER", "DATETIME"}
     lines = spark.createDataFrame([(i, 0, t, k in off_by_default, 0.95) for i, t, k, _ in _NUMBERED], "page_id int, line_no int, text string, extra boolean, confidence double")
     plain = rules.matches(lines.where("not extra").drop("extra"))
-    extra = rules.matches(lines.where("extra").drop("extra"), {r.id: "ON" for r in rules.CATALOGUE})
+    extra = rules.matches(lines.where("extra").drop("extra"), {r.id: "OFF" if r.enabled else "ON" for r in rules.CATALOGUE})
     return plain.union(extra).select("page_id", "kind", "token", "start")
 
 
