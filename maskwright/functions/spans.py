@@ -34,7 +34,7 @@ def find_spans(text: Column, pattern: str) -> Column:
 
         return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none()).otherwise(place(m, F.split(text, pattern, -1))))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none()).otherwise(let(F.split(text, pattern, -1), lambda gaps: place(m, gaps))))
 
 
 def narrowed(found: Column, inner: str) -> Column:
