@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
-from .common import table
+from . import decontaminate, filter_audit, language_id, line_dedup, mixing, pii, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity, vector_codes
+from .common import small_batches, table
 
 SPACES = r"[\x20\x09-\x0D]"
 
@@ -71,6 +71,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = secret_scan.find(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count(F.col("found"), k).alias(f"n_{k}") for k in secret_scan.BASE]
+    base, every = (secret_scan.digest(F.col("found"), k) for k in (secret_scan.BASE, secret_scan.BASE + secret_scan.ADDED))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 OP3_SQL = r"""
@@ -158,4 +179,63 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN hit h ON d.r = h.r LEFT JOIN named m ON d.r = m.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT d.part, coalesce(f.good, false) AS good, coalesce(f.toxic, false) AS toxic,
+                 (len(d.w) < 50)::INT + 2 * (100 * len(list_distinct(d.w)) < 65 * len(d.w))::INT
+                 + 4 * (100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t))::INT
+                 + 8 * regexp_matches(d.t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > x.first, false)::INT AS mask
+          FROM docs d JOIN firsts x ON d.t = x.t LEFT JOIN flags f ON d.doc_id = f.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+           FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+ranks AS (SELECT o, bits, m.mask, list_min(list_transform(range(1, 6), lambda s: CASE WHEN m.mask & bits[s] > 0 THEN s ELSE 6 END)) AS r
+          FROM orders, (SELECT DISTINCT mask FROM counts) m),
+steps AS (SELECT part, o, bits, s.s, sum(n) AS total,
+                 coalesce(sum(n) FILTER (r > s.s), 0) AS kept, coalesce(sum(n) FILTER (r = s.s), 0) AS removed,
+                 coalesce(sum(n) FILTER (r < s.s AND mask & bits[s.s] > 0), 0) AS redundant,
+                 coalesce(sum(n) FILTER (mask = bits[s.s]), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (r = s.s), 0) AS good_lost, coalesce(sum(toxic) FILTER (r = s.s), 0) AS toxic_lost
+          FROM counts JOIN ranks USING (mask), (SELECT unnest(range(1, 6)) AS s) s GROUP BY part, o, bits, s.s)
+SELECT part, array_to_string(o, '') AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, o[s]))::BIGINT AS shapley
+FROM steps
+"""
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Assignments and refits of all rounds, one after the other."""
+    out = [
+        r"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, (SELECT unnest(range(8)) AS p) p)""",
+        """book0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN (SELECT arg_min(r, v) AS r, row_number() OVER (ORDER BY vec_id) - 1 AS e
+  FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT 16) s USING (r))""",
+    ]
+    for k in range(rounds + 1):
+        out.append(
+            f"""near{k} AS MATERIALIZED (SELECT r, p, first(x) AS x, min((d, e)) AS best FROM (SELECT r, p, e, x,
+  list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN book{k} USING (p)) GROUP BY r, p)"""
+        )
+        if k < rounds:
+            out.append(
+                f"""book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (SELECT p, e, list(mean ORDER BY j) AS c FROM (
+  SELECT p, e, j, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS mean
+  FROM (SELECT p, best[2] AS e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM near{k}) GROUP BY p, e, j) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+            )
+    out.append(f"""coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY r)""")
+    return (
+        "WITH " + ",\n".join(out) + f"""
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept k JOIN coded c USING (r)
+"""
+    )
+
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL, "op11_filter_audit": OP11_SQL, "op12_vector_codes": _op12_sql()}
