@@ -14,6 +14,9 @@ from ..functions import validators as V
 
 # Words around values, name lists (our own short selection), shapes of plates by country.
 SEX = "男|女"
+NAME_LABELS_LATIN = "Ship to|Bill to|Deliver to|Recipient|Passenger|Full name|Name|Guest|Cardholder"
+NAME_LABELS_HAN = "收货人|收件人|寄件人|姓名|联系人|乘机人|乘车人"
+KEY_PREFIXES = ("sk-", "ghp_", "gho_", "ghs_", "AKIA", "eyJ")
 PHONE_STOP = ("电话", "手机", "联系电话", "手机号", "客服", "热线", "座机", "传真", "号码", "联系方式")
 SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段钱汤尹黎易常武乔贺赖龚文"
 FIRST = "James Mary John Linda Robert Susan Michael Karen William Nancy David Lisa Richard Emma Joseph Alice Thomas Anna Charles Laura Daniel Sarah Paul Emily Mark Grace George Helen Kevin Julia Brian Diana Edward Claire Peter Sophie Henry Olivia".split()
@@ -42,7 +45,16 @@ PLATES_ALONE = {
     "de": r"[A-ZÄÖÜ]{1,3}[- ][A-Z]{1,2} ?[0-9]{1,4}[EH]?", "es": r"[0-9]{4} [BCDFGHJKLMNPRSTVWXYZ]{3}", "abc_1234": r"[A-Z]{3}[- ][0-9]{3,4}", "ca": r"[0-9][A-Z]{3}[0-9]{3}", "id": r"[A-Z]{1,2} [0-9]{1,4} [A-Z]{1,3}",
     "pl_no_dk": r"[A-Z]{2} ?[0-9]{5}", "cz": r"[0-9][A-Z][0-9A-Z] [0-9]{4}", "tr": r"[0-9]{2} [A-Z]{1,3} [0-9]{2,4}", "ru_short": r"[АВЕКМНОРСТУХ][0-9]{3}[АВЕКМНОРСТУХ]{2}", "pt_nl_mo": r"[A-Z0-9]{2}-[A-Z0-9]{2}-[A-Z0-9]{2}",
 }
-CODE_CONTEXT = r"(?i)(?:order|invoice|model|part|item|flight|ref|code|sku|version|room|gate|订单|型号|航班|编号|单号|货号)[^A-Za-z一-鿿]{0,3}$"
+#: Words for numbers of other things: a Latin shape in a line with one of them is no plate by its shape alone.
+CODE_CONTEXT = r"(?i)(?<![A-Za-z])(?:orders?|invoice|receipt|model|part|item|flight|ref|reference|code|sku|serial|version|room|gate|seat|tracking)(?![A-Za-z])|订单|型号|航班|编号|单号|货号|序列号"
+#: Words that stand where names stand in labels and headers but are none.
+NOT_NAMES = (
+    "Account Address All Amount And Any Area Auto Balance Bank Best Billing Bonus Book Branch Business Card Cash Center Centre Charge Check City Class Club Code Company Confirm Contact Cost Country Credit Customer Data Date Daily Deal "
+    "Delivery Department Deposit Desk Detail Details Discount Dollar Due Email Entry Event Express Fee File First Flight For Form Free Friend From Gate General Gift Group Guest Help Here Home Hotel Hour House Internet Invoice Item "
+    "Last Lounge Mail Mailing May Member Menu Mobile Mode Monthly More Name Network New Next Not Note Notice Number Offer Office Online Only Open Order Our Page Parcel Park Parking Pass Password Payment Pending Phone Please Point "
+    "Points Policy Price Private Product Public Receipt Required Room Sale Search Section See Select Service Services Shipping Shop Sign Standard Start Status Store Street Subtotal Support Tax Team Terms Text Thank Thanks The Ticket "
+    "Time To Today Total Transfer Type Unknown Update User View Visit Voucher Waiting Website Weekly Welcome Whom Wi Wifi With Work Your Zone"
+).split()
 
 
 def _any(*patterns: str) -> str:
@@ -170,13 +182,122 @@ def name_cues(text: Column) -> Column:
         r"(?<![A-Za-z/])[A-Z]{2,}/[A-Z]{2,}(?= (?:MR|MRS|MS|MISS|MSTR)\b)",
         rf"(?<![A-Za-z]){one}(?: {one})?(?= (?:joined|left|was added|was removed)\b)",
     )
-    return F.filter(S.find_spans(text, cues), lambda x: ~x["token"].isin("Mr", "Mrs", "Ms", "Dr", "Prof", "Miss", "Sir", "Madam", "Customer", "Team", "All", "There", "Everyone", "Customer Reviews", "Guest"))
+    return F.filter(S.find_spans(text, cues), lambda x: no_other_words(x["token"]) & ~x["token"].isin("Mr", "Mrs", "Ms", "Dr", "Prof", "Miss", "Sir", "Madam", "Customer", "Team", "All", "There", "Everyone", "Customer Reviews", "Guest"))
+
+
+def no_other_words(token: Column) -> Column:
+    """Whether none of the token's words is one that only looks like a name."""
+    return ~token.rlike(rf"(?<![A-Za-z])(?:{'|'.join(NOT_NAMES)})(?![A-Za-z])")
+
+
+def labelled_names(text: Column) -> Column:
+    """A name behind a label: Latin labels need a colon, Chinese ones a colon or a blank."""
+    latin = r"[A-Z][a-z'-]+(?: [A-Z][a-z'.-]*){1,3}(?![A-Za-z])"
+    found = S.find_spans(text, rf"{latin}|(?<![一-鿿])[一-鿿]{{2,4}}(?![一-鿿])|(?<=[:：])[一-鿿]{{2,4}}(?![一-鿿])")
+
+    def fits(x):
+        lead = S.before(text, x["start"], 24)
+        english = lead.rlike(rf"(?<![A-Za-z])(?:{NAME_LABELS_LATIN})\s{{0,2}}[:：]\s{{0,2}}$|(?:{NAME_LABELS_HAN})\s{{0,2}}[:：]\s{{0,2}}$")
+        chinese = x["token"].rlike("^[一-鿿]") & lead.rlike(rf"(?:^|[^一-鿿])(?:{NAME_LABELS_HAN})\s{{1,2}}$")
+        return (english | chinese) & no_other_words(x["token"]) & ~x["token"].isin(*PHONE_STOP)
+
+    return F.filter(found, fits)
+
+
+def emails(text: Column) -> Column:
+    """Runs of the characters of addresses, marks at their end aside, with one @ between a name and a host of known suffix."""
+
+    def trimmed(x):
+        value = F.rtrim(x["token"], F.lit(".-"))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), value.alias("token"))
+
+    def fits(x):
+        sides = F.split(x["token"], "@")
+        labels = F.split(F.get(sides, F.lit(1)), r"\.")
+        whole = F.forall(labels, lambda y: y.rlike("^[A-Za-z0-9-]+$")) & F.element_at(labels, -1).rlike("^[A-Za-z]{2,24}$")
+        return (F.size(sides) == 2) & (F.get(sides, F.lit(0)) != "") & (F.size(labels) >= 2) & whole & V.known_tld(F.element_at(labels, -1))
+
+    return F.filter(F.transform(S.find_spans(text, "[A-Za-z0-9._%+@-]+"), trimmed), fits)
+
+
+def social_numbers(text: Column) -> Column:
+    """Groups of three, two and four digits a hyphen apart that can be a social security number."""
+    return F.filter(S.find_spans(text, "[0-9]+(?:-[0-9]+)*"), lambda x: (S.after(text, x["end"], 1) != "-") & (S.before(text, x["start"], 1) != "-") & V.ssn(x["token"]))
+
+
+def hardware_addresses(text: Column) -> Column:
+    """Runs of hexadecimal digits with colons or hyphens that are six pairs with one kind of mark."""
+    return F.filter(S.find_spans(text, "[0-9A-Fa-f:-]{11,}"), lambda x: V.mac(x["token"]))
+
+
+def api_keys(text: Column) -> Column:
+    """Words that begin as keys of services do and go on for twelve characters or more, with over 3.5 bits a character."""
+    words = S.find_spans(text, "[A-Za-z0-9_.-]+")
+
+    def fits(x):
+        begins = F.lit(False)
+        for prefix in KEY_PREFIXES:
+            begins = begins | (x["token"].startswith(prefix) & (F.length(x["token"]) >= len(prefix) + 12))
+        return begins & (V.entropy(x["token"]) > 3.5)
+
+    return F.filter(words, fits)
+
+
+def times(text: Column) -> Column:
+    """Hours and minutes, perhaps seconds and half of the day."""
+    found = S.find_spans(text, r"[0-9]{1,2}(?::[0-9]{2})+(?: ?[AaPp]\.?[Mm]\b\.?)?")
+
+    def fits(x):
+        part = F.split(F.regexp_extract(x["token"], "^[0-9:]+", 0), ":")
+        below = lambda i, n: F.coalesce(F.get(part, F.lit(i)).cast("int") < n, F.lit(True))
+        return F.size(part).between(2, 3) & below(0, 24) & below(1, 60) & below(2, 60) & ~S.before(text, x["start"], 1).rlike("[0-9:.]") & ~S.after(text, x["end"], 1).rlike("[0-9:]")
+
+    return F.filter(found, fits)
+
+
+def dates_and_times(text: Column) -> Column:
+    """Dates with the time behind them, month and day with a time, and times alone; a date must be in the calendar."""
+    days = F.filter(S.find_spans(text, r"[0-9]{1,2}[-/][0-9]{1,2}(?= ?[0-9]{1,2}:)"), lambda x: F.substring_index(F.replace(x["token"], F.lit("/"), F.lit("-")), "-", 1).cast("int").between(1, 12) & F.regexp_extract(x["token"], "[0-9]+$", 0).cast("int").between(1, 31) & ~S.before(text, x["start"], 1).rlike("[0-9/.-]"))
+    return S.joined_close(F.concat(D.find(text), days, times(text)), text, " ,T", 2)
+
+
+def long_numbers(text: Column) -> Column:
+    """Words of digits, capitals and hyphens with eight digits or more that are no date and no card number."""
+    words = S.find_spans(text, "[A-Za-z0-9_－-]+")
+
+    def bare(x):
+        lead = F.length(x["token"]) - F.length(F.ltrim(x["token"], F.lit("-－")))
+        value = F.trim(x["token"], F.lit("-－"))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), value.alias("token"))
+
+    def long(dated):
+        def fits(x):
+            digits = V.digits_of(x["token"])
+            whole = F.length(x["token"]) == F.length(F.regexp_replace(x["token"], "[^0-9A-Z－-]", ""))
+            return whole & (F.length(digits) >= 8) & ~F.exists(dated, lambda d: (d["start"] <= x["start"]) & (x["end"] <= d["end"])) & ~(x["token"].rlike("^[0-9-]+$") & V.luhn(digits))
+
+        return F.filter(F.transform(words, bare), fits)
+
+    return S.let(dates_and_times(text), long)
+
+
+def landlines(text: Column) -> Column:
+    """Chinese numbers with an area code, and numbers of seven to fifteen digits behind a word for telephones."""
+    found = S.find_spans(text, r"(?<![0-9A-Za-z+.-])\(?0[0-9]{1,3}\)?(?:[ -]?[0-9]){7,9}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+.-])[0-9(](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z-])")
+
+    def fits(x):
+        digits = V.digits_of(x["token"])
+        area = x["token"].rlike("^\\(?0(?:10|2[0-9]|[3-9][0-9]{2})\\)?[ -]?[2-9][0-9]{6,7}$") & F.length(digits).between(10, 12)
+        led = F.lower(S.before(text, x["start"], 14)).rlike("(?:^|[^a-z])(?:tel|tel no|telephone|phone|phone no|mobile|fax|call|hotline)[.:：]? ?$|(?:电话|手机|热线|传真|客服)[:： ]{0,2}$")
+        return (area | led & F.length(digits).between(7, 15)) & ~digits.rlike("^(.)\\1+$")
+
+    return F.filter(found, fits)
 
 
 def name_pairs(text: Column) -> Column:
     """A listed first name before a listed last one, or a romanised Chinese surname with one or two syllables; no brands."""
     listed = rf"(?:{_words(FIRST)})(?: [A-Z]\.)? (?:{_words(LAST)})"
-    pinyin = rf"(?:{_words(PINYIN_SURNAMES)}) {PINYIN_SYLLABLE}(?:{PINYIN_SYLLABLE.lower().replace('zh|ch|sh', 'zh|ch|sh')})?"
+    pinyin = rf"(?:{_words(PINYIN_SURNAMES)}) {PINYIN_SYLLABLE}(?:{PINYIN_SYLLABLE.lower()})?"
     found = S.find_spans(text, rf"(?<![A-Za-z])(?:{listed}|{pinyin})(?![A-Za-z])")
     return F.filter(found, lambda x: ~x["token"].isin(*BRANDS))
 
@@ -216,7 +337,8 @@ def plates(text: Column) -> Column:
     def fits(x):
         t = x["token"]
         singapore = t.rlike(rf"^{PLATES_DISTINCT['sg']}$")
-        return t.rlike("[0-9]") & ~S.before(text, x["start"], 12).rlike(CODE_CONTEXT) & (~singapore | V.sg_plate(F.replace(t, F.lit(" "), F.lit(""))))
+        latin = ~t.rlike("[一-鿿ぁ-んА-Яа-я]")
+        return t.rlike("[0-9]") & ~(latin & text.rlike(CODE_CONTEXT)) & (~singapore | V.sg_plate(F.replace(t, F.lit(" "), F.lit(""))))
 
     return F.filter(found, fits)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions.text import half_width_digits
+from . import classify as C
 from . import rules as R
 
 
@@ -32,24 +33,50 @@ def redact_lines(lines: DataFrame, states: dict[str, str] | None = None, floor:
     return settled.withColumns({"redacted": new, "n_masks": F.size(F.when(F.size("_hits") > 0, S.merged(F.col("_hits"))).otherwise(F.array().cast("array<struct<start:int,end:int>>")))}).drop("_hits")
 
 
-def redact_documents(docs: DataFrame, states: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, redacted, n_masks) of each document: line by line in one array, so that rows are never cut or shuffled."""
-    chosen = R.chosen(states)
-    none = F.array().cast(f"array<{R.HIT}>")
+@R.once_per_application
+def _document_steps(chosen: tuple) -> tuple[Column, Column, Column, Column]:
+    """The lines with their hits; anchors of the lines where one is a guess; rules with a sure hit; redacted lines."""
 
-    def one(line):
-        def finish(found):
-            return F.struct(F.when(F.size(found) > 0, redacted_text(line, found)).otherwise(line).alias("text"), F.size(S.merged(found)).alias("n"))
-
-        def settle(found):
-            return F.when(F.size(found) > 0, R.yielded(line, found, chosen)).otherwise(found)
+    def read(line):
+        def settle(folded, found):
+            return F.when(F.size(found) > 0, R.yielded(folded, found, chosen)).otherwise(found)
 
         def look(folded):
-            hit = S.let(S.let(R.hits(folded, chosen), settle), finish)
-            return F.when(R.may_match(folded, chosen), hit).otherwise(F.struct(line.alias("text"), F.lit(0).alias("n")))
+            none = F.array().cast(f"array<{R.HIT}>")
+            return F.when(R.may_match(folded, chosen), S.let(R.hits(folded, chosen, whole_page=True), lambda found: settle(folded, found))).otherwise(none)
 
         # Digits are folded once per line.
-        return S.let(half_width_digits(line), look)
+        return F.struct(line.alias("text"), S.let(half_width_digits(line), look).alias("hits"))
+
+    guessing = any(f.guess for r in chosen for f in r.finders)
+    cued = [r for r in chosen if any(getattr(f, "page", False) for f in r.finders)]
+    folded = lambda: F.transform("_lines", lambda x: half_width_digits(x["text"]))
+    guessed = F.exists("_lines", lambda x: F.exists(x["hits"], lambda h: R.is_guess(h, chosen)))
+    anchors = F.when(guessed, F.transform(folded(), C.nearby_anchors)) if guessing else F.lit(None)
 
-    done = docs.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), one))
+    def sure(rule):
+        return F.exists("_lines", lambda x: F.exists(x["hits"], lambda h: (h["rule_id"] == rule.id) & ~R.of_page(h, chosen) & ~R.is_guess(h, chosen)))
+
+    def finish(x, i):
+        kept = x["hits"]
+        if guessing:
+            kept = F.when(F.col("_anchors").isNull(), kept).otherwise(F.filter(kept, lambda h: ~R.is_guess(h, chosen) | C.supported_within(folded(), F.col("_anchors"), i, h)))
+        if cued:
+            kept = F.filter(kept, lambda h: ~R.of_page(h, chosen) | F.array_contains("_sure", h["rule_id"]))
+        new = lambda found: F.struct(F.when(F.size(found) > 0, redacted_text(x["text"], found)).otherwise(x["text"]).alias("text"), F.size(S.merged(found)).alias("n"))
+        return F.when(F.size(x["hits"]) == 0, F.struct(x["text"].alias("text"), F.lit(0).alias("n"))).otherwise(S.let(kept, new))
+
+    return F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), read), anchors, F.array_compact(F.array(*[F.when(sure(r), F.lit(r.id)) for r in cued])), F.transform("_lines", finish)
+
+
+def redact_documents(docs: DataFrame, states: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, redacted, n_masks): every finding of a document in place of its kind; a document is a page of lines.
+
+    Nothing is shuffled: a document's lines stay in its row. Guesses need an anchor as in classify, by the layout that
+    ingest.with_boxes gives to text; only documents with a guess are read again for anchors. Findings that only count beside
+    another of their rule need that in the document.
+    """
+    # Projections of their own: each array is worked out once.
+    steps = _document_steps(R.chosen(states))
+    done = docs.withColumn("_lines", steps[0]).withColumn("_anchors", steps[1]).withColumn("_sure", steps[2]).withColumn("_lines", steps[3])
     return done.select("doc_id", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("redacted"), F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_masks"))

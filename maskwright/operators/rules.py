@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, mrz
 from ..functions import spans as S
 from ..functions import validators as V
+from ..functions.text import half_width_digits
 from . import finders as P
 
 HIT = "struct<rule_id:string,kind:string,rule_ord:int,finder_ord:int,start:int,end:int,token:string,confidence:double>"
@@ -28,6 +31,9 @@ class Finder:
     confidence: float
     check: Callable[[Column, Column, Column], Column] | None = None
     inner: str | None = None
+    guess: bool = False
+    #: Only counts on pages with a sure finding of its rule (see classify).
+    page: bool = False
 
     def spans(self, text: Column) -> Column:
         found = S.find_spans(text, self.pattern)
@@ -42,6 +48,10 @@ class Scan:
 
     find: Callable[[Column], Column]
     confidence: float
+    #: Only counts beside something that speaks for it (see classify).
+    guess: bool = False
+    #: Only counts on pages with a sure finding of its rule (see classify).
+    page: bool = False
 
     def spans(self, text: Column) -> Column:
         return F.transform(self.find(text), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["token"].alias("token")))
@@ -56,11 +66,7 @@ class Rule:
     yields_to: tuple[str, ...] = field(default=())
 
 
-# Label words, time and date shapes, hints.
-_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-_TIME = r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?(?: ?[AaPp]\.?[Mm]\.?(?![A-Za-z]))?"
-_YMD = r"(?:19|20)[0-9]{2}(?:[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12][0-9]|3[01])| ?年 ?(?:0?[1-9]|1[0-2]) ?月 ?(?:0?[1-9]|[12][0-9]|3[01]) ?日)"
-_DATE = rf"(?:{_YMD}|(?:0?[1-9]|[12][0-9]|3[01])[/.](?:0?[1-9]|[12][0-9]|3[01])[/.](?:19|20)[0-9]{{2}}|(?i:{_MONTH})\.? ?[0-9]{{1,2}},? (?:19|20)[0-9]{{2}}|[0-9]{{1,2}} (?i:{_MONTH})\.?,? (?:19|20)[0-9]{{2}})"
+# Label words, hints.
 _ORDER_HINTS = "order|invoice|receipt|ref no|ref\\.|tracking|订单|单号|流水|发票"
 _PICKUP = "取件码|取货码|提货码|取件号|自提码|取餐码"
 _EXPIRY = "Expiry|Expires|Exp\\.?|Valid thru|Good thru|有效期至?|有效期限"
@@ -70,11 +76,20 @@ _BIRTH = "出生日期|出生年月日|出生年月|出生时间|出生|生年
 _PASSPORT = "Passport No\\.?|Passport Number|Passport #|Document No\\.?|Document Number|护照号码?|護照號碼?"
 _ID_LABELS = "公民身份号码|身份证号码?|证件号码?|ID No\\.?|ID Number|Identity No\\.?"
 _VIN_LABELS = "车辆识别代号|车架号|VIN"
-_NAME_LABELS = "Ship to|Bill to|Deliver to|Recipient|Passenger|Full name|Name|Guest|Cardholder|收货人|收件人|寄件人|姓名|联系人|乘机人|乘车人"
-THIS_YEAR = 2026
+NAME_LABELS = f"{P.NAME_LABELS_LATIN}|{P.NAME_LABELS_HAN}"
 _SEP = r"\s{0,2}[:：]?\s{0,2}"
 
 
+def this_year() -> Column:
+    return F.year(F.current_date())
+
+
+def _card_years(value: Column) -> Column:
+    """An expiry of last year to twelve years ahead."""
+    year = F.regexp_extract(value, "([0-9]{2})$", 1).cast("int") + 2000
+    return year.between(this_year() - 1, this_year() + 12)
+
+
 def _hinted(text: Column, start: Column, n: int = 12) -> Column:
     return F.lower(S.before(text, start, n)).rlike(_ORDER_HINTS)
 
@@ -88,37 +103,22 @@ def _version(token, text, start):
     return token.contains(":") | V.ipv4(token) & ~F.rtrim(lead).endswith("v") & ~lead.contains("version")
 
 
-def _long(token, text, start):
-    digits = V.digits_of(token)
-    dated = F.exists(S.find_spans(text, DATE_TIME), lambda d: (d["start"] <= start) & (start + F.length(token) <= d["end"]))
-    return (F.length(digits) >= 8) & ~dated & ~(token.rlike("^[0-9-]+$") & V.luhn(digits))
-
-
-def _real_date(token, text, start):
-    md = F.regexp_extract(token, r"^([0-9]{1,2})[-/][0-9]{1,2}(?= ?[0-9]{1,2}:)", 1)
-    day = F.regexp_extract(token, r"^[0-9]{1,2}[-/]([0-9]{1,2})(?= ?[0-9]{1,2}:)", 1)
-    iso = F.regexp_replace(F.regexp_extract(token, rf"^{_YMD}", 0), "[^0-9]+", "-")
-    calendar = F.try_to_timestamp(F.rtrim(iso, F.lit("-")), F.lit("y-M-d")).isNotNull()
-    return F.when(md != "", F.try_to_number(md, F.lit("99")).between(1, 12) & F.try_to_number(day, F.lit("99")).between(1, 31)).when(iso != "", calendar).otherwise(F.lit(True))
-
-
-DATE_TIME = rf"(?<![0-9:.])(?:{_DATE}(?:(?:[ T]|,? (?:at )?){_TIME})?|[0-9]{{1,2}}[-/][0-9]{{1,2}} ?{_TIME}|{_TIME})(?![0-9:])"
-
 #: In order of priority within a line.
 CATALOGUE: tuple[Rule, ...] = (
     Rule("card", "PAYMENT_CARD", (
         Scan(P.cards, 0.95),
         Scan(P.valued(f"(?<![A-Za-z])(?:{_CVV})", "(?<![0-9])[0-9]{3,4}(?![0-9])"), 0.8),
-        Scan(P.valued(f"(?i)(?:{_EXPIRY})", "(?<![0-9/])(?:0[1-9]|1[0-2]) ?/ ?(?:20)?[0-9]{2}(?![0-9/])"), 0.8),
+        Scan(P.valued(f"(?i)(?:{_EXPIRY})", "(?<![0-9/])(?:0[1-9]|1[0-2]) ?/ ?(?:20)?[0-9]{2}(?![0-9/])", check=_card_years), 0.8, page=True),
     ), yields_to=("PASSPORT", "ID_NUMBER")),
     Rule("iban", "IBAN", (Scan(P.ibans, 0.95),)),
-    Rule("ssn", "SSN", (Finder(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", 0.95, lambda v, t, s: V.ssn(v)),)),
-    Rule("mac", "MAC_ADDR", (Finder(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])", 0.9, lambda v, t, s: V.mac(v)),)),
-    Rule("email", "EMAIL", (Finder(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}(?![A-Za-z0-9.-])", 0.9, lambda v, t, s: V.known_tld(F.substring_index(v, ".", -1))),)),
+    Rule("ssn", "SSN", (Scan(P.social_numbers, 0.95),)),
+    Rule("mac", "MAC_ADDR", (Scan(P.hardware_addresses, 0.9),)),
+    Rule("email", "EMAIL", (Scan(P.emails, 0.9),)),
     Rule("phone", "PHONE", (
         Finder(r"(?<![0-9A-Za-z])\+[1-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])", 0.9),
         Finder(r"(?<![0-9A-Za-z(+.-])\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])", 0.9, _phone),
         Finder(r"(?<![0-9A-Za-z+-])1[3-9][0-9][ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9-])", 0.9, _phone),
+        Scan(lambda t: F.filter(P.landlines(t), lambda x: ~_hinted(t, x["start"])), 0.9),
         Scan(P.masked_mobiles, 0.85),
     ), yields_to=("PASSPORT", "ID_NUMBER")),
     Rule("passport", "PASSPORT", (
@@ -141,16 +141,16 @@ CATALOGUE: tuple[Rule, ...] = (
         Scan(P.vins, 0.9),
         Scan(P.valued("(?i)(?:发动机号码?|engine no\\.?)", "(?<![A-Za-z0-9])[A-Z0-9]{6,12}(?![A-Za-z0-9])", check=lambda v: v.rlike("[0-9]")), 0.8),
     )),
-    Rule("apikey", "API_KEY", (Finder(r"(?<![A-Za-z0-9_-])(?:sk-|ghp_|gho_|ghs_|AKIA|eyJ)[A-Za-z0-9_\-.]{12,}", 0.9, lambda v, t, s: V.entropy(v) > 3.5),)),
+    Rule("apikey", "API_KEY", (Scan(P.api_keys, 0.9),)),
     Rule("name", "PERSON_NAME", (
-        Finder(rf"(?<![A-Za-z])(?:{_NAME_LABELS}){_SEP}[:：]\s{{0,2}}(?:[A-Z][a-z'-]+(?: [A-Z][a-z'.-]*){{1,3}}|[一-鿿]{{2,4}})(?![A-Za-z一-鿿])", 0.8, inner="(?:[A-Z][a-z'-]+(?: [A-Z][a-z'.-]*){1,3}|[一-鿿]{2,4})$"),
+        Scan(P.labelled_names, 0.8),
         Scan(P.name_cues, 0.75),
         Scan(P.diploma_names, 0.8),
         Scan(P.names_before_phones, 0.7),
-        Scan(P.name_pairs, 0.7),
+        Scan(P.name_pairs, 0.7, guess=True),
     )),
     Rule("address", "POSTAL_ADDRESS", (
-        Scan(P.valued(f"(?i)(?:{_ADDRESS_LABELS})", "[^:： ][^:：]{3,59}$", r"\s{0,2}[:：]\s{0,2}"), 0.8),
+        Scan(P.valued(f"(?i)(?:{_ADDRESS_LABELS})", "[^:： ][^:：]{3,59}$", r"\s{0,2}[:：]\s{0,2}", check=lambda v: v.rlike("[0-9一-鿿]|, ?[A-Z]")), 0.8),
         Scan(P.english_addresses, 0.8),
         Scan(P.chinese_addresses, 0.8),
     ), yields_to=("LICENSE_PLATE",)),
@@ -159,8 +159,8 @@ CATALOGUE: tuple[Rule, ...] = (
         Scan(P.collect_codes, 0.7),
     )),
     Rule("birthdate", "BIRTH_DATE", (
-        Scan(P.valued(f"(?i)(?:{_BIRTH})", dates.SHAPE, r"\s{0,2}[:：]?\s{0,2}(?:on )?", check=lambda v: F.size(dates.readings(v)) > 0), 0.8),
-        Scan(lambda t: dates.born_on(t, THIS_YEAR), 0.8),
+        Scan(P.valued(f"(?i)(?:{_BIRTH})", dates.SHAPE, r"\s{0,2}[:：]?\s{0,2}(?:on )?", check=lambda v: F.exists(dates.readings(v), lambda r: r["y"].between(this_year() - 110, this_year()))), 0.8),
+        Scan(lambda t: dates.born_on(t, this_year()), 0.8),
     )),
     Rule("plate", "LICENSE_PLATE", (
         Scan(P.labelled_plates, 0.8),
@@ -168,8 +168,8 @@ CATALOGUE: tuple[Rule, ...] = (
     ), yields_to=("PASSPORT", "IBAN", "VIN", "ID_NUMBER")),
     Rule("url", "URL", (Finder(r"(?<![A-Za-z0-9@._-])(?:https?://)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}/[^\s]+", 0.7, lambda v, t, s: V.known_tld(F.regexp_extract(v, r"\.([A-Za-z]{2,24})/", 1)), inner="(?<=[A-Za-z]{2,24})(?<![/:])/[^/\\s][^\\s]*$"),), enabled=False),
     Rule("ip", "IP_ADDR", (Finder(r"(?<![\w.:])(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w.:])", 0.6, _version),), enabled=False),
-    Rule("longnum", "LONG_NUMBER", (Finder(r"(?<![A-Za-z0-9_])[0-9A-Z](?:[0-9A-Z－-]*[0-9A-Z])?(?![A-Za-z0-9_])", 0.4, _long),), enabled=False, yields_to=("*",)),
-    Rule("datetime", "DATETIME", (Finder(DATE_TIME, 0.6, _real_date),), enabled=False, yields_to=("BIRTH_DATE", "PICKUP_CODE")),
+    Rule("longnum", "LONG_NUMBER", (Scan(P.long_numbers, 0.4),), enabled=False, yields_to=("*",)),
+    Rule("datetime", "DATETIME", (Scan(P.dates_and_times, 0.6),), enabled=False, yields_to=("BIRTH_DATE", "PICKUP_CODE")),
 )
 
 BY_ID = {r.id: r for r in CATALOGUE}
@@ -204,8 +204,46 @@ def _as_hit(rule: Rule, rule_ord: int, finder_ord: int, finder: Finder):
     return build
 
 
-def hits(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """All hits of the rules in a line; within a rule, a hit that overlaps an earlier one is dropped."""
+def of_page(hit: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a hit only counts on pages with another finding of its rule."""
+    out = F.lit(False)
+    for rule in rules:
+        for j, f in enumerate(rule.finders):
+            if getattr(f, "page", False):
+                out = out | ((hit["rule_id"] == rule.id) & (hit["finder_ord"] == j))
+    return out
+
+
+def is_guess(hit: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a hit is of a finder that guesses."""
+    out = F.lit(False)
+    for rule in rules:
+        if any(f.guess for f in rule.finders):
+            out = out | ((hit["rule_id"] == rule.id) & hit["finder_ord"].isin(*[j for j, f in enumerate(rule.finders) if f.guess]))
+    return out
+
+
+def _beside_others(rule: Rule):
+    """Leaves hits of page finders only where another hit of the rule stands in the line."""
+    return lambda found: F.filter(found, lambda y: ~of_page(y, (rule,)) | F.exists(found, lambda z: ~of_page(z, (rule,))))
+
+
+def once_per_application(build):
+    """Expressions over many rules take seconds to build: built once for each set of arguments and application."""
+
+    @lru_cache(maxsize=64)
+    def kept(_, *args):
+        return build(*args)
+
+    return lambda *args: kept(getattr(SparkContext._active_spark_context, "applicationId", None), *args)
+
+
+def hits(text: Column, rules: tuple[Rule, ...], whole_page: bool = False) -> Column:
+    """All hits of the rules in a line; within a rule, a hit that overlaps an earlier one is dropped.
+
+    A line by itself is its own page: hits that only count on pages with another finding of their rule need that in the
+    line. With whole_page they are left for the caller to judge (of_page).
+    """
     out = []
     for k, rule in enumerate(rules):
         found = []
@@ -213,6 +251,8 @@ def hits(text: Column, rules: tuple[Rule, ...]) -> Column:
             found.append(F.transform(finder.spans(text), _as_hit(rule, k, j, finder)))
         own = F.concat(*found) if len(found) > 1 else found[0]
         own = S.let(own, lambda x: F.when(F.size(x) > 1, S.first_come(x, HIT)).otherwise(x)) if len(found) > 1 else own
+        if not whole_page and any(getattr(f, "page", False) for f in rule.finders):
+            own = S.let(own, _beside_others(rule))
         # Finders only run on lines that have what each match of the rule has.
         out.append(F.when(text.rlike(NEEDS[rule.id]), own).otherwise(F.array().cast(f"array<{HIT}>")) if BY_ID.get(rule.id) == rule else own)
     return F.concat(*out) if out else F.array().cast(f"array<{HIT}>")
@@ -221,7 +261,7 @@ def hits(text: Column, rules: tuple[Rule, ...]) -> Column:
 def yielded(text: Column, found: Column, rules: tuple[Rule, ...]) -> Column:
     """Hits after giving way to other kinds: judged on the hits as they were found, so that order plays no part.
 
-    A hit that starts within another, or loses more than half of its characters to others, goes; else it ends where the
+    Guesses take nothing. A hit that starts within another, or loses more than half of its characters to others, goes; else it ends where the
     first of them begins, without trailing blanks and punctuation.
     """
     gives_way = {r.kind: r.yields_to for r in rules if r.yields_to}
@@ -231,7 +271,7 @@ def yielded(text: Column, found: Column, rules: tuple[Rule, ...]) -> Column:
             cond = F.lit(False)
             for kind, to in gives_way.items():
                 cond = cond | ((x["kind"] == kind) & (y["kind"] != kind if to == ("*",) else y["kind"].isin(*to)))
-            return cond & S.overlaps(x, y)
+            return cond & S.overlaps(x, y) & ~is_guess(y, rules)
 
         return F.filter(found, wins)
 
@@ -252,22 +292,22 @@ def yielded(text: Column, found: Column, rules: tuple[Rule, ...]) -> Column:
 NEEDS = {
     "card": f"(?:[0-9][ -]?){{13}}|{_CVV}|(?i:{_EXPIRY})",
     "iban": "[A-Z]{2}[0-9]{2}",
-    "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "ssn": "[0-9]-[0-9]{2}-[0-9]",
     "mac": "[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]",
     "email": "@",
-    "phone": "[0-9](?:[ ().-]{0,2}[0-9*＊•●xX]){7}",
+    "phone": "[0-9](?:[ ().-]{0,2}[0-9*＊•●xX]){6}",
     "passport": f"(?i:{_PASSPORT})|[A-Z0-9<{mrz.FILLERS} ]{{30}}",
     "idnumber": f"[0-9]{{6}}|[0-9]{{3}}\\.[0-9]{{3}}|(?i:{_ID_LABELS})|(?:[0-9] ?){{15}}",
     "vin": f"[A-Z0-9]{{17}}|(?i:{_VIN_LABELS}|发动机号|engine no)",
-    "apikey": "sk-|ghp_|gho_|ghs_|AKIA|eyJ",
-    "name": rf"(?:Mr|Mrs|Ms|Dr|Prof|Miss)\.? |^(?:Hi|Hey|Hello|Dear|From|To|Cc)\b|(?:Driver|Courier|Seller|Agent|Host|Doctor|Teacher):|<[^ >]+@|[~～]|/[A-Z]{{2}}|joined|left|was added|was removed|{_NAME_LABELS}|学生|學生|[男女]|1[3-9][0-9]|(?<![A-Za-z])(?:{'|'.join(P.FIRST + P.PINYIN_SURNAMES)}) ",
+    "apikey": "|".join(P.KEY_PREFIXES),
+    "name": rf"(?:Mr|Mrs|Ms|Dr|Prof|Miss)\.? |^(?:Hi|Hey|Hello|Dear|From|To|Cc)\b|(?:Driver|Courier|Seller|Agent|Host|Doctor|Teacher):|<[^ >]+@|[~～]|/[A-Z]{{2}}|joined|left|was added|was removed|{NAME_LABELS}|学生|學生|[男女]|1[3-9][0-9]|(?<![A-Za-z])(?:{'|'.join(P.FIRST + P.PINYIN_SURNAMES)}) ",
     "address": f"[0-9][A-Za-z]? [A-Z0-9]|[A-Z#a-z.] ?[0-9]|[0-9](?:号|栋|幢|单元|室|楼|层|座)|[省市区县镇乡村路街巷弄道园寓厦场]|(?i:{_ADDRESS_LABELS})",
     "pickup": f"凭|{_PICKUP}",
     "birthdate": f"(?i:{_BIRTH})|生",
     "plate": "[0-9]",
     "url": "/",
     "ip": "[0-9:]",
-    "longnum": "[0-9](?:[0-9A-Z－-]*[0-9]){7}",
+    "longnum": "(?:[0-9][A-Z－-]*){8}",
     "datetime": "[0-9]",
 }
 
@@ -280,13 +320,21 @@ def may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
     return text.rlike("|".join(needs)) if needs else F.lit(False)
 
 
+@once_per_application
+def _steps(rules: tuple[Rule, ...], whole_page: bool) -> tuple[Column, Column, Column, Column]:
+    folded = half_width_digits(F.col("text"))
+    return may_match(folded, rules), folded, hits(F.col("_t"), rules, whole_page), yielded(F.col("_t"), F.col("_hits"), rules)
+
+
+def with_hits(lines: DataFrame, rules: tuple[Rule, ...], whole_page: bool = False) -> DataFrame:
+    """The lines that may match, with the settled `_hits` of the rules in `_t`, their text with half-width digits."""
+    may, folded, found, settled = _steps(rules, whole_page)
+    return lines.where(may).withColumn("_t", folded).withColumn("_hits", found).withColumn("_hits", settled)
+
+
 def matches(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5) -> DataFrame:
     """One row per hit of lines(page_id, line_no, text, confidence): (page_id, line_no, rule_id, kind, start, end, token, confidence)."""
-    from ..functions.text import half_width_digits
-
     rules = chosen(states)
     # Projections of their own: each array is worked out once. The outer explode keeps it out of inferred filters.
-    kept = lines.where(F.col("confidence") >= floor).where(may_match(half_width_digits(F.col("text")), rules)).withColumn("_t", half_width_digits(F.col("text")))
-    found = kept.withColumn("_hits", hits(F.col("_t"), rules))
-    resolved = found.withColumn("_hits", yielded(F.col("_t"), F.col("_hits"), rules))
+    resolved = with_hits(lines.where(F.col("confidence") >= floor), rules)
     return resolved.select("page_id", "line_no", F.explode_outer("_hits").alias("h")).where("h is not null").select("page_id", "line_no", "h.*")

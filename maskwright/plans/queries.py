@@ -90,13 +90,14 @@ def conversation_lines(spark, sf_dir):
     return lines.select("page_id", "turn", "role", F.col("line_no").cast("long").alias("line_no"), F.length("text").cast("long").alias("n_chars"))
 
 
-_EMAIL = (r"A-Za-z0-9._%+-", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}", r"A-Za-z0-9.-")
+_EMAILS = rf"""SELECT page_id, line_no, token, count(*) AS n FROM (SELECT page_id, line_no, rtrim(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+@-]+')), '.-') AS token FROM {_LINES})
+WHERE regexp_full_match(token, '[^@]+@([A-Za-z0-9-]+\.)+[A-Za-z]{{2,24}}') AND (length(regexp_extract(token, '[A-Za-z]+$')) = 2 OR regexp_extract(token, '[A-Za-z]+$') IN ('com', 'org', 'net')) GROUP BY ALL"""
 _IP = (r"\w.:", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"\w.:")
 _IP_OK = "list_bool_and(list_transform(string_split(token, '.'), lambda p: p::INT <= 255 AND (length(p) = 1 OR p NOT LIKE '0%')))"
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(d)[i]::INT WHEN reverse(d)[i]::INT > 4 THEN 2 * reverse(d)[i]::INT - 9 ELSE 2 * reverse(d)[i]::INT END)) % 10 = 0"
 
 
-@query(_tokens_sql(*_EMAIL, "length(regexp_extract(token, '[A-Za-z]+$')) = 2 OR regexp_extract(token, '[A-Za-z]+$') IN ('com', 'org', 'net')"))
+@query(_EMAILS)
 def email_spans(spark, sf_dir):
     return _tokens(spark, sf_dir, "email")
 
@@ -138,7 +139,7 @@ def long_numbers(spark, sf_dir):
     return rules.matches(lines, {"longnum": "ON"}).where("kind = 'LONG_NUMBER'").select("page_id", "token", "start")
 
 
-@query(f"""WITH found AS (SELECT page_id, 'EMAIL' AS kind FROM ({_tokens_sql(*_EMAIL)}), (SELECT unnest(range(1)))
+@query(f"""WITH found AS (SELECT page_id, 'EMAIL' AS kind FROM ({_EMAILS}), (SELECT unnest(range(1)))
  UNION ALL SELECT page_id, 'IP_ADDR' FROM ({_tokens_sql(*_IP, _IP_OK)}))
 SELECT kind, lang, count(*) AS n FROM found JOIN documents ON page_id = doc_id GROUP BY ROLLUP (kind, lang)""")
 def kind_counts_rollup(spark, sf_dir):
@@ -190,7 +191,7 @@ def anchor_semi_join(spark, sf_dir):
     return resolve.anchored(spans.where("kind = 'N'"), spans.where("kind = 'A'"))
 
 
-@query(f"""SELECT page_id, line_no, token, n FROM ({_tokens_sql(*_EMAIL)}) WHERE page_id IN (SELECT doc_id FROM documents WHERE text LIKE '%the%') AND page_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%token%')""")
+@query(f"""SELECT page_id, line_no, token, n FROM ({_EMAILS}) WHERE page_id IN (SELECT doc_id FROM documents WHERE text LIKE '%the%') AND page_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%token%')""")
 def page_cue_filter(spark, sf_dir):
     return resolve.on_page_with(_tokens(spark, sf_dir, "email"), lines_of(spark, sf_dir), "the", "token")
 
@@ -399,7 +400,7 @@ def prompt_chunks(spark, sf_dir):
     return refine.chunks(lines_of(spark, sf_dir))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT page_id, 'EMAIL' AS kind, token AS quote FROM ({_tokens_sql(*_EMAIL)})), l AS (SELECT * FROM {_LINES})
+@query(f"""WITH q AS (SELECT DISTINCT page_id, 'EMAIL' AS kind, token AS quote FROM ({_EMAILS})), l AS (SELECT * FROM {_LINES})
 SELECT l.page_id, l.line_no::INT AS line_no, kind, (instr(l.text, quote) - 1)::INT AS start FROM q JOIN l ON q.page_id = l.page_id AND contains(l.text, quote)""")
 def reply_quotes(spark, sf_dir):
     """A reply that quotes each document's e-mail addresses, parsed and found again in its lines."""
