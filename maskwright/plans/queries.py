@@ -446,4 +446,4 @@ def checksum_vectors(spark, sf_dir):
     return vectors.select("family", "value", V.valid(F.col("family"), F.col("value")).alias("valid"))
 
 
-from . import page_queries  # noqa: E402, F401  (registers its queries)
+from . import form_queries, page_queries  # noqa: E402, F401  (register their queries)
