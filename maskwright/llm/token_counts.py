@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .common import materialize, small_batches, utf8
 
-#: A run of spaces with what follows it up to the next space or line feed, or a line feed.
-PRE_TOKEN = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: A run of spaces (the model's mark for them, U+2581, is one too) with what follows it up to the next or a line feed, or a line feed.
+PRE_TOKEN = re.compile(r"[ ▁]+[^ ▁\n]*|[^ ▁\n]+|\n")
 MOST_HELD = 100_000  # distinct pre-tokens that a task holds before it passes them on
 MOST_SENT = 200_000
 LONGEST_SENT = 64

@@ -32,5 +32,18 @@ def test_each_distinct_pre_token_is_encoded_once(spark):
     assert {r.token: r.n for r in words} == {" a": 4, " b": 2}
 
 
+def test_random_texts_with_space_marks_equal_the_library():
+    import random
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = random.Random(1)
+    letters = [" ", "▁", " ▁", "▁ ", "a", "b", "\n", "é", "the", "\t", "　", "x1", ".", "<s>", "\r"]
+    for _ in range(20_000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(0, 12)))
+        assert sum(token_counts.pieces_of(PATH, token_counts.pre_tokens(text))) == len(model.encode(text)), repr(text)
+
+
 def test_empty_table(spark):
     assert token_counts.token_counts(empty(spark), PATH).count() == 0
