@@ -3,13 +3,15 @@
 Each rule rejects a document whose ratio lies above a cutoff of a fixed grid. On the labelled holdout, per stratum and
 rule, cutoffs are tried from the mildest on: the exact binomial tail P(Bin(n, alpha / rules) <= k) for k rejected of n good
 documents must stay within delta / (strata * rules). The first failure ends a sequence (fixed-sequence testing), and the
-division by strata and rules is Bonferroni's: with confidence 1 - delta no stratum loses more than alpha of its good
-documents. Among the certified cutoffs the one that rejects most bad and fewest good documents is taken. A stratum with too
+division by strata and rules is Bonferroni's. Each distinct text counts once in its stratum: copies are no further draws.
+The promise is for new documents drawn like the labelled ones: with confidence 1 - delta no stratum loses more than alpha
+of its good documents among those that pass the base rule. What the base rule rejects, and the labelled documents
+themselves, on which the cutoffs were chosen, are outside of it. Among the certified cutoffs the one that rejects most bad and fewest good documents is taken. A stratum with too
 few labels to certify anything keeps all.
 
 Cases: null or blank texts have no words and fail the base rule; a null stratum is a stratum of its own; a document with
-several labels counts as good if one says so; labels without a quality are ignored; repeated rows count each; empty tables
-give no rows; input columns with the names of the features are replaced in rules() and left alone in filter_rows().
+several labels, or a text with several documents, counts as good if one label says so; labels without a quality are ignored; repeated rows are judged each but
+draw once; rows without a doc_id have no label; empty tables give no rows; input columns with the names of the features are replaced in rules() and left alone in filter_rows().
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ RULES = {
 }
 GRID = (2.0, 1.5, 1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
 COST_OF_GOOD = 5  # a good document lost weighs as much as so many bad ones caught
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_shouts")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_shouts", "text_digest")
 MOST_TERMS = 2000  # of the binomial tail summed one by one; the rest is bounded from above
 
 
@@ -74,6 +76,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             "n_repeat_words": _repeat_words(w),
             "n_word_lines": F.size(lines_).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit(r"[!?]{2}")).cast("long"),
+            "text_digest": F.md5(text),
         }
     ).drop(words, lines_)
 
@@ -117,7 +120,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one cutoff per rule; null where none is certified)."""
     quality = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    held = counted.where(~base_failed()).select("doc_id", F.col(stratum).alias("_s"), *[_ratio(r).alias(f"_r_{r}") for r in RULES]).join(quality, "doc_id")
+    rows = counted.where(~base_failed()).select("doc_id", F.col(stratum).alias("_s"), "text_digest", *[_ratio(r).alias(f"_r_{r}") for r in RULES]).join(quality, "doc_id")
+    held = rows.groupBy("_s", "text_digest").agg(F.max("_good").alias("_good"), *[F.max(f"_r_{r}").alias(f"_r_{r}") for r in RULES])
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_r_{r}").alias("ratio")) for r in RULES])
     per_rule = held.select("_s", "_good", F.explode(each).alias("x")).select("_s", "_good", "x.rule", "x.ratio")
     good, bad = F.col("_good") > 0, F.col("_good") <= 0
