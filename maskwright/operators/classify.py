@@ -15,7 +15,7 @@ from ..functions import spans as S
 from ..functions.text import half_width_digits
 from ..sources.shared import once
 from . import finders as P
-from . import grid
+from . import fields, grid
 from . import rules as R
 
 # Words that stand beside names.
@@ -90,11 +90,12 @@ def supported(guesses: DataFrame, found: DataFrame, lines: DataFrame) -> DataFra
     return touching.union(beside).union(around).distinct()
 
 
-def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5, mask_unanchored: bool = False) -> DataFrame:
+def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5, mask_unanchored: bool = False, forms: bool = False) -> DataFrame:
     """Findings of lines(page_id, line_no, text, confidence, l, t, r, b) with their boxes; unsupported guesses are left out.
 
     (page_id, line_no, rule_id, kind, start, end, token, confidence, guess, enabled, l, t, r, b); enabled is the rule's own
-    setting. Lines are read by the rules once: what they found is checkpointed. Guesses are few beside the lines: only they,
+    setting. With forms, values beside and below labels (fields) are findings too, where no finding of their kind lies over
+    them: that cuts every line into cells, for pages of documents rather than for running text. Lines are read by the rules once: what they found is checkpointed. Guesses are few beside the lines: only they,
     their pages' lines and anchors are shuffled. Pages without one aren't read twice.
     """
     read = lines.where(F.col("confidence") >= floor)
@@ -111,6 +112,8 @@ def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: floa
         "page_id", "line_no", "h.rule_id", "h.kind", "h.start", "h.end", "h.token", "h.confidence", R.is_guess(F.col("h"), chosen).alias("guess"),
         F.col("h.rule_id").isin(*[r.id for r in chosen if r.enabled]).alias("enabled"), *span_box(F.col("h.start"), F.col("h.end")),
     )
+    if forms:
+        hits = hits.unionByName(form_values(hits, read, chosen))
     if mask_unanchored or not any(f.guess for r in chosen for f in r.finders):
         return hits
     ident = F.struct("page_id", "line_no", "start", "end")
@@ -121,6 +124,18 @@ def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: floa
     return hits.where(~F.col("guess")).unionByName(kept_guesses)
 
 
+def form_values(hits: DataFrame, lines: DataFrame, chosen: tuple) -> DataFrame:
+    """Values of the fields of forms as hits of the rules of their kinds, but for those that hits of the kind lie over."""
+    own = {r.kind: r for r in chosen}
+    by_kind = lambda of: F.coalesce(*[F.when(F.col("kind") == kind, F.lit(of(rule))) for kind, rule in own.items()])
+    found = fields.values(fields.cells_of(lines)).where(F.col("kind").isin(*own))
+    placed = found.join(lines.select("page_id", "line_no", "text", "l", "t", "r", "b"), ["page_id", "line_no"]).withColumn("end", (F.col("start") + F.length("token")).cast("int"))
+    new = placed.select("page_id", "line_no", by_kind(lambda r: r.id).alias("rule_id"), "kind", F.col("start").cast("int").alias("start"), "end", "token", F.lit(0.8).alias("confidence"), F.lit(False).alias("guess"),
+                        by_kind(lambda r: r.enabled).alias("enabled"), *span_box(F.col("start"), F.col("end")))
+    same = (F.col("n.page_id") == F.col("h.page_id")) & (F.col("n.line_no") == F.col("h.line_no")) & (F.col("n.kind") == F.col("h.kind")) & (F.col("n.start") < F.col("h.end")) & (F.col("h.start") < F.col("n.end"))
+    return new.alias("n").join(hits.where(~F.col("guess")).alias("h"), same, "left_anti")
+
+
 def supported_within(texts: Column, hits_at, index: Column, hit: Column) -> Column:
     """The same test inside a row, for texts laid out a character of 20 by 20 at a time, a line every 40 (ingest.with_boxes):
     whether a guess of line `index` has an anchor on its line, or on the line before or behind within two characters."""

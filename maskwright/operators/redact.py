@@ -33,6 +33,16 @@ def redact_lines(lines: DataFrame, states: dict[str, str] | None = None, floor:
     return settled.withColumns({"redacted": new, "n_masks": F.size(F.when(F.size("_hits") > 0, S.merged(F.col("_hits"))).otherwise(F.array().cast("array<struct<start:int,end:int>>")))}).drop("_hits")
 
 
+def redact_pages(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5, forms: bool = True) -> DataFrame:
+    """(page_id, line_no, redacted, n_masks) of lines with boxes, by what classify finds on their pages."""
+    hits = C.classify(lines, states, floor, forms=forms)
+    one = F.struct("start", "end", "kind")
+    found = hits.groupBy("page_id", "line_no").agg(F.sort_array(F.collect_list(one)).alias("_found"))
+    both = lines.select("page_id", "line_no", "text").join(found, ["page_id", "line_no"], "left")
+    new = F.when(F.col("_found").isNull(), F.col("text")).otherwise(redacted_text(F.col("text"), F.col("_found")))
+    return both.select("page_id", "line_no", new.alias("redacted"), F.when(F.col("_found").isNull(), F.lit(0)).otherwise(F.size(S.merged(F.col("_found")))).alias("n_masks"))
+
+
 @R.once_per_application
 def _document_steps(chosen: tuple) -> tuple[Column, Column, Column, Column]:
     """The lines with their hits; anchors of the lines where one is a guess; rules with a sure hit; redacted lines."""

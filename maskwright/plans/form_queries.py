@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, redact, rules
+from ..operators import classify, fields, redact, rules
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -60,3 +60,76 @@ _STEPS = _masked("IP_ADDR", _masked("API_KEY", _masked("EMAIL", f"(SELECT *, 0 A
 def redact_three_kinds(spark, sf_dir):
     """Whole documents without mail addresses, keys of services and network addresses."""
     return redact.redact_documents(ingest.table(spark, sf_dir, "documents"), {r.id: "ON" if r.id in ("email", "apikey", "ip") else "OFF" for r in rules.CATALOGUE})
+
+
+_TYPED = ("Date of Birth", "Passport Number", "Nationality", "Place of Birth", "Engine Number", "Identity Number")
+_GIVEN = ("12 May 1990", "E12345678", "Utopian", "Springfield", "ABC12345", "A1234567")
+_SHOW = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_ENTRIES = ", ".join(f"('{f.name}', '{label}')" for f in fields.FIELDS for label in f.labels if label.isascii())
+_DAMAGED = f"""(SELECT c_custkey AS page_id, {_SHOW(_GIVEN)}[c_custkey % 6 + 1] AS token, CASE c_custkey // 6 % 6 WHEN 0 THEN w WHEN 1 THEN left(w, i - 1) || substr(w, i + 1)
+  WHEN 2 THEN left(w, i - 1) || 'x' || substr(w, i + 1) WHEN 3 THEN left(w, i - 1) || 'x' || substr(w, i) WHEN 4 THEN left(w, i - 1) || w[i + 1] || w[i] || substr(w, i + 2)
+  ELSE left(w, i - 1) || 'x' || substr(w, i + 1, 2) || 'q' || substr(w, i + 4) END AS label
+ FROM (SELECT c_custkey, {_SHOW(_TYPED)}[c_custkey % 6 + 1] AS w, 2 + c_custkey % 3 AS i FROM customer))"""
+
+
+@query(f"""SELECT page_id, field, token FROM (SELECT *, replace(regexp_replace(lower(label), '[^a-z&]', '', 'g'), 'rn', 'm') AS x FROM {_DAMAGED})
+JOIN (SELECT DISTINCT field, replace(regexp_replace(lower(label), '[^a-z&]', '', 'g'), 'rn', 'm') AS y FROM (VALUES {_ENTRIES}) v(field, label)) ON x = y OR length(y) >= 7 AND damerau_levenshtein(x, y) <= 1""")
+def typed_labels(spark, sf_dir):
+    """Labels with planted typing errors: none, a letter lost, changed or added, two swapped; two errors are too many."""
+    k = F.col("c_custkey")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % 6).cast("int"))
+    c = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), pick(_GIVEN).alias("token"), pick(_TYPED).alias("w"), (2 + k % 3).cast("int").alias("i"), (F.expr("c_custkey div 6") % 6).alias("e"))
+    w, i, e = F.col("w"), F.col("i"), F.col("e")
+    head, tail = F.left(w, i - 1), lambda n: F.substring(w, i + n, F.length(w))
+    label = F.when(e == 0, w).when(e == 1, F.concat(head, tail(1))).when(e == 2, F.concat(head, F.lit("x"), tail(1))).when(e == 3, F.concat(head, F.lit("x"), tail(0)))
+    label = label.when(e == 4, F.concat(head, F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)), tail(2))).otherwise(F.concat(head, F.lit("x"), F.substring(w, i + 1, F.lit(2)), F.lit("q"), tail(4)))
+    text = F.concat(label, F.lit(": "), F.col("token"))
+    lines = c.select("page_id", F.lit(0).alias("line_no"), text.alias("text"), F.lit(0).alias("l"), F.lit(0).alias("t"), (20 * F.length(text)).alias("r"), F.lit(20).alias("b"))
+    return fields.labelled(fields.cells_of(lines)).select("page_id", "field", "token")
+
+
+def _placed(label: str, other: str, value: str, wide: int, high: int):
+    """Lines of orders as cells: the first is a label, every third part another label, the rest values; (SQL, builder)."""
+    sql = f"""(SELECT page_id, line_no, k, l, t, l + 10 * length(CASE k WHEN 'label' THEN '{label}' WHEN 'other' THEN '{other}' ELSE '{value}' END) AS r, t + {_HEIGHT} AS b FROM
+ (SELECT l_orderkey AS page_id, l_linenumber AS line_no, min(l_suppkey) AS s, CASE WHEN l_linenumber = 1 THEN 'label' WHEN min(l_partkey) % 3 = 0 THEN 'other' ELSE 'value' END AS k,
+  min(l_partkey) * 37 % {wide} AS l, min(l_suppkey) * 53 % {high} AS t FROM lineitem GROUP BY 1, 2))"""
+
+    def build(spark, sf_dir):
+        x = ingest.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("line_no")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+        text = F.when(F.col("line_no") == 1, label).when(F.col("p") % 3 == 0, other).otherwise(value)
+        at = x.select("page_id", "line_no", text.alias("text"), (F.col("p") * 37 % wide).alias("l"), (F.col("s") * 53 % high).alias("t"), (14 + F.col("s") % 4 * 9).alias("h"))
+        return fields.cells_of(at.select("page_id", "line_no", "text", "l", "t", (F.col("l") + 10 * F.length("text")).alias("r"), (F.col("t") + F.col("h")).alias("b")))
+
+    return sql, build
+
+
+_COLUMN_SQL, _column = _placed("Surname", "Nationality", "SMITH", 60, 160)
+_UNDER = """c.page_id = f.page_id AND c.line_no <> f.label_line AND (c.t + c.b) / 2.0 > (f.t + f.b) / 2.0 + 0.5 * (f.b - f.t) AND c.t - f.b <= 1.5 * greatest(f.h, c.b - c.t)
+ AND c.l + least(c.r - c.l, f.h) / 2.0 >= f.left_ - 2 * f.h AND c.l <= f.edge + f.h AND c.b - c.t <= 3 * f.h"""
+
+
+def _step(source: str) -> str:
+    return f"""(SELECT f.page_id, f.label_line, f.left_, f.edge, f.h, f.gap AS last, c.line_no, c.k, c.t, c.b, greatest(c.t - f.b, 0) AS gap,
+  row_number() OVER (PARTITION BY f.page_id, f.label_line ORDER BY c.t, c.l, c.line_no) AS n FROM {source} f JOIN c ON {_UNDER})"""
+
+
+@query(f"""WITH c AS (SELECT * FROM {_COLUMN_SQL}),
+f0 AS (SELECT page_id, line_no AS label_line, l AS left_, least(r, l + 6 * (b - t)) AS edge, b - t AS h, t, b, NULL::BIGINT AS gap FROM c WHERE k = 'label'),
+f1 AS (SELECT * FROM {_step('f0')} WHERE n = 1 AND k = 'value'),
+f2 AS (SELECT * FROM {_step('f1')} WHERE n = 1 AND k = 'value' AND gap <= greatest(1.5 * last, 0.3 * h))
+SELECT page_id, line_no, 1::INT AS step FROM f1 UNION ALL SELECT page_id, line_no, 2::INT FROM f2""")
+def stacked_values(spark, sf_dir):
+    """Names in the column under their label, over cells of four heights."""
+    return fields.stacked(_column(spark, sf_dir)).where("field = 'name'").select("page_id", "line_no", "step")
+
+
+_ROW_SQL, _row = _placed("Passport No.", "Gender", "E12345678", 500, 90)
+
+
+@query(f"""WITH c AS (SELECT * FROM {_ROW_SQL}),
+n AS (SELECT f.page_id, c.line_no, c.k, row_number() OVER (PARTITION BY f.page_id ORDER BY (c.b - c.t > 2.5 * (f.b - f.t))::INT, c.l, c.line_no) AS n FROM c f JOIN c ON f.page_id = c.page_id AND f.line_no <> c.line_no
+ AND least(f.b, c.b) - greatest(f.t, c.t) >= 0.5 * least(f.b - f.t, c.b - c.t) AND (c.l + c.r) / 2.0 > f.r AND c.l - f.r <= 10 * (f.b - f.t) WHERE f.k = 'label')
+SELECT page_id, line_no, 'E12345678' AS token FROM n WHERE n = 1 AND k = 'value'""")
+def values_beside(spark, sf_dir):
+    """Numbers to the right of their label, the nearest one on the row, unless that is another label."""
+    return fields.labelled(_row(spark, sf_dir)).where("field = 'passport' and way = 'right'").select("page_id", "line_no", "token")

@@ -75,6 +75,15 @@ def test_redacted_documents_ask_for_anchors(spark):
     assert got[5][0] == "Dear [PERSON_NAME] 先生"
 
 
+def test_forms_are_redacted_by_page(spark):
+    lines = [("Surname", 40, 100), ("SMITH", 40, 125), ("Passport No.", 40, 200), ("E12345678", 340, 202), ("Paul Young", 40, 900)]
+    rows = [(1, i, text, 0.95, float(l), float(t), float(l) + 20 * len(text), float(t) + 20) for i, (text, l, t) in enumerate(lines)]
+    df = spark.createDataFrame(rows, BOXED)
+    only = {r.id: "OFF" for r in rules.CATALOGUE if r.id not in ("name", "passport")}
+    got = {r.line_no: (r.redacted, r.n_masks) for r in redact.redact_pages(df, only).collect()}
+    assert got == {0: ("Surname", 0), 1: ("[PERSON_NAME]", 1), 2: ("Passport No.", 0), 3: ("[PASSPORT]", 1), 4: ("Paul Young", 0)}
+
+
 def test_near_pairs_equal_all_pairs(spark):
     import random
 
