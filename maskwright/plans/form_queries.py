@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, fields, redact, rules
+from ..functions import validators as V
+from ..operators import classify, fields, mrz_repair, redact, rules
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -133,3 +134,18 @@ SELECT page_id, line_no, 'E12345678' AS token FROM n WHERE n = 1 AND k = 'value'
 def values_beside(spark, sf_dir):
     """Numbers to the right of their label, the nearest one on the row, unless that is another label."""
     return fields.labelled(_row(spark, sf_dir)).where("field = 'passport' and way = 'right'").select("page_id", "line_no", "token")
+
+
+@query("""SELECT c_custkey AS page_id, 'N' || lpad(c_custkey::VARCHAR, 8, '0') AS number, '90' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '15' AS birth FROM customer""")
+def damaged_documents(spark, sf_dir):
+    """Passport lines made from customers, each damaged: a filler lost or twice, or a letter read for a digit of a date; the
+    repair must give the number and birth date back."""
+    k = F.col("c_custkey")
+    check = lambda x: V.mrz_check(x).cast("string")
+    number, birth, expiry = F.concat(F.lit("N"), F.lpad(k.cast("string"), 8, "0")), F.concat(F.lit("90"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("15")), F.lit("301020")
+    c = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), number.alias("number"), birth.alias("birth"), (k % 3).alias("e"), (29 + k % 14).cast("int").alias("i"))
+    line = F.concat("number", check(F.col("number")), F.lit("UTO"), "birth", check(F.col("birth")), F.lit("F"), expiry, check(expiry), F.lit("<" * 15), F.lit("0"))
+    whole = c.withColumn("line", line)
+    spoilt = F.when(F.col("e") == 0, F.concat(F.left("line", F.col("i") - 1), F.substring("line", F.col("i") + 1, F.lit(44)))).when(F.col("e") == 1, F.concat(F.left("line", F.col("i")), F.lit("<"), F.substring("line", F.col("i") + 1, F.lit(44))))
+    lines = whole.select("page_id", F.lit(1).alias("line_no"), spoilt.otherwise(F.concat(F.left("line", F.lit(13)), F.translate(F.substring("line", 14, 7), "01", "OI"), F.substring("line", 21, 24))).alias("text"))
+    return mrz_repair.read(lines).select("page_id", "number", "birth")
