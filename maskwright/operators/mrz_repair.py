@@ -9,6 +9,7 @@ lines that nearly have the length and the digits of a document reach the alignme
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,15 +121,13 @@ def repair(lines: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            found = [repaired(x) for x in batch["line"]]
-            hit = [x is not None for x in found]
-            out = batch.loc[hit, ["page_id", "line_no"]].copy()
-            for i, name in enumerate(("format", "line", "cost", "checks")):
-                out[name] = [x[i] for x in found if x is not None]
-            yield out
+            found = [repaired(x) for x in batch.column("line").to_pylist()]
+            at = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            columns = [pa.array([x[k] for x in found if x], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(at), batch.column("line_no").take(at), *columns], names=["page_id", "line_no", "format", "line", "cost", "checks"])
 
     kinds = [lines.schema[c].dataType.simpleString() for c in ("page_id", "line_no")]
-    return numbers.mapInPandas(work, SCHEMA.format(*kinds)).unionByName(head)
+    return numbers.mapInArrow(work, SCHEMA.format(*kinds)).unionByName(head)
 
 
 def read(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import classify, fields, mrz_repair, redact, rules
+from ..operators import classify, fields, glyphs, mrz_repair, redact, regions, rules, seams
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -149,3 +149,40 @@ def damaged_documents(spark, sf_dir):
     spoilt = F.when(F.col("e") == 0, F.concat(F.left("line", F.col("i") - 1), F.substring("line", F.col("i") + 1, F.lit(44)))).when(F.col("e") == 1, F.concat(F.left("line", F.col("i")), F.lit("<"), F.substring("line", F.col("i") + 1, F.lit(44))))
     lines = whole.select("page_id", F.lit(1).alias("line_no"), spoilt.otherwise(F.concat(F.left("line", F.lit(13)), F.translate(F.substring("line", 14, 7), "01", "OI"), F.substring("line", 21, 24))).alias("text"))
     return mrz_repair.read(lines).select("page_id", "number", "birth")
+
+
+_GLYPHS = """(SELECT l_orderkey * 8 + l_linenumber AS glyph, (min(l_partkey) * 37 + l_linenumber * 911) % 5000 AS l, (min(l_suppkey) * 53 + l_orderkey * 7) % 5000 AS t,
+ (min(l_partkey) * 37 + l_linenumber * 911) % 5000 + 6 + min(l_quantity)::BIGINT % 10 AS r, (min(l_suppkey) * 53 + l_orderkey * 7) % 5000 + 8 + min(l_quantity)::BIGINT % 7 AS b FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def one_page_of_glyphs(spark, sf_dir):
+    """All order lines as the glyphs of one page."""
+    x = ingest.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"))
+    l, t = (F.col("p") * 37 + F.col("l_linenumber") * 911) % 5000, (F.col("s") * 53 + F.col("l_orderkey") * 7) % 5000
+    return x.select(F.lit(1).alias("page_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("glyph"), l.alias("l"), t.alias("t"), (l + 6 + F.col("q") % 10).alias("r"), (t + 8 + F.col("q") % 7).alias("b"))
+
+
+_POINTS = "(SELECT o_orderkey AS touch_id, o_orderkey * 13 % 5000 AS x, o_orderkey * 29 % 5000 AS y FROM orders WHERE o_orderkey % 20 = 0)"
+
+
+@query(f"""SELECT touch_id, arg_min(glyph, (far, size, glyph)) AS glyph FROM (SELECT touch_id, glyph, far, CASE WHEN far = 0 THEN (r - l) * (b - t) ELSE 0 END AS size FROM
+ (SELECT touch_id, glyph, l, t, r, b, greatest(l - x, x - r, 0) * greatest(l - x, x - r, 0) + greatest(t - y, y - b, 0) * greatest(t - y, y - b, 0) AS far FROM {_POINTS}, {_GLYPHS}) WHERE far <= 144) GROUP BY touch_id""")
+def touched_glyphs(spark, sf_dir):
+    """The glyph under each touch of a page with as many glyphs as there are order lines; the touches are one order in twenty."""
+    points = ingest.table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("touch_id"), F.lit(1).alias("page_id"), (F.col("o_orderkey") * 13 % 5000).alias("x"), (F.col("o_orderkey") * 29 % 5000).alias("y"))
+    return glyphs.glyph_at(points, one_page_of_glyphs(spark, sf_dir), 12.0)
+
+
+_LONG = "(SELECT l_orderkey AS page_id, l_linenumber * 100 AS l, l_linenumber * 100 + 60 AS r, min(l_suppkey) * 53 % 800 AS t, min(l_suppkey) * 53 % 800 + 20 + min(l_quantity)::BIGINT * 30 AS b FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(f"SELECT page_id, l::DOUBLE AS l, t::DOUBLE AS t, r::DOUBLE AS r, b::DOUBLE AS b FROM {_LONG}")
+def seamless_boxes(spark, sf_dir):
+    """Boxes of 50 to 1,520 pixels, cut at the bands of their page, come back whole, over up to nine bands."""
+    x = ingest.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("i")).agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"))
+    boxes = x.select("page_id", "i", (F.col("i") * 100).alias("l"), (F.col("s") * 53 % 800).alias("t"), (F.col("i") * 100 + 60).alias("r"), (F.col("s") * 53 % 800 + 20 + F.col("q") * 30).alias("b"))
+    pages = boxes.groupBy("page_id").agg((F.max("b") + 50).alias("height"))
+    bands = regions.bands(pages, 256, 64).join(pages, "page_id")
+    cut = boxes.join(bands, "page_id").where("t < bottom and b > top")
+    found = cut.select("page_id", "k", "i", "l", F.greatest("t", "top").alias("t"), "r", F.least("b", "bottom").alias("b"))
+    return seams.merged_bands(found, bands).select("page_id", "l", "t", "r", "b")
