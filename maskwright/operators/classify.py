@@ -95,7 +95,7 @@ def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: floa
 
     (page_id, line_no, rule_id, kind, start, end, token, confidence, guess, enabled, l, t, r, b); enabled is the rule's own
     setting. With forms, values beside and below labels (fields) are findings too, where no finding of their kind lies over
-    them: that cuts every line into cells, for pages of documents rather than for running text. Lines are read by the rules once: what they found is checkpointed. Guesses are few beside the lines: only they,
+    them: that cuts every line into cells, for pages of documents rather than for running text. Lines are read by the rules once: what they found is written to the shared folder. Guesses are few beside the lines: only they,
     their pages' lines and anchors are shuffled. Pages without one aren't read twice.
     """
     read = lines.where(F.col("confidence") >= floor)

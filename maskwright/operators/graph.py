@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import once
+from ..sources.shared import forget, once
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable from each of nodes(node) by links(a, b).
 
-    Each round every node takes the least label among itself and its neighbours, and then the label of that label, so that
-    chains shorten by half. Rounds are checkpointed; it ends when no label changes.
+    Each round hangs the higher neighbours of a node on its least one, and then its lower neighbours and itself, until
+    all that is left are stars; paths shorten by half or so, and the links never grow in number. Rounds are written once
+    each and the one before is deleted.
     """
-    both = once(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    now = once(nodes.select("node", F.col("node").alias("component")).distinct())
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+    now = once(ordered(links))
     for _ in range(most_rounds):
-        heard = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        low = once(now.join(heard, "node", "left").select("node", F.least("component", "heard").alias("low"), F.col("component").alias("was")))
-        jumped = low.join(low.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left").select("node", F.least("low", "lower").alias("component"), "was")
-        # A centre that learns of a lower label tells the nodes that carry its own.
-        after = once(jumped)
-        now = after.select("node", "component")
-        if after.where("component <> was").isEmpty():
-            return now
+        sides = now.select(F.col("a").alias("n"), F.col("b").alias("m")).union(now.select("b", "a"))
+        least = sides.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo"))
+        higher = once(ordered(sides.join(least, "n").where("m > n").select(F.col("lo").alias("a"), F.col("m").alias("b"))))
+        centre = higher.groupBy("b").agg(F.min("a").alias("lo"))
+        lower = higher.join(centre, "b")
+        after = once(ordered(lower.select(F.col("lo").alias("a"), F.col("a").alias("b")).union(centre.select(F.col("lo").alias("a"), "b"))))
+        forget(now, higher)
+        now = after
+        # Stars: no node hangs on two centres, and no centre hangs on another.
+        if now.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            found = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     raise RuntimeError(f"components have not converged in {most_rounds} rounds")
 
 

@@ -10,7 +10,7 @@ RULE_LINES: tuple[tuple[str, str | None, str | None], ...] = (
     ("number 4111111111111112", None, None),
     ("CVV: 123", "PAYMENT_CARD", "123"),
     ("安全码 4321", "PAYMENT_CARD", "4321"),
-    ("Expires 09/27", "PAYMENT_CARD", "09/27"),
+    ("Expires 09/27", None, None),
     ("to DE89 3704 0044 0532 0130 00 please", "IBAN", "DE89 3704 0044 0532 0130 00"),
     ("GB82WEST12345698765432", "IBAN", "GB82WEST12345698765432"),
     ("to DE88370400440532013000", None, None),

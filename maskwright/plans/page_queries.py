@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import validators as V
 from ..operators import finders, metrics, page, regions
 from ..sources import ingest
-from .queries import _BOXES, _CANDIDATES, _SPANS, _values, boxes_of, candidates_of, query, spans_of
+from .queries import _BOXES, _CANDIDATES, _SPANS, boxes_of, candidates_of, dealt, dealt_sql, query, spans_of
 
 _IOU = "(greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) * greatest(least(x.b, y.b) - greatest(x.t, y.t), 0))"
 _SIZE = "((x.r - x.l) * (x.b - x.t) + (y.r - y.l) * (y.b - y.t))"
@@ -229,19 +229,20 @@ def joined_model_spans(spark, sf_dir):
 _SIGNED = (("【Shop】 your code 1234", 12, 16, True), ("【Shop】 your code 1234", 1, 5, False), ("call Bob [Shop Inc]", 5, 8, True), ("call Bob [Shop Inc]", 10, 14, False), ("no [mark] inside", 4, 8, True))
 
 
-@query(f"SELECT n AS line_no, s AS start, e AS \"end\" FROM {_values([(i, *x) for i, x in enumerate(_SIGNED)])} v(n, t, s, e, ok) WHERE ok")
+@query(f"SELECT page_id, s AS start, e AS \"end\" FROM {dealt_sql(_SIGNED, 't, s, e, ok')} WHERE ok")
 def signature_hits(spark, sf_dir):
-    rows = [(0, i, *x[:3]) for i, x in enumerate(_SIGNED)]
-    both = spark.createDataFrame(rows, "page_id int, line_no int, text string, start int, end int")
-    return page.signature_free(both.drop("text"), both.select("page_id", "line_no", "text")).select("line_no", "start", "end")
+    """A hit in a line for each customer, within a signature or not."""
+    both = dealt(spark, sf_dir, [x[:3] for x in _SIGNED], "text string, start int, end int").withColumn("line_no", F.lit(0))
+    return page.signature_free(both.select("page_id", "line_no", "start", "end"), both.select("page_id", "line_no", "text")).select("page_id", "start", "end")
 
 
 _QUOTES = (("PERSON_NAME", "Vera Lindqvist", True), ("PERSON_NAME", "妈妈", False), ("PERSON_NAME", "room 12", False), ("PHONE", "555 2671", True), ("PHONE", "none", False), ("EMAIL", "a@b.c", True), ("EMAIL", "a.b", False), ("PAYMENT_CARD", "4111", True), ("PAYMENT_CARD", "41", False), ("POSTAL_ADDRESS", "1 Road", True), ("OTHER", "x", False))
 
 
-@query(f"SELECT kind, quote, ok FROM {_values(_QUOTES)} v(kind, quote, ok)")
+@query(f"SELECT page_id, kind, quote, ok FROM {dealt_sql(_QUOTES, 'kind, quote, ok')}")
 def plausible_quotes(spark, sf_dir):
-    return spark.createDataFrame([x[:2] for x in _QUOTES], "kind string, quote string").select("kind", "quote", page.plausible(F.col("kind"), F.col("quote")).alias("ok"))
+    """A quote for each customer, of the shape of its kind or not."""
+    return dealt(spark, sf_dir, [x[:2] for x in _QUOTES], "kind string, quote string").select("page_id", "kind", "quote", page.plausible(F.col("kind"), F.col("quote")).alias("ok"))
 
 
 _DAY = "(SELECT o_orderkey, o_orderdate::DATE AS o_orderdate FROM orders)"

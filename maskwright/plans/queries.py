@@ -426,24 +426,58 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
 
 
-_NUMBERED = [(i, *x) for i, x in enumerate(fixtures.RULE_LINES)]
 
 
-@query(f"SELECT n AS page_id, kind, token, (instr(text, token) - 1)::INT AS start FROM {_values(_NUMBERED)} v(n, text, kind, token) WHERE kind IS NOT NULL")
+def dealt(spark, sf_dir, rows, schema: str) -> DataFrame:
+    """One of the rows for each customer, by turns: (page_id, the columns of schema)."""
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"_i int, {schema}")
+    keys = ingest.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), (F.col("c_custkey") % len(rows)).cast("int").alias("_i"))
+    return keys.join(F.broadcast(table), "_i").drop("_i")  # as many rows as the fixture has
+
+
+def dealt_sql(rows, columns: str) -> str:
+    return f"(SELECT c_custkey AS page_id, v.* FROM customer JOIN {_values([(i, *x) for i, x in enumerate(rows)])} v(_i, {columns}) ON c_custkey % {len(rows)} = _i)"
+
+
+@query(f"SELECT page_id, kind, token, (instr(text, token) - 1)::INT AS start FROM {dealt_sql(fixtures.RULE_LINES, 'text, kind, token')} WHERE kind IS NOT NULL")
 def labelled_lines(spark, sf_dir):
-    """The rules over lines with one finding each, or none; the rules that are off by default have lines of
+    """The rules over a line for each customer, with one finding or none; the rules that are off by default have lines of
     their own, where they are on alone."""
-    off_by_default = {"URL", "IP_ADDR", "LONG_NUMBER", "DATETIME"}
-    lines = spark.createDataFrame([(i, 0, t, k in off_by_default, 0.95) for i, t, k, _ in _NUMBERED], "page_id int, line_no int, text string, extra boolean, confidence double")
+    off_by_default = ["URL", "IP_ADDR", "LONG_NUMBER", "DATETIME"]
+    lines = dealt(spark, sf_dir, fixtures.RULE_LINES, "text string, kind string, token string").select("page_id", F.lit(0).alias("line_no"), "text", F.coalesce(F.col("kind").isin(off_by_default), F.lit(False)).alias("extra"), F.lit(0.95).alias("confidence"))
     plain = rules.matches(lines.where("not extra").drop("extra"))
     extra = rules.matches(lines.where("extra").drop("extra"), {r.id: "OFF" if r.enabled else "ON" for r in rules.CATALOGUE})
     return plain.union(extra).select("page_id", "kind", "token", "start")
 
 
-@query(f"SELECT family, value, valid FROM {_values(fixtures.CHECKSUMS)} v(family, value, valid)")
+@query(f"SELECT page_id, family, value, valid FROM {dealt_sql(fixtures.CHECKSUMS, 'family, value, valid')}")
 def checksum_vectors(spark, sf_dir):
-    vectors = spark.createDataFrame([x[:2] for x in fixtures.CHECKSUMS], "family string, value string")
-    return vectors.select("family", "value", V.valid(F.col("family"), F.col("value")).alias("valid"))
+    """A known number of some family for each customer."""
+    vectors = dealt(spark, sf_dir, [x[:2] for x in fixtures.CHECKSUMS], "family string, value string")
+    return vectors.select("page_id", "family", "value", V.valid(F.col("family"), F.col("value")).alias("valid"))
+
+
+_N = "list_transform(string_split({0}, ''), lambda x: x::INT)"
+_WEIGH = "list_sum(list_transform(range(1, {1} + 1), lambda i: " + _N + "[i] * {2}[i]))"
+_NUMBERS = """(SELECT c_custkey AS k, lpad((c_custkey::BIGINT * 7919 % 1000000000)::VARCHAR, 9, '0') AS n9, lpad((c_custkey % 97)::VARCHAR, 2, '0') AS n2, (c_custkey * 3 % 10)::VARCHAR AS n1,
+ substr('JZIHGFEDCBA', (c_custkey % 11 + 1)::INT, 1) AS letter FROM customer)"""
+
+
+@query(f"""WITH n AS (SELECT * FROM {_NUMBERS}),
+iban AS (SELECT k, 'iban' AS family, 'DE' || n2 || n9 || n9 AS value, (n9 || n9 || '1314' || n2)::HUGEINT % 97 = 1 AS valid FROM n),
+cpf AS (SELECT k, 'cpf' AS family, n9[1:3] || '.' || n9[4:6] || '.' || n9[7:9] || '-' || n2 AS value, n2 = c1::VARCHAR || ((10 * (d + 2 * c1)) % 11 % 10)::VARCHAR AND length(replace(n9 || n2, n9[1], '')) > 0 AS valid FROM
+ (SELECT *, (10 * {_WEIGH.format('n9', 9, '[10, 9, 8, 7, 6, 5, 4, 3, 2]')}) % 11 % 10 AS c1, {_WEIGH.format('n9', 9, '[11, 10, 9, 8, 7, 6, 5, 4, 3]')} AS d FROM n)),
+nric AS (SELECT k, 'nric' AS family, 'S' || n9[1:7] || letter AS value, letter = substr('JZIHGFEDCBA', (list_sum(list_transform(range(1, 8), lambda i: {_N.format('n9')}[i] * [2, 7, 6, 5, 4, 3, 2][i])) % 11 + 1)::INT, 1) AS valid FROM n)
+SELECT k AS page_id, family, value, valid FROM (SELECT * FROM iban UNION ALL SELECT * FROM cpf UNION ALL SELECT * FROM nric)""")
+def checksum_numbers(spark, sf_dir):
+    """Bank accounts, tax numbers and identity numbers made from customers, whose check digits are right by chance."""
+    k = F.col("c_custkey")
+    n9, n2 = F.lpad((k.cast("long") * 7919 % 1000000000).cast("string"), 9, "0"), F.lpad((k % 97).cast("string"), 2, "0")
+    part = lambda i: F.substring(n9, i, 3)
+    made = {"iban": F.concat(F.lit("DE"), n2, n9, n9), "cpf": F.concat(part(1), F.lit("."), part(4), F.lit("."), part(7), F.lit("-"), n2), "nric": F.concat(F.lit("S"), F.left(n9, F.lit(7)), F.substring(F.lit("JZIHGFEDCBA"), (k % 11 + 1).cast("int"), F.lit(1)))}
+    each = F.array(*[F.struct(F.lit(f).alias("family"), v.alias("value")) for f, v in made.items()])
+    vectors = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), F.inline(each))
+    return vectors.select("page_id", "family", "value", V.valid(F.col("family"), F.col("value")).alias("valid"))
 
 
 from . import form_queries, page_queries  # noqa: E402, F401  (register their queries)

@@ -1,21 +1,50 @@
-"""Results that several later steps read: worked out once, in the folder that all executors share."""
+"""Results that several later steps read: worked out once, as tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, str] = {}
 
-def once(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir: lineage is cut, executors may be lost, Spark's cleaner may remove the files.
-
-    Where the setting is unset a local master gets a temporary folder; a cluster has to name one.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+
+def folder(spark: SparkSession) -> str:
+    """Where this application's tables are: in spark.checkpoint.dir, or (unset, on a local master) in a temporary folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not found and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='maskwright-')}")
-    return df.checkpoint(eager=True)
+        _made[app] = f"{(found or 'file://' + tempfile.mkdtemp(prefix='maskwright-')).rstrip('/')}/maskwright-{app}"
+    return _made[app]
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read again: lineage is cut, and executors may be lost. (A checkpoint would carry the
+    constraints of what it was made from along, which grow from round to round.)"""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what once() wrote for tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            _delete(table.sparkSession, path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all that once() wrote in this application; call it when its results are read."""
+    if spark.sparkContext.applicationId in _made:
+        _delete(spark, _made.pop(spark.sparkContext.applicationId))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
