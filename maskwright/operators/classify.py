@@ -90,12 +90,13 @@ def supported(guesses: DataFrame, found: DataFrame, lines: DataFrame) -> DataFra
     return touching.union(beside).union(around).distinct()
 
 
-def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5, mask_unanchored: bool = False, forms: bool = False) -> DataFrame:
+def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: float = 0.5, mask_unanchored: bool = False, forms: bool = False, guesses: DataFrame | None = None) -> DataFrame:
     """Findings of lines(page_id, line_no, text, confidence, l, t, r, b) with their boxes; unsupported guesses are left out.
 
     (page_id, line_no, rule_id, kind, start, end, token, confidence, guess, enabled, l, t, r, b); enabled is the rule's own
     setting. With forms, values beside and below labels (fields) are findings too, where no finding of their kind lies over
-    them: that cuts every line into cells, for pages of documents rather than for running text. Lines are read by the rules once: what they found is written to the shared folder. Guesses are few beside the lines: only they,
+    them: that cuts every line into cells, for pages of documents rather than for running text.
+    guesses(page_id, line_no, start, end, token) are names that a recogniser (names) guessed. Lines are read by the rules once: what they found is written to the shared folder. Guesses are few beside the lines: only they,
     their pages' lines and anchors are shuffled. Pages without one aren't read twice.
     """
     read = lines.where(F.col("confidence") >= floor)
@@ -114,13 +115,18 @@ def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: floa
     )
     if forms:
         hits = hits.unionByName(form_values(hits, read, chosen))
-    if mask_unanchored or not any(f.guess for r in chosen for f in r.finders):
+    if guesses is not None and "name" in {r.id for r in chosen}:
+        at = guesses.join(read.select("page_id", "line_no", "text", "l", "t", "r", "b"), ["page_id", "line_no"])
+        own = at.select("page_id", "line_no", F.lit("name").alias("rule_id"), F.lit("PERSON_NAME").alias("kind"), "start", "end", "token", F.lit(0.6).alias("confidence"), F.lit(True).alias("guess"), F.lit(R.BY_ID["name"].enabled).alias("enabled"), *span_box(F.col("start"), F.col("end")))
+        same = (F.col("n.page_id") == F.col("h.page_id")) & (F.col("n.line_no") == F.col("h.line_no")) & (F.col("h.kind") == "PERSON_NAME") & (F.col("n.start") < F.col("h.end")) & (F.col("h.start") < F.col("n.end"))
+        hits = hits.unionByName(own.alias("n").join(hits.alias("h"), same, "left_anti"))
+    if mask_unanchored or guesses is None and not any(f.guess for r in chosen for f in r.finders):
         return hits
     ident = F.struct("page_id", "line_no", "start", "end")
-    guesses = hits.where("guess").withColumn("id", ident)
-    pages = read.join(guesses.select("page_id").distinct(), "page_id", "left_semi")
-    good = supported(guesses.select("id", "page_id", "line_no", "start", "end", "l", "t", "r", "b"), anchors(pages), pages)
-    kept_guesses = guesses.join(good, "id", "left_semi").drop("id")
+    unsure = hits.where("guess").withColumn("id", ident)
+    pages = read.join(unsure.select("page_id").distinct(), "page_id", "left_semi")
+    good = supported(unsure.select("id", "page_id", "line_no", "start", "end", "l", "t", "r", "b"), anchors(pages), pages)
+    kept_guesses = unsure.join(good, "id", "left_semi").drop("id")
     return hits.where(~F.col("guess")).unionByName(kept_guesses)
 
 

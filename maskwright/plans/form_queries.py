@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import classify, fields, glyphs, mrz_repair, redact, regions, rules, seams
+from ..operators import classify, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -186,3 +186,23 @@ def seamless_boxes(spark, sf_dir):
     cut = boxes.join(bands, "page_id").where("t < bottom and b > top")
     found = cut.select("page_id", "k", "i", "l", F.greatest("t", "top").alias("t"), "r", F.least("b", "bottom").alias("b"))
     return seams.merged_bands(found, bands).select("page_id", "l", "t", "r", "b")
+
+
+_SURNAMES, _CALLED, _AROUND = "王李张高周", "明芳伟丽强静", ("订单", "签收", "高兴", "周末", "王府井", "由", "张贴")
+_PICK = lambda words, by: f"[{', '.join(repr(w) for w in words)}][({by}) % {len(words)} + 1]"
+
+
+@query(f"""SELECT page_id, length(ahead)::INT AS start, length(ahead || token)::INT AS "end", token FROM (SELECT c_custkey AS page_id, {_PICK(_AROUND, 'c_custkey')} || {_PICK(_AROUND, 'c_custkey // 7')} AS ahead,
+ {_PICK(_SURNAMES, 'c_custkey // 3')} || {_PICK(_CALLED, 'c_custkey // 5')} || CASE WHEN c_custkey % 2 = 0 THEN {_PICK(_CALLED, 'c_custkey // 11')} ELSE '' END AS token FROM customer)""")
+def names_by_roles(spark, sf_dir):
+    """Names within sentences made from customers, found by a model counted from every second customer's labelled words; other
+    words begin with the same characters as surnames."""
+    k = F.col("c_custkey")
+    pick = lambda words, by: F.get(F.array(*map(F.lit, words)), (F.expr(by) % len(words)).cast("int"))
+    part = lambda word, role: F.struct(word.alias("token"), F.lit(role).alias("role"))
+    second = F.when(k % 2 == 0, part(pick(_CALLED, "c_custkey div 11"), "G"))
+    parts = F.array_compact(F.array(part(pick(_AROUND, "c_custkey"), "O"), part(pick(_AROUND, "c_custkey div 7"), "O"), part(pick(_SURNAMES, "c_custkey div 3"), "S"), part(pick(_CALLED, "c_custkey div 5"), "G"), second, part(F.lit("签收"), "O")))
+    made = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), parts.alias("parts"))
+    labelled = made.where("page_id % 4 < 2").select(F.col("page_id").alias("sentence"), F.posexplode("parts").alias("pos", "x")).select("sentence", "pos", "x.*")
+    lines = made.select("page_id", F.lit(0).alias("line_no"), F.array_join(F.transform("parts", lambda x: x["token"]), "").alias("text"))
+    return names.find(lines, names.fit(labelled, ("S", "G"))).select("page_id", "start", "end", "token")
