@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import classify, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
+from ..operators import cards, classify, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -206,3 +208,29 @@ def names_by_roles(spark, sf_dir):
     labelled = made.where("page_id % 4 < 2").select(F.col("page_id").alias("sentence"), F.posexplode("parts").alias("pos", "x")).select("sentence", "pos", "x.*")
     lines = made.select("page_id", F.lit(0).alias("line_no"), F.array_join(F.transform("parts", lambda x: x["token"]), "").alias("text"))
     return names.find(lines, names.fit(labelled, ("S", "G"))).select("page_id", "start", "end", "token")
+
+
+_SUBSEQUENCES = "|".join(".*".join(x) for x in itertools.combinations(cards.ID_LABEL, 4))
+_SPOILT = f"""(SELECT c_custkey AS page_id, CASE c_custkey % 5 WHEN 0 THEN w WHEN 1 THEN left(w, i - 1) || '口' || substr(w, i + 1) WHEN 2 THEN left(w, i - 1) || substr(w, i + 2)
+ WHEN 3 THEN left(w, i - 1) || substr(w, i + 3) ELSE reverse(w) END AS text FROM (SELECT c_custkey, '{cards.ID_LABEL}' AS w, 1 + c_custkey // 5 % 4 AS i FROM customer))"""
+
+
+@query(f"SELECT page_id, text FROM {_SPOILT} WHERE regexp_matches(text, '{_SUBSEQUENCES}')")
+def spoilt_labels(spark, sf_dir):
+    """Labels of which characters are lost or wrong: two may be, three are too many, and the order counts."""
+    k, w = F.col("c_custkey"), F.lit(cards.ID_LABEL)
+    i = (1 + F.expr("c_custkey div 5") % 4).cast("int")
+    head, tail = F.left(w, i - 1), lambda n: F.substring(w, i + n, F.lit(6))
+    text = F.when(k % 5 == 0, w).when(k % 5 == 1, F.concat(head, F.lit("口"), tail(1))).when(k % 5 == 2, F.concat(head, tail(2))).when(k % 5 == 3, F.concat(head, tail(3))).otherwise(F.reverse(w))
+    return ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), text.alias("text")).where(cards.like_label(F.col("text")))
+
+
+@query("SELECT c_custkey AS page_id, 0 AS line_no, 'PERSON_NAME' AS kind, ['张三','李四','王五'][c_custkey % 3 + 1] AS token FROM customer WHERE c_custkey % 4 < 3 UNION ALL SELECT c_custkey, 3, 'POSTAL_ADDRESS', '北京市朝阳区建国路' || (c_custkey % 90 + 1) || '号' FROM customer WHERE c_custkey % 4 < 3")
+def card_fronts(spark, sf_dir):
+    """Cards made from customers in three sizes; every fourth lacks the rows of sex and birth and is no card."""
+    k = F.col("c_custkey")
+    rows = F.array(F.concat(F.lit("姓名 "), F.get(F.array(F.lit("张三"), F.lit("李四"), F.lit("王五")), (k % 3).cast("int"))), F.when(k % 4 < 3, "性别 女 民族 汉").otherwise("备注"), F.when(k % 4 < 3, "出生1949年12月31日").otherwise("说明"), F.concat(F.lit("住址 北京市朝阳区建国路"), k % 90 + 1, F.lit("号")), F.lit("公民身份号码 11010519491231002X"))
+    h = 12 + k % 3 * 10
+    lines = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), h.alias("h"), F.posexplode(rows).alias("line_no", "text"))
+    boxed = lines.select("page_id", "line_no", "text", F.lit(30).alias("l"), (50 + 2 * F.col("h") * F.col("line_no")).alias("t"), (30 + F.col("h") * F.length("text")).alias("r"), (50 + 2 * F.col("h") * F.col("line_no") + F.col("h")).alias("b"))
+    return cards.fronts(boxed).select("page_id", "line_no", "kind", "token")
