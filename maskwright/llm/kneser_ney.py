@@ -1,7 +1,9 @@
 """Interpolated Kneser-Ney character models, one per class, counted by Spark and looked up under full n-gram codes.
 
 Texts are lower-cased, runs of anything but letters become one space, and each symbol takes 12 bits, so that an n-gram of
-up to five symbols is one long. Tasks count the n-grams of their rows; Spark sums them over all rows and derives, order by
+up to five symbols is one long. Letters below U+0800 are one symbol each; others are two, a lead and a trail of ten bits
+each from ranges of their own, so that no two letters share a symbol row (in those scripts an n-gram spans fewer letters, and
+lengths are counted in symbols). Tasks count the n-grams of their rows; Spark sums them over all rows and derives, order by
 order, continuation counts, discounts, probabilities and backoff weights with group-bys and equi-joins. No n-gram is
 dropped or merged with another. A model of at most MOST_SENT entries is sent to the executors as sorted arrays; a larger one
 stays in Spark, where the distinct n-grams of the texts are joined to it and their values joined back to the texts.
@@ -27,18 +29,32 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _symbol_table() -> np.ndarray:
-    """The symbol of each code point: itself in lower case below 2048, hashed into the upper half above; space if no letter."""
+    """What each code point is before long ones are split: itself in lower case below 2048, 2048 more above; space if no letter."""
     if "symbols" not in _tables:
-        out = np.full(0x110000, SPACE_ID, np.uint16)
+        out = np.full(0x110000, SPACE_ID, np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = ord(c.lower()[0])
-                out[cp] = low if low < 2048 else 2048 + low * 40503 % 65536 % 2048
+                out[cp] = low if low < 2048 else 2048 + low
         _tables["symbols"] = out
     return _tables["symbols"]
 
 
+def split_long(sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols over 2047 as a lead (2048 and up) and a trail (3072 and up), with the offsets moved along. Letters end far
+    below U+100000."""
+    wide = sym >= 2048
+    if not wide.any():
+        return sym, offsets
+    ends = np.concatenate([[0], np.cumsum(1 + wide)])
+    out = np.repeat(sym, 1 + wide)
+    rest = sym[wide] - 2048
+    out[ends[:-1][wide]] = 2048 + (rest >> 10)
+    out[ends[:-1][wide] + 1] = 3072 + (rest & 1023)
+    return out, ends[offsets]
+
+
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts one after another, offsets): a space before and after each word; nothing for texts without letters."""
     data, at = utf8(column)
@@ -52,7 +68,7 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # One space in front of every text parts it from the one before.
     row_of = np.repeat(np.arange(n), np.diff(starts))
     place = np.arange(len(sym)) + row_of + 1
-    full = np.full(len(sym) + n, SPACE_ID, np.uint16)
+    full = np.full(len(sym) + n, SPACE_ID, np.uint32)
     full[place] = sym
     first = starts[:-1] + np.arange(n)
     is_first = np.zeros(len(full), bool)
@@ -60,7 +76,7 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     space = full == SPACE_ID
     keep = ~(space & np.concatenate([[False], space[:-1]]) & ~is_first)
     offsets = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([first, [len(full)]])]
-    return full[keep].astype(np.int64), offsets
+    return split_long(full[keep].astype(np.int64), offsets)
 
 
 def codes(sym: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
