@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import grid
 
-def _other(boxes: DataFrame) -> DataFrame:
-    return boxes.select("page_id", *[F.col(c).alias(f"{c}_2") for c in ("line_no", "l", "t", "r", "b")])
+
+def _pairs(boxes: DataFrame, reach: float) -> DataFrame:
+    """Each box with the others of its page that are at most reach heights of the taller one above or below, by bands."""
+    return grid.near_pairs(boxes, boxes.select("page_id", "line_no", "l", "t", "r", "b"), reach)
 
 
 def _row_share() -> Column:
@@ -19,7 +22,7 @@ def _row_share() -> Column:
 
 def nearest_right(boxes: DataFrame, reach: float = 10.0, share: float = 0.5) -> DataFrame:
     """(page_id, line_no, right_no): the nearest box to the right on the same row, within reach heights."""
-    pairs = boxes.join(_other(boxes), "page_id").where((F.col("l_2") >= F.col("r")) & (F.col("l_2") - F.col("r") <= reach * (F.col("b") - F.col("t"))) & (_row_share() >= share))
+    pairs = _pairs(boxes, 0.0).where((F.col("l_2") >= F.col("r")) & (F.col("l_2") - F.col("r") <= reach * (F.col("b") - F.col("t"))) & (_row_share() >= share))
     w = W.partitionBy("page_id", "line_no").orderBy(F.col("l_2") - F.col("r"), "line_no_2")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "line_no", F.col("line_no_2").alias("right_no"))
 
@@ -27,7 +30,7 @@ def nearest_right(boxes: DataFrame, reach: float = 10.0, share: float = 0.5) ->
 def nearest_below(boxes: DataFrame, reach: float = 1.5) -> DataFrame:
     """(page_id, line_no, below_no): the nearest box below that shares columns, within reach heights."""
     columns = F.least("r", "r_2") > F.greatest("l", "l_2")
-    pairs = boxes.join(_other(boxes), "page_id").where((F.col("t_2") >= F.col("b")) & (F.col("t_2") - F.col("b") <= reach * (F.col("b") - F.col("t"))) & columns)
+    pairs = _pairs(boxes, reach).where((F.col("t_2") >= F.col("b")) & (F.col("t_2") - F.col("b") <= reach * (F.col("b") - F.col("t"))) & columns)
     w = W.partitionBy("page_id", "line_no").orderBy(F.col("t_2") - F.col("b"), "line_no_2")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "line_no", F.col("line_no_2").alias("below_no"))
 
@@ -36,7 +39,7 @@ def wrap_of(boxes: DataFrame) -> DataFrame:
     """(page_id, line_no, wrap_no): the line that continues a line: directly below, of like height, its left within [-3h, +h]."""
     h, h2 = F.col("b") - F.col("t"), F.col("b_2") - F.col("t_2")
     like = (F.greatest(h, h2) <= 1.4 * F.least(h, h2)) & (F.col("t_2") > F.col("t")) & (F.col("t_2") - F.col("b") <= h) & (F.col("l_2") - F.col("l")).between(-3 * h, h)
-    pairs = boxes.join(_other(boxes), "page_id").where((F.col("line_no") != F.col("line_no_2")) & like)
+    pairs = _pairs(boxes, 1.0).where((F.col("line_no") != F.col("line_no_2")) & like)
     w = W.partitionBy("page_id", "line_no").orderBy("t_2", "line_no_2")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "line_no", F.col("line_no_2").alias("wrap_no"))
 
@@ -55,9 +58,10 @@ def labelled_values(boxes: DataFrame, label: str, value: str) -> DataFrame:
 
 def lone(boxes: DataFrame, pattern: str, gap: float = 1.5) -> DataFrame:
     """Lines that match pattern whole with no other line within gap heights."""
-    h = F.col("x.b") - F.col("x.t")
-    near = (F.col("x.page_id") == F.col("y.page_id")) & (F.col("x.line_no") != F.col("y.line_no")) & (F.col("y.t") - F.col("x.b") < gap * h) & (F.col("x.t") - F.col("y.b") < gap * h)
-    return boxes.where(F.col("text").rlike(f"^(?:{pattern})$")).alias("x").join(boxes.alias("y"), near, "left_anti")
+    h = F.col("b") - F.col("t")
+    own = boxes.where(F.col("text").rlike(f"^(?:{pattern})$"))
+    pairs = grid.near_pairs(own, boxes.select("page_id", "line_no", "t", "b"), gap).where((F.col("line_no") != F.col("line_no_2")) & (F.col("t_2") - F.col("b") < gap * h) & (F.col("t") - F.col("b_2") < gap * h))
+    return own.join(pairs.select("page_id", "line_no").distinct(), ["page_id", "line_no"], "left_anti")
 
 
 def cells(chars: DataFrame) -> DataFrame:

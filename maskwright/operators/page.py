@@ -8,16 +8,13 @@ from pyspark.sql import Window as W
 
 from ..functions import dates as D
 from . import finders as P
-
-
-def _box(df: DataFrame, suffix: str) -> DataFrame:
-    return df.select("page_id", *[F.col(c).alias(c + suffix) for c in df.columns if c != "page_id"])
+from . import grid
 
 
 def not_order_numbers(hits: DataFrame, boxes: DataFrame, hint: str) -> DataFrame:
     """hits(page_id, line_no, ...) whose line, nearest line to the left, and nearest line above don't have the hint."""
     own = boxes.select("page_id", "line_no", "l", "t", "r", "b", F.col("text").rlike(hint).alias("hint"))
-    pairs = own.drop("hint").join(_box(own, "_2"), "page_id").where("line_no <> line_no_2")
+    pairs = grid.near_pairs(own.drop("hint"), own, 1.5).where("line_no <> line_no_2")
     h = F.col("b") - F.col("t")
     row = F.least("b", "b_2") - F.greatest("t", "t_2") >= 0.5 * F.least(h, F.col("b_2") - F.col("t_2"))
     left = pairs.where(row & (F.col("r_2") <= F.col("l")) & (F.col("l") - F.col("r_2") <= 10 * h)).withColumn("gap", F.col("l") - F.col("r_2")).withColumn("way", F.lit(0))
@@ -43,7 +40,7 @@ def following_lines(starts: DataFrame, boxes: DataFrame, most: int = 3) -> DataF
     h, h2 = F.col("b") - F.col("t"), F.col("b_2") - F.col("t_2")
     fits = (F.col("t_2") >= F.col("b") - 0.5 * h) & (F.col("t_2") > F.col("t")) & (F.col("t_2") - F.col("b") <= h) & (F.abs(F.col("l_2") - F.col("l")) <= h) & (F.greatest(h, h2) <= 1.4 * F.least(h, h2))
     own = boxes.select("page_id", "line_no", "l", "t", "r", "b")
-    pairs = own.join(_box(own, "_2"), "page_id").where((F.col("line_no") != F.col("line_no_2")) & fits)
+    pairs = grid.near_pairs(own, own, 1.0).where((F.col("line_no") != F.col("line_no_2")) & fits)
     after = pairs.withColumn("_n", F.row_number().over(W.partitionBy("page_id", "line_no").orderBy("t_2", F.abs(F.col("l_2") - F.col("l")), "line_no_2"))).where("_n = 1").select("page_id", F.col("line_no").alias("at"), F.col("line_no_2").alias("next_no"))
     now, out = starts.select("page_id", "line_no", F.col("line_no").alias("at")), None
     for k in range(1, most + 1):
@@ -58,9 +55,9 @@ def lone_plates(boxes: DataFrame, gap: float = 1.5) -> DataFrame:
     whole = F.coalesce(F.nullif(F.size(P.alone_plate(F.col("text"))), F.lit(0)), F.size(P.plates(F.col("text"))))
     token = F.when(F.size(P.alone_plate(F.col("text"))) > 0, P.alone_plate(F.col("text"))[0]).otherwise(F.get(P.plates(F.col("text")), F.lit(0)))
     own = boxes.where(whole > 0).select("*", token.alias("x")).where(F.length(F.trim("text")) == F.length("x.token"))
-    h = F.col("p.b") - F.col("p.t")
-    near = (F.col("p.page_id") == F.col("o.page_id")) & (F.col("p.line_no") != F.col("o.line_no")) & (F.col("o.t") - F.col("p.b") < gap * h) & (F.col("p.t") - F.col("o.b") < gap * h)
-    return own.alias("p").join(boxes.alias("o"), near, "left_anti").select("page_id", "line_no", "x.start", "x.end", "x.token")
+    h = F.col("b") - F.col("t")
+    pairs = grid.near_pairs(own, boxes.select("page_id", "line_no", "t", "b"), gap).where((F.col("line_no") != F.col("line_no_2")) & (F.col("t_2") - F.col("b") < gap * h) & (F.col("t") - F.col("b_2") < gap * h))
+    return own.join(pairs.select("page_id", "line_no").distinct(), ["page_id", "line_no"], "left_anti").select("page_id", "line_no", "x.start", "x.end", "x.token")
 
 
 def two_row_plates(boxes: DataFrame, shape: str = r"^[A-Z0-9]{2,4} [A-Z0-9]{2,5}$") -> DataFrame:
@@ -68,7 +65,7 @@ def two_row_plates(boxes: DataFrame, shape: str = r"^[A-Z0-9]{2,4} [A-Z0-9]{2,5}
     short = boxes.where(F.length(F.trim("text")).between(2, 6) & F.col("text").rlike("^[A-Z0-9 ]+$"))
     own = short.select("page_id", "line_no", "l", "t", "r", "b", F.trim("text").alias("text"))
     h = F.col("b") - F.col("t")
-    pairs = own.join(_box(own, "_2"), "page_id").where((F.col("t_2") >= F.col("b") - 0.3 * h) & (F.col("t_2") - F.col("b") <= h) & (F.col("t_2") > F.col("t")) & (F.least("r", "r_2") > F.greatest("l", "l_2")))
+    pairs = grid.near_pairs(own, own, 1.0).where((F.col("t_2") >= F.col("b") - 0.3 * h) & (F.col("t_2") - F.col("b") <= h) & (F.col("t_2") > F.col("t")) & (F.least("r", "r_2") > F.greatest("l", "l_2")))
     token = F.concat_ws(" ", "text", "text_2")
     ok = pairs.withColumn("token", token).where(token.rlike(shape) & token.rlike("[0-9]") & token.rlike("[A-Z]"))
     first = ok.withColumn("_a", F.row_number().over(W.partitionBy("page_id", "line_no").orderBy("t_2", "line_no_2"))).where("_a = 1")
