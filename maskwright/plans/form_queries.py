@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import cards, classify, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
+from ..operators import axis, cards, classify, detect, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -234,3 +234,40 @@ def card_fronts(spark, sf_dir):
     lines = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), h.alias("h"), F.posexplode(rows).alias("line_no", "text"))
     boxed = lines.select("page_id", "line_no", "text", F.lit(30).alias("l"), (50 + 2 * F.col("h") * F.col("line_no")).alias("t"), (30 + F.col("h") * F.length("text")).alias("r"), (50 + 2 * F.col("h") * F.col("line_no") + F.col("h")).alias("b"))
     return cards.fronts(boxed).select("page_id", "line_no", "kind", "token")
+
+
+_TURNED = """(SELECT l_orderkey AS page_id, l_linenumber AS line_no, CASE min(l_partkey) % 4 WHEN 0 THEN 0 WHEN 1 THEN 30 + min(l_partkey) % 3 WHEN 2 THEN 90 - min(l_partkey) % 5 ELSE min(l_partkey) % 180 END AS degrees,
+ 20 + 3 * min(l_quantity)::BIGINT AS length, 10 + min(l_suppkey) % 9 * 4 AS height FROM lineitem GROUP BY 1, 2)"""
+_APART = lambda a, b: f"least((abs({a} - ({b})) % 180), 180 - (abs({a} - ({b})) % 180))"
+_VOTES = lambda rows: f"(SELECT page_id, arg_min(a, (-near, line_no)) AS mode FROM (SELECT x.page_id, x.line_no, x.a, sum(y.length) AS near FROM {rows} x JOIN {rows} y ON x.page_id = y.page_id AND {_APART('x.a', 'y.a')} <= 5 GROUP BY ALL) GROUP BY page_id)"
+
+
+@query(f"""WITH o AS (SELECT page_id, line_no, CASE WHEN degrees > 90 THEN degrees - 180 ELSE degrees END AS a, length FROM {_TURNED} WHERE length >= 2 * height),
+up AS (SELECT * FROM o WHERE {_APART('a', '90')} <= 15), sq AS (SELECT * FROM o WHERE {_APART('a', '90')} <= 15 OR {_APART('a', '0')} <= 15),
+s AS (SELECT page_id, sum(length) AS total, coalesce(sum(length) FILTER ({_APART('a', '0')} <= 2), 0) AS level, coalesce(sum(length) FILTER ({_APART('a', '90')} <= 2), 0) AS plumb, coalesce(sum(length) FILTER ({_APART('a', '0')} <= 15 OR {_APART('a', '90')} <= 15), 0) AS squarish,
+ count(*) FILTER ({_APART('a', '90')} <= 15) AS n_up, coalesce(sum(length) FILTER ({_APART('a', '90')} <= 15), 0) AS up FROM o GROUP BY page_id),
+m AS (SELECT s.*, CASE WHEN n_up >= 3 AND up >= 0.15 * total THEN u.mode ELSE e.mode END AS mode, q.mode AS square FROM s JOIN {_VOTES('o')} e USING (page_id) LEFT JOIN {_VOTES('up')} u USING (page_id) LEFT JOIN {_VOTES('sq')} q USING (page_id)),
+n AS (SELECT m.*, (SELECT coalesce(sum(length), 0) FROM o WHERE o.page_id = m.page_id AND {_APART('a', 'm.mode')} <= 15) AS near FROM m),
+d AS (SELECT page_id, CASE WHEN {_APART('mode', '90')} <= 15 THEN NULL WHEN greatest(level, plumb) >= 0.25 * total THEN CASE WHEN level >= plumb THEN 0.0 ELSE 90.0 END
+  WHEN {_APART('mode', '0')} > 15 AND squarish >= 0.1 * total THEN CASE WHEN {_APART('square', '0')} <= 15 THEN 0.0 END WHEN near < 0.6 * total THEN NULL WHEN abs(mode) <= 45 AND total - near >= 0.25 * total THEN 0.0 END AS fixed,
+  {_APART('mode', '90')} > 15 AND greatest(level, plumb) < 0.25 * total AND NOT ({_APART('mode', '0')} > 15 AND squarish >= 0.1 * total) AND near < 0.6 * total AS unclear,
+  CASE WHEN {_APART('mode', '90')} > 15 AND greatest(level, plumb) < 0.25 * total AND {_APART('mode', '0')} > 15 AND squarish >= 0.1 * total THEN square ELSE mode END AS mode FROM n),
+e AS (SELECT d.page_id, fixed, unclear, degrees(atan2(sum(length * sin(radians(2 * a))), sum(length * cos(radians(2 * a))))) / 2 AS mean FROM d JOIN o ON o.page_id = d.page_id AND {_APART('a', 'd.mode')} <= 5 GROUP BY ALL)
+SELECT page_id, CASE WHEN NOT unclear THEN round(coalesce(fixed, CASE WHEN abs(mean) < 2 THEN 0.0 WHEN abs(mean) > 88 THEN 90.0 ELSE mean END), 3)::DOUBLE END AS axis FROM e""")
+def text_axes(spark, sf_dir):
+    """The axis of each order's page, its lines level, upright, slanted or anyhow."""
+    x = ingest.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("line_no")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"))
+    k = F.col("p") % 4
+    degrees = F.when(k == 0, 0).when(k == 1, 30 + F.col("p") % 3).when(k == 2, 90 - F.col("p") % 5).otherwise(F.col("p") % 180)
+    return axis.text_axis(x.select("page_id", "line_no", degrees.alias("degrees"), (20 + 3 * F.col("q")).alias("length"), (10 + F.col("s") % 9 * 4).alias("height"))).select("page_id", F.round("axis", 3).alias("axis"))
+
+
+@query("""WITH RECURSIVE cells AS (SELECT vec_id, i - 1 AS c, 0.5 + 3 * embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE 0.5 + 3 * embedding[i]::DOUBLE > 0.3),
+near AS (SELECT a.vec_id, a.c AS a, b.c AS b FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND (abs(a.c - b.c) = 8 OR abs(a.c - b.c) = 1 AND a.c // 8 = b.c // 8)),
+reach AS (SELECT vec_id, c AS root, c FROM cells UNION SELECT r.vec_id, r.root, n.b FROM reach r JOIN near n ON r.vec_id = n.vec_id AND r.c = n.a),
+least AS (SELECT vec_id, c, min(root) AS root FROM reach GROUP BY ALL)
+SELECT vec_id, root::INT AS first, count(*)::INT AS pixels, round(avg(v), 6) AS mean FROM least JOIN cells USING (vec_id, c) GROUP BY vec_id, root""")
+def map_components(spark, sf_dir):
+    """Connected pixels of maps of eight by eight made from embeddings."""
+    maps = ingest.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("map_id"), F.lit(8).alias("width"), F.transform("embedding", lambda x: 0.5 + 3 * x.cast("double")).alias("values"))
+    return detect.components(maps).select(F.col("map_id").alias("vec_id"), "first", "pixels", F.round("mean", 6).alias("mean"))
