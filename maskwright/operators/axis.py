@@ -67,6 +67,8 @@ def text_axis(lines: DataFrame) -> DataFrame:
     twice = F.radians(2 * F.col("a"))
     tight = own.join(decided, "page_id").where(between_axes(F.col("a"), F.col("mode")) <= TIGHT)
     mean = tight.groupBy("page_id", "fixed", "unclear").agg((F.degrees(F.atan2(F.sum(F.col("length") * F.sin(twice)), F.sum(F.col("length") * F.cos(twice)))) / 2).alias("mean"))
+    # Whole degrees stay whole, whatever the noise of sines.
+    mean = mean.withColumn("mean", F.round("mean", 9))
     snapped = F.when(F.abs("mean") < SNAP, 0.0).when(F.abs("mean") > 90 - SNAP, 90.0).otherwise(F.col("mean"))
     return mean.select("page_id", F.when(~F.col("unclear"), F.coalesce("fixed", snapped)).alias("axis"))
 

@@ -252,7 +252,7 @@ d AS (SELECT page_id, CASE WHEN {_APART('mode', '90')} <= 15 THEN NULL WHEN grea
   WHEN {_APART('mode', '0')} > 15 AND squarish >= 0.1 * total THEN CASE WHEN {_APART('square', '0')} <= 15 THEN 0.0 END WHEN near < 0.6 * total THEN NULL WHEN abs(mode) <= 45 AND total - near >= 0.25 * total THEN 0.0 END AS fixed,
   {_APART('mode', '90')} > 15 AND greatest(level, plumb) < 0.25 * total AND NOT ({_APART('mode', '0')} > 15 AND squarish >= 0.1 * total) AND near < 0.6 * total AS unclear,
   CASE WHEN {_APART('mode', '90')} > 15 AND greatest(level, plumb) < 0.25 * total AND {_APART('mode', '0')} > 15 AND squarish >= 0.1 * total THEN square ELSE mode END AS mode FROM n),
-e AS (SELECT d.page_id, fixed, unclear, degrees(atan2(sum(length * sin(radians(2 * a))), sum(length * cos(radians(2 * a))))) / 2 AS mean FROM d JOIN o ON o.page_id = d.page_id AND {_APART('a', 'd.mode')} <= 5 GROUP BY ALL)
+e AS (SELECT d.page_id, fixed, unclear, round(degrees(atan2(sum(length * sin(radians(2 * a))), sum(length * cos(radians(2 * a))))) / 2, 9) AS mean FROM d JOIN o ON o.page_id = d.page_id AND {_APART('a', 'd.mode')} <= 5 GROUP BY ALL)
 SELECT page_id, CASE WHEN NOT unclear THEN round(coalesce(fixed, CASE WHEN abs(mean) < 2 THEN 0.0 WHEN abs(mean) > 88 THEN 90.0 ELSE mean END), 3)::DOUBLE END AS axis FROM e""")
 def text_axes(spark, sf_dir):
     """The axis of each order's page, its lines level, upright, slanted or anyhow."""
