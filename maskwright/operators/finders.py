@@ -217,7 +217,7 @@ def emails(text: Column) -> Column:
         whole = F.forall(labels, lambda y: y.rlike("^[A-Za-z0-9-]+$")) & F.element_at(labels, -1).rlike("^[A-Za-z]{2,24}$")
         return (F.size(sides) == 2) & (F.get(sides, F.lit(0)) != "") & (F.size(labels) >= 2) & whole & V.known_tld(F.element_at(labels, -1))
 
-    return F.filter(F.transform(S.find_spans(text, "[A-Za-z0-9._%+@-]+"), trimmed), fits)
+    return F.filter(F.transform(S.find_spans(text, "(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9._%+@-]*+"), trimmed), fits)
 
 
 def social_numbers(text: Column) -> Column:

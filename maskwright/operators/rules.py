@@ -7,6 +7,7 @@ projection over lines: nothing is shuffled and no Python runs in the tasks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -244,17 +245,19 @@ def hits(text: Column, rules: tuple[Rule, ...], whole_page: bool = False) -> Col
     A line by itself is its own page: hits that only count on pages with another finding of their rule need that in the
     line. With whole_page they are left for the caller to judge (of_page).
     """
-    out = []
-    for k, rule in enumerate(rules):
-        found = []
-        for j, finder in enumerate(rule.finders):
-            found.append(F.transform(finder.spans(text), _as_hit(rule, k, j, finder)))
+
+    def of_rule(k: int, rule: Rule) -> Column:
+        found = [F.transform(finder.spans(text), _as_hit(rule, k, j, finder)) for j, finder in enumerate(rule.finders)]
         own = F.concat(*found) if len(found) > 1 else found[0]
         own = S.let(own, lambda x: F.when(F.size(x) > 1, S.first_come(x, HIT)).otherwise(x)) if len(found) > 1 else own
         if not whole_page and any(getattr(f, "page", False) for f in rule.finders):
             own = S.let(own, _beside_others(rule))
         # Finders only run on lines that have what each match of the rule has.
-        out.append(F.when(text.rlike(NEEDS[rule.id]), own).otherwise(F.array().cast(f"array<{HIT}>")) if BY_ID.get(rule.id) == rule else own)
+        return F.when(text.rlike(NEEDS[rule.id]), own).otherwise(F.array().cast(f"array<{HIT}>")) if BY_ID.get(rule.id) == rule else own
+
+    # Building is mostly waiting for the JVM: rules are built side by side.
+    with ThreadPoolExecutor(8) as pool:
+        out = list(pool.map(of_rule, range(len(rules)), rules))
     return F.concat(*out) if out else F.array().cast(f"array<{HIT}>")
 
 

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import validators as V
 from ..operators import layout, merge, metrics, redact, refine, resolve, rules
 from ..sources import ingest
+from ..sources.shared import spread
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.document_lines(ingest.table(spark, sf_dir, "documents"))
+    return ingest.document_lines(spread(ingest.table(spark, sf_dir, "documents")))
 
 
 def boxes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ SELECT page_id, line_no, token, count(*) AS n FROM (SELECT page_id, line_no, unn
 
 @query()
 def redact_documents(spark, sf_dir):
-    return redact.redact_documents(ingest.table(spark, sf_dir, "documents"), {"ip": "ON"})
+    return redact.redact_documents(spread(ingest.table(spark, sf_dir, "documents")), {"ip": "ON"})
 
 
 @query(f"SELECT page_id, line_no, length(text) AS n_chars FROM {_LINES}")

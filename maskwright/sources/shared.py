@@ -31,6 +31,13 @@ def once(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt over all cores where it has fewer partitions than there are; large tables stay as they
+    are. (For plain reads: counting the partitions of anything else would run its shuffles.)"""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.rdd().getNumPartitions() < cores else table
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what once() wrote for tables that nothing reads any more."""
     for table in tables:
