@@ -2,6 +2,11 @@
 
 Quality rules, line dedup, SimHash near-dedup and benchmark decontamination return the columns of documents; mixing
 returns the rows that the mix takes, with `repeats`: how often each is taken.
+
+Cases: null and empty texts fail the base rule of the first stage; rows without a doc_id have no label and are judged like
+others; repeated rows are copies of each other, of which the third stage keeps one; very long texts are read whole; an empty
+table gives no rows, an empty benchmark removes none; extra columns, also with names that a stage uses for itself, come
+through all stages but the last unchanged.
 """
 
 from __future__ import annotations
