@@ -30,3 +30,24 @@ def test_stages_against_brute_force(spark):
     total = sum(len(t.split()) for t in clean.values())
     taken = sum(len(r.text.split()) * r.repeats for r in out.values())
     assert abs(taken - total) <= 0.1 * total
+
+
+def test_rare_cases(spark, tmp_path):
+    """Nulls, repeated rows, no ids, a column with a stage's own name, and an empty benchmark; then no rows at all."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1, "x"), (1, text, "en", "a", 1, "x"), (None, text + " more", None, None, None, "y"), (2, None, "en", "a", 0, None), (3, "", "en", None, 0, "z")]
+    rows += [(None, " ".join(f"v{i}" for i in range(90)), "de", "b", 5, "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    for name, docs in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(docs, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+    # One of the copies; fingerprints more than two bits apart aren't linked.
+    assert sorted(r.kept for r in docs.collect()) == ["k", "x", "y"]
+    assert corpus_pipeline.run(spark, str(tmp_path / "some")).count() <= 3
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
