@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import axis, cards, classify, detect, fields, glyphs, mrz_repair, names, redact, regions, rules, seams
+from ..operators import axis, cards, classify, detect, fields, glyphs, mrz_repair, names, redact, regions, rules, seams, word_gaps
 from ..operators import finders as P
 from ..sources import ingest
 from .queries import _LINES, query
@@ -271,3 +271,44 @@ def map_components(spark, sf_dir):
     """Connected pixels of maps of eight by eight made from embeddings."""
     maps = ingest.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("map_id"), F.lit(8).alias("width"), F.transform("embedding", lambda x: 0.5 + 3 * x.cast("double")).alias("values"))
     return detect.components(maps).select(F.col("map_id").alias("vec_id"), "first", "pixels", F.round("mean", 6).alias("mean"))
+
+
+#: Strips of sixteen by four pixels made from embeddings, five glyphs on each.
+_AT = [1.5, 4.5, 8.0, 11.25, 14.0]
+_GLYPHS = "['件', 'a', '1', '-', 'Z', '9', ' ']"
+_CUTS = f"""px AS (SELECT vec_id, (i - 1) // 16 AS y, (i - 1) % 16 AS c, CASE WHEN NOT isnan(embedding[i]) THEN 0.5 + 1.5 * embedding[i]::DOUBLE END AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE embedding IS NOT NULL),
+ paper AS (SELECT vec_id, list_sort(list(floor(least(1, greatest(0, v)) * 255)))[(count(*) + 1) // 2] / 255 AS m FROM px WHERE v IS NOT NULL GROUP BY vec_id),
+ ink AS (SELECT vec_id, y, c, coalesce(abs(v - m) > 0.25, false) AS is_on FROM px LEFT JOIN paper USING (vec_id)),
+ cols AS (SELECT vec_id, c, count(*) FILTER (is_on) AS n FROM ink GROUP BY ALL),
+ tall AS (SELECT vec_id, coalesce(max(y) FILTER (is_on) - min(y) FILTER (is_on) + 1, 4) AS h FROM ink GROUP BY vec_id),
+ runs AS (SELECT vec_id, min(c) AS a, max(c) + 1 AS b FROM (SELECT vec_id, c, c - row_number() OVER (PARTITION BY vec_id ORDER BY c) AS g FROM cols WHERE n = 0) GROUP BY vec_id, g),
+ glyphs AS (SELECT vec_id, pos, {_GLYPHS}[(vec_id * 5 + pos * 3 + vec_id // 7) % 7 + 1] AS token, {_AT}[pos + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(5)) AS pos)),
+ pairs AS (SELECT vec_id, pos, token, x, lag(token) OVER w AS lt, lag(x) OVER w AS lx FROM glyphs WINDOW w AS (PARTITION BY vec_id ORDER BY pos)),
+ wide AS (SELECT vec_id, pos, max(b - a) AS gap FROM pairs JOIN runs USING (vec_id) WHERE a > 0 AND b < 16 AND (a + b) / 2 > lx AND (a + b) / 2 < x GROUP BY ALL),
+ near AS (SELECT vec_id, pos, arg_min(m, (abs(m - (lx + x) / 2), m)) AS at FROM (SELECT *, (greatest(a, ceil(lx)) + least(b, floor(x))) / 2 AS m FROM pairs JOIN runs USING (vec_id) WHERE greatest(a, ceil(lx)) < least(b, floor(x))) GROUP BY ALL),
+ thin AS (SELECT vec_id, pos, arg_min(c + 0.5, (n, abs(c + 0.5 - (lx + x) / 2), c)) AS at FROM pairs JOIN cols USING (vec_id) WHERE c BETWEEN lx + (x - lx) / 4 AND x - (x - lx) / 4 GROUP BY ALL),
+ found AS (SELECT p.vec_id, p.pos, p.token, coalesce(gap >= h * CASE WHEN lt = ' ' OR token = ' ' THEN NULL WHEN lt = '件' OR token = '件' THEN 0.3 WHEN lt IN ('1', '9') AND token IN ('1', '9') THEN 0.45 WHEN lt = '-' OR token = '-' THEN NULL ELSE 0.6 END, false) AS blank,
+  CASE WHEN pos > 0 THEN coalesce(near.at, thin.at, (lx + x) / 2) END AS cut FROM pairs p LEFT JOIN tall USING (vec_id) LEFT JOIN wide USING (vec_id, pos) LEFT JOIN near USING (vec_id, pos) LEFT JOIN thin USING (vec_id, pos))"""
+
+
+def strips_of(spark, sf_dir):
+    x = ingest.table(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    glyphs = x.select(k.alias("strip_id"), F.posexplode(F.array(*map(F.lit, _AT))).alias("pos", "x"))
+    of = F.get(F.array(*map(F.lit, "件a1-Z9 ")), ((F.col("strip_id") * 5 + F.col("pos") * 3 + F.expr("strip_id div 7")) % 7).cast("int"))
+    return x.select(k.alias("strip_id"), F.lit(16).alias("width"), F.transform("embedding", lambda v: 0.5 + 1.5 * v.cast("double")).alias("gray")), glyphs.withColumn("token", of)
+
+
+@query(f"WITH {_CUTS} SELECT vec_id, pos::INT AS pos, blank, round(cut, 6) AS cut, CASE WHEN token <> ' ' THEN round(CASE WHEN pos = 0 THEN 0 ELSE cut END, 6) END AS l, CASE WHEN token <> ' ' THEN round(coalesce(lead(cut) OVER (PARTITION BY vec_id ORDER BY pos), 16), 6) END AS r FROM found")
+def glyph_cuts(spark, sf_dir):
+    """Blanks and cuts between the glyphs of strips made from embeddings, with the boxes of those that are no blanks."""
+    strips, glyphs = strips_of(spark, sf_dir)
+    found = word_gaps.between(strips, glyphs)
+    boxes = word_gaps.elements(found, strips).select("strip_id", "pos", "l", "r")
+    return found.join(boxes, ["strip_id", "pos"], "left").select(F.col("strip_id").alias("vec_id"), "pos", "blank", F.round("cut", 6).alias("cut"), F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
+
+
+@query(f"WITH {_CUTS} SELECT vec_id, string_agg(CASE WHEN blank THEN ' ' ELSE '' END || token, '' ORDER BY pos) AS text FROM found GROUP BY vec_id")
+def spaced_lines(spark, sf_dir):
+    """The text of each strip with the blanks that its pixels show."""
+    return word_gaps.spaced(word_gaps.between(*strips_of(spark, sf_dir))).select(F.col("strip_id").alias("vec_id"), "text")
