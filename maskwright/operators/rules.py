@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, mrz
 from ..functions import spans as S
 from ..functions import validators as V
-from ..functions.text import half_width_digits
+from ..functions.text import LONE_HAN, half_width_digits, han_view, in_source
 from . import finders as P
 
 HIT = "struct<rule_id:string,kind:string,rule_ord:int,finder_ord:int,start:int,end:int,token:string,confidence:double>"
@@ -53,6 +53,8 @@ class Scan:
     guess: bool = False
     #: Only counts on pages with a sure finding of its rule (see classify).
     page: bool = False
+    #: Reads lines whose Chinese is set apart without the blanks between (see text.han_view).
+    han: bool = False
 
     def spans(self, text: Column) -> Column:
         return F.transform(self.find(text), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["token"].alias("token")))
@@ -144,24 +146,24 @@ CATALOGUE: tuple[Rule, ...] = (
     )),
     Rule("apikey", "API_KEY", (Scan(P.api_keys, 0.9),)),
     Rule("name", "PERSON_NAME", (
-        Scan(P.labelled_names, 0.8),
+        Scan(P.labelled_names, 0.8, han=True),
         Scan(P.name_cues, 0.75),
-        Scan(P.diploma_names, 0.8),
-        Scan(P.names_before_phones, 0.7),
+        Scan(P.diploma_names, 0.8, han=True),
+        Scan(P.names_before_phones, 0.7, han=True),
         Scan(P.name_pairs, 0.7, guess=True),
     )),
     Rule("address", "POSTAL_ADDRESS", (
-        Scan(P.valued(f"(?i)(?:{_ADDRESS_LABELS})", "[^:： ][^:：]{3,59}$", r"\s{0,2}[:：]\s{0,2}", check=lambda v: v.rlike("[0-9一-鿿]|, ?[A-Z]")), 0.8),
+        Scan(P.valued(f"(?i)(?:{_ADDRESS_LABELS})", "[^:： ][^:：]{3,59}$", r"\s{0,2}[:：]\s{0,2}", check=lambda v: v.rlike("[0-9一-鿿]|, ?[A-Z]")), 0.8, han=True),
         Scan(P.english_addresses, 0.8),
-        Scan(P.chinese_addresses, 0.8),
+        Scan(P.chinese_addresses, 0.8, han=True),
     ), yields_to=("LICENSE_PLATE",)),
     Rule("pickup", "PICKUP_CODE", (
-        Scan(P.valued(f"(?:{_PICKUP})", "(?<![A-Za-z0-9－-])[A-Za-z0-9]++(?: ?[-－] ?[A-Za-z0-9]++){0,6}", r"\s?[:：为是]?\s?", check=lambda v: v.rlike("[0-9]")), 0.8),
-        Scan(P.collect_codes, 0.7),
+        Scan(P.valued(f"(?:{_PICKUP})", "(?<![A-Za-z0-9－-])[A-Za-z0-9]++(?: ?[-－] ?[A-Za-z0-9]++){0,6}", r"\s?[:：为是]?\s?", check=lambda v: v.rlike("[0-9]")), 0.8, han=True),
+        Scan(P.collect_codes, 0.7, han=True),
     )),
     Rule("birthdate", "BIRTH_DATE", (
-        Scan(P.valued(f"(?i)(?:{_BIRTH})", dates.SHAPE, r"\s{0,2}[:：]?\s{0,2}(?:on )?", check=lambda v: F.exists(dates.readings(v), lambda r: r["y"].between(this_year() - 110, this_year()))), 0.8),
-        Scan(lambda t: dates.born_on(t, this_year()), 0.8),
+        Scan(P.valued(f"(?i)(?:{_BIRTH})", dates.SHAPE, r"\s{0,2}[:：]?\s{0,2}(?:on )?", check=lambda v: F.exists(dates.readings(v), lambda r: r["y"].between(this_year() - 110, this_year()))), 0.8, han=True),
+        Scan(lambda t: dates.born_on(t, this_year()), 0.8, han=True),
     )),
     Rule("plate", "LICENSE_PLATE", (
         Scan(P.labelled_plates, 0.8),
@@ -224,6 +226,11 @@ def is_guess(hit: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def reads_views(rules: tuple[Rule, ...]) -> bool:
+    """Whether a finder of the rules reads lines by their Chinese view."""
+    return any(getattr(f, "han", False) for r in rules for f in r.finders)
+
+
 def _beside_others(rule: Rule):
     """Leaves hits of page finders only where another hit of the rule stands in the line."""
     return lambda found: F.filter(found, lambda y: ~of_page(y, (rule,)) | F.exists(found, lambda z: ~of_page(z, (rule,))))
@@ -246,19 +253,28 @@ def hits(text: Column, rules: tuple[Rule, ...], whole_page: bool = False) -> Col
     line. With whole_page they are left for the caller to judge (of_page).
     """
 
-    def of_rule(k: int, rule: Rule) -> Column:
-        found = [F.transform(finder.spans(text), _as_hit(rule, k, j, finder)) for j, finder in enumerate(rule.finders)]
+    def spans_of(finder: Finder | Scan, view: Column) -> Column:
+        return in_source(finder.spans(view["text"]), view["origin"], text) if getattr(finder, "han", False) else finder.spans(text)
+
+    def of_rule(k: int, rule: Rule, view: Column) -> Column:
+        found = [F.transform(spans_of(finder, view), _as_hit(rule, k, j, finder)) for j, finder in enumerate(rule.finders)]
         own = F.concat(*found) if len(found) > 1 else found[0]
         own = S.let(own, lambda x: F.when(F.size(x) > 1, S.first_come(x, HIT)).otherwise(x)) if len(found) > 1 else own
         if not whole_page and any(getattr(f, "page", False) for f in rule.finders):
             own = S.let(own, _beside_others(rule))
         # Finders only run on lines that have what each match of the rule has.
-        return F.when(text.rlike(NEEDS[rule.id]), own).otherwise(F.array().cast(f"array<{HIT}>")) if BY_ID.get(rule.id) == rule else own
+        needed = text.rlike(NEEDS.get(rule.id, ""))
+        if reads_views((rule,)):
+            needed = needed | view["origin"].isNotNull() & view["text"].rlike(NEEDS.get(rule.id, ""))
+        return F.when(needed, own).otherwise(F.array().cast(f"array<{HIT}>")) if BY_ID.get(rule.id) == rule else own
+
+    def of_all(view: Column | None) -> Column:
+        # Building is mostly waiting for the JVM: rules are built side by side.
+        with ThreadPoolExecutor(8) as pool:
+            out = list(pool.map(lambda k: of_rule(k, rules[k], view), range(len(rules))))
+        return F.concat(*out) if out else F.array().cast(f"array<{HIT}>")
 
-    # Building is mostly waiting for the JVM: rules are built side by side.
-    with ThreadPoolExecutor(8) as pool:
-        out = list(pool.map(of_rule, range(len(rules)), rules))
-    return F.concat(*out) if out else F.array().cast(f"array<{HIT}>")
+    return S.let(han_view(text), of_all) if reads_views(rules) else of_all(None)
 
 
 def yielded(text: Column, found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -319,7 +335,7 @@ def may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Whether text with half-width digits has what one of the rules needs; true of all texts for rules of the user's own."""
     if any(r != BY_ID.get(r.id) for r in rules):
         return text.isNotNull()
-    needs = sorted({NEEDS[r.id] for r in rules})
+    needs = sorted({NEEDS[r.id] for r in rules}) + [LONE_HAN] * reads_views(rules)
     return text.rlike("|".join(needs)) if needs else F.lit(False)
 
 

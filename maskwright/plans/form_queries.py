@@ -210,6 +210,25 @@ def names_by_roles(spark, sf_dir):
     return names.find(lines, names.fit(labelled, ("S", "G"))).select("page_id", "start", "end", "token")
 
 
+_APART_NAME = f"{_PICK(_SURNAMES, 'c_custkey // 3')} || {_PICK(_CALLED, 'c_custkey // 5')}"
+
+
+@query(f"""SELECT page_id, start::INT AS start, (start + length(token))::INT AS "end", token FROM (SELECT c_custkey AS page_id, CASE c_custkey % 3 WHEN 0 THEN 8 ELSE 4 END AS start,
+ CASE c_custkey % 3 WHEN 0 THEN array_to_string(regexp_extract_all({_APART_NAME}, '.'), ' ') ELSE {_APART_NAME} END AS token FROM customer WHERE c_custkey % 3 < 2)""")
+def names_set_apart(spark, sf_dir):
+    """Labelled names of customers: every third line has all its characters set apart and is read as one without the blanks;
+    every third has blanks but few lone characters and is read as it stands."""
+    k = F.col("c_custkey")
+    pick = lambda words, by: F.get(F.array(*map(F.lit, words)), (F.expr(by) % len(words)).cast("int"))
+    name = F.concat(pick(_SURNAMES, "c_custkey div 3"), pick(_CALLED, "c_custkey div 5"))
+    plain = F.concat(F.lit("收货人："), name)
+    apart = lambda x: F.array_join(F.split(x, ""), " ")
+    text = F.when(k % 3 == 0, apart(plain)).when(k % 3 == 1, plain).otherwise(F.concat(F.lit("收货人 ： "), apart(name), F.lit(" 已签收 请核对 谢谢")))
+    lines = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), F.lit(0).alias("line_no"), text.alias("text"), F.lit(0.95).alias("confidence"))
+    found = rules.matches(lines, {r.id: "ON" if r.id == "name" else "OFF" for r in rules.CATALOGUE})
+    return found.select("page_id", "start", "end", "token")
+
+
 _SUBSEQUENCES = "|".join(".*".join(x) for x in itertools.combinations(cards.ID_LABEL, 4))
 _SPOILT = f"""(SELECT c_custkey AS page_id, CASE c_custkey % 5 WHEN 0 THEN w WHEN 1 THEN left(w, i - 1) || '口' || substr(w, i + 1) WHEN 2 THEN left(w, i - 1) || substr(w, i + 2)
  WHEN 3 THEN left(w, i - 1) || substr(w, i + 3) ELSE reverse(w) END AS text FROM (SELECT c_custkey, '{cards.ID_LABEL}' AS w, 1 + c_custkey // 5 % 4 AS i FROM customer))"""
