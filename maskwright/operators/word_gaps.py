@@ -122,11 +122,11 @@ def spaced(found: DataFrame) -> DataFrame:
 
 
 def elements(found: DataFrame, strips: DataFrame) -> DataFrame:
-    """(strip_id, pos, token, l, r) of what between() found: each glyph from its cut to the next one's; the first and the last reach
+    """The rows of between(strips, glyphs) with `l` and `r`: each glyph from its cut to the next one's; the first and the last reach
     to the strip's edges. Glyphs without a place or without a strip have no box and are left out, blanks of the recogniser too."""
-    ahead = F.lead("cut").over(W.partitionBy("strip_id").orderBy("pos"))
-    wide = strips.select("strip_id", F.col("width").cast("double").alias("_w")).dropDuplicates(["strip_id"])
-    first = F.row_number().over(W.partitionBy("strip_id").orderBy("pos")) == 1
-    last = F.lead("pos").over(W.partitionBy("strip_id").orderBy("pos")).isNull()
-    placed = found.where("x is not null").withColumns({"_l": F.when(first, 0.0).otherwise(F.col("cut")), "_n": ahead, "_last": last})
-    return placed.join(wide, "strip_id").where("token <> ' '").select("strip_id", "pos", "token", F.col("_l").alias("l"), F.when(F.col("_last"), F.col("_w")).otherwise(F.col("_n")).alias("r"))
+    w = W.partitionBy("strip_id").orderBy("pos")
+    ahead = F.struct(F.lag("pos").over(w).isNull().alias("first"), F.lead("pos").over(w).isNull().alias("last"), F.lead("cut").over(w).alias("cut"))
+    wide = strips.select("strip_id", F.struct(F.col("width").cast("double").alias("w")).alias("_wide")).dropDuplicates(["strip_id"])
+    placed = found.where("x is not null").withColumn("_next", ahead).join(wide, "strip_id").where("token is null or token <> ' '")
+    bounds = {"l": F.when(F.col("_next.first"), 0.0).otherwise(F.col("cut")), "r": F.when(F.col("_next.last"), F.col("_wide.w")).otherwise(F.col("_next.cut"))}
+    return placed.withColumns(bounds).drop("_next", "_wide")

@@ -318,13 +318,13 @@ def strips_of(spark, sf_dir):
     return x.select(k.alias("strip_id"), F.lit(16).alias("width"), F.transform("embedding", lambda v: 0.5 + 1.5 * v.cast("double")).alias("gray")), glyphs.withColumn("token", of)
 
 
-@query(f"WITH {_CUTS} SELECT vec_id, pos::INT AS pos, blank, round(cut, 6) AS cut, CASE WHEN token <> ' ' THEN round(CASE WHEN pos = 0 THEN 0 ELSE cut END, 6) END AS l, CASE WHEN token <> ' ' THEN round(coalesce(lead(cut) OVER (PARTITION BY vec_id ORDER BY pos), 16), 6) END AS r FROM found")
+@query(f"""WITH {_CUTS} SELECT vec_id, pos::INT AS pos, blank, round(cut, 6) AS cut, round(l, 6) AS l, round(r, 6) AS r
+ FROM (SELECT *, CASE WHEN pos = 0 THEN 0 ELSE cut END AS l, coalesce(lead(cut) OVER (PARTITION BY vec_id ORDER BY pos), 16) AS r FROM found) WHERE token <> ' '""")
 def glyph_cuts(spark, sf_dir):
-    """Blanks and cuts between the glyphs of strips made from embeddings, with the boxes of those that are no blanks."""
+    """Blanks, cuts and boxes of the glyphs of strips made from embeddings."""
     strips, glyphs = strips_of(spark, sf_dir)
-    found = word_gaps.between(strips, glyphs)
-    boxes = word_gaps.elements(found, strips).select("strip_id", "pos", "l", "r")
-    return found.join(boxes, ["strip_id", "pos"], "left").select(F.col("strip_id").alias("vec_id"), "pos", "blank", F.round("cut", 6).alias("cut"), F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
+    found = word_gaps.elements(word_gaps.between(strips, glyphs), strips)
+    return found.select(F.col("strip_id").alias("vec_id"), "pos", "blank", *[F.round(c, 6).alias(c) for c in ("cut", "l", "r")])
 
 
 @query(f"WITH {_CUTS} SELECT vec_id, string_agg(CASE WHEN blank THEN ' ' ELSE '' END || token, '' ORDER BY pos) AS text FROM found GROUP BY vec_id")

@@ -111,5 +111,7 @@ def test_cases(spark):
     assert len(rows) == 18 and not any(r.blank for r in rows) and {r.height for r in rows} == {"own"}
     assert {r["cut"] for r in rows if r.pos == 1} == {2.0} and {r["cut"] for r in rows if r.pos == 2} == {None}
     assert G.spaced(found).where("text <> '一二'").count() == 0
+    # Strips without a width have no right edge; glyphs without a token or a strip are kept or left out as stated.
+    assert {(r.strip_id, r.pos, r.l, r.r) for r in G.elements(found, one).where("strip_id in (2, 3, 6)").collect()} == {(2, 0, 0.0, 2.0), (2, 1, 2.0, None), (3, 0, 0.0, 2.0), (3, 1, 2.0, 3.0)}
     none = spark.createDataFrame([], GLYPHS)
     assert G.between(one, none).count() == 0 and G.profiles(one.limit(0)).count() == 0
