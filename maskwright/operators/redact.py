@@ -44,9 +44,11 @@ def redact_pages(lines: DataFrame, states: dict[str, str] | None = None, floor:
 
 
 @R.once_per_application
-def _document_steps(chosen: tuple) -> tuple[Column, Column, Column, Column]:
+def _document_steps(chosen: tuple, fold: bool) -> tuple[Column, Column, Column, Column]:
     """The lines with their hits; anchors of the lines where one is a guess; rules with a sure hit; redacted lines."""
 
+    half = half_width_digits if fold else lambda x: x
+
     def read(line):
         def settle(folded, found):
             return F.when(F.size(found) > 0, R.yielded(folded, found, chosen)).otherwise(found)
@@ -56,11 +58,11 @@ def _document_steps(chosen: tuple) -> tuple[Column, Column, Column, Column]:
             return F.when(R.may_match(folded, chosen), S.let(R.hits(folded, chosen, whole_page=True), lambda found: settle(folded, found))).otherwise(none)
 
         # Digits are folded once per line.
-        return F.struct(line.alias("text"), S.let(half_width_digits(line), look).alias("hits"))
+        return F.struct(line.alias("text"), S.let(half(line), look).alias("hits"))
 
     guessing = any(f.guess for r in chosen for f in r.finders)
     cued = [r for r in chosen if any(getattr(f, "page", False) for f in r.finders)]
-    folded = lambda: F.transform("_lines", lambda x: half_width_digits(x["text"]))
+    folded = lambda: F.transform("_lines", lambda x: half(x["text"]))
     guessed = F.exists("_lines", lambda x: F.exists(x["hits"], lambda h: R.is_guess(h, chosen)))
     anchors = F.when(guessed, F.transform(folded(), C.nearby_anchors)) if guessing else F.lit(None)
 
@@ -79,14 +81,14 @@ def _document_steps(chosen: tuple) -> tuple[Column, Column, Column, Column]:
     return F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), read), anchors, F.array_compact(F.array(*[F.when(sure(r), F.lit(r.id)) for r in cued])), F.transform("_lines", finish)
 
 
-def redact_documents(docs: DataFrame, states: dict[str, str] | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, states: dict[str, str] | None = None, catalogue: tuple[R.Rule, ...] = R.CATALOGUE, fold: bool = True) -> DataFrame:
     """(doc_id, redacted, n_masks): every finding of a document in place of its kind; a document is a page of lines.
 
     Nothing is shuffled: a document's lines stay in its row. Guesses need an anchor as in classify, by the layout that
     ingest.with_boxes gives to text; only documents with a guess are read again for anchors. Findings that only count beside
-    another of their rule need that in the document.
+    another of their rule need that in the document. fold: full-width digits are read as half-width ones.
     """
     # Projections of their own: each array is worked out once.
-    steps = _document_steps(R.chosen(states))
+    steps = _document_steps(R.chosen(states, catalogue), fold)
     done = docs.withColumn("_lines", steps[0]).withColumn("_anchors", steps[1]).withColumn("_sure", steps[2]).withColumn("_lines", steps[3])
     return done.select("doc_id", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("redacted"), F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_masks"))
