@@ -66,36 +66,53 @@ def repairs(line: str, format: str, most: int = MOST) -> dict[str, int]:
     at: dict[int, dict[str, int]] = {0: {"": 0}}
 
     def put(table, j, text, cost):
-        if cost <= most and cost < table.setdefault(j, {}).get(text, most + 1):
-            table[j][text] = cost
+        known = table.setdefault(j, {})
+        if cost < known.get(text, most + 1):
+            known[text] = cost
 
     def skip(table):
         """A filler twice: characters passed over."""
         for j in range(len(line)):
             if j in table and line[j] == "<":
                 for text, cost in list(table[j].items()):
-                    put(table, j + 1, text, cost + 1)
+                    if cost < most:
+                        put(table, j + 1, text, cost + 1)
 
     skip(at)
     for slot in slots:
         after: dict[int, dict[str, int]] = {}
         for j, found in at.items():
-            for text, cost in found.items():
-                if j < len(line):
-                    for c, more in choices(slot, line[j]):
+            ways = choices(slot, line[j]) if j < len(line) else []
+            for c, more in ways:
+                for text, cost in found.items():
+                    if cost + more <= most:
                         put(after, j + 1, text + c, cost + more)
-                if slot in "AXCS":
-                    put(after, j, text + "<", cost + 1)
+            if slot in "AXCS":
+                for text, cost in found.items():
+                    if cost < most:
+                        put(after, j, text + "<", cost + 1)
         skip(after)
         at = after
     return at.get(len(line), {})
 
 
 def repaired(line: str) -> tuple[str, str, int, int] | None:
-    """(format, line, cost, right checks) of the best repair: all checks right, or for a cost of one at most all but one of three."""
+    """(format, line, cost, right checks) of the best repair: all checks right, or for a cost of one at most all but one of three.
+
+    Repairs of lower cost are tried first: where one of them has all checks right, none of a higher cost is better. (There are
+    some thirty times as many repairs for each step of cost.)"""
+    for most in range(MOST + 1):
+        best = best_within(line, most)
+        if best and best[3] == len(CHECKS[best[0]]):
+            break
+    return best
+
+
+def best_within(line: str, most: int) -> tuple[str, str, int, int] | None:
+    """The best of all repairs up to a cost."""
     best = None
     for format, checks in CHECKS.items():
-        for text, cost in repairs(line, format).items():
+        for text, cost in repairs(line, format, most).items():
             n = right_checks(format, text)
             if n == len(checks) or len(checks) == 3 and n == 2 and cost <= 1:
                 # A card's first line has one check only: its head must be a document's.
@@ -133,5 +150,6 @@ def repair(lines: DataFrame) -> DataFrame:
 def read(lines: DataFrame) -> DataFrame:
     """mrz.read over pages whose damaged lines are repaired first."""
     mended = repair(lines).select("page_id", "line_no", F.col("line").alias("_line"))
-    both = lines.select("page_id", "line_no", "text").join(mended, ["page_id", "line_no"], "left")
+    # Sizes of compressed files tell little of the rows in them: never broadcast.
+    both = lines.select("page_id", "line_no", "text").join(mended.hint("merge"), ["page_id", "line_no"], "left")
     return mrz.read(both.select("page_id", "line_no", F.coalesce("_line", "text").alias("text")))

@@ -73,3 +73,21 @@ def test_ordinary_lines_stay_out(spark):
     assert set(got) == {3, 4, 5}
     assert fields(got[3].line) == fields(line) and got[3].checks == 3
     assert got[4].line == "P<UTOERIKSSON<<ANNA<MARIA".ljust(44, "<") and len(got[5].line) == 44
+
+
+def test_the_first_cost_with_all_checks_right_is_the_best_of_all():
+    r = random.Random(21)
+    for _ in range(60):
+        line = lower(r, r.choice(["TD3", "TD2"]))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(line))
+            line = r.choice([line[:i] + line[i + 1 :], line[:i] + "<" + line[i:], line[:i] + r.choice("OQDILZSBGK0<") + line[i + 1 :]])
+        assert M.repaired(line) == M.best_within(line, M.MOST), line
+
+
+def test_a_filler_lost_needs_no_dear_repairs(monkeypatch):
+    tried, whole = [], M.repairs
+    monkeypatch.setattr(M, "repairs", lambda line, format, most=M.MOST: tried.append(most) or whole(line, format, most))
+    line = lower(random.Random(3))
+    assert M.repaired(line[:40] + line[41:])[2] == 1
+    assert max(tried) == 1
