@@ -195,7 +195,8 @@ def labelled(cells: DataFrame, fields: tuple[Field, ...] = FIELDS, labels: DataF
     found = once(labels_in(cells, fields)) if labels is None else labels
     order = W.partitionBy("page_id", "line_no", "cell").orderBy("from")
     # A value ends where the next label begins.
-    bounded = found.withColumn("_next", F.lead("from").over(order)).where("not header").join(cells, ["page_id", "line_no", "cell"])
+    # Labels of many pages are few bytes in a file: tables of them and of cells meet by a shuffle, never by a broadcast.
+    bounded = found.withColumn("_next", F.lead("from").over(order)).where("not header").hint("merge").join(cells, ["page_id", "line_no", "cell"])
     upto = F.when(F.col("_next").isNull(), F.col("text")).otherwise(F.left("text", F.col("_next")))
     rest = F.substring("text", F.col("to") + 1, F.length("text"))
     skipped = F.length(F.regexp_extract(rest, f"^(?:[)）]?{_SEPARATOR}|[)）]?[ 　]*)", 0))
@@ -212,7 +213,7 @@ def labelled(cells: DataFrame, fields: tuple[Field, ...] = FIELDS, labels: DataF
     tall = (F.col("b_2") - F.col("t_2") > 2.5 * h).cast("int")
     nearest = beside.withColumn("_n", F.row_number().over(W.partitionBy("page_id", "line_no", "cell", "field").orderBy(tall, "l_2", "line_no_2", "cell_2"))).where("_n = 1")
     named = found.select("page_id", F.col("line_no").alias("line_no_2"), F.col("cell").alias("cell_2")).distinct()
-    free = nearest.join(named, ["page_id", "line_no_2", "cell_2"], "left_anti").withColumn("token", _value_at(F.col("text_2"), F.lit(0), fields)).where("token is not null")
+    free = nearest.join(named.hint("merge"), ["page_id", "line_no_2", "cell_2"], "left_anti").withColumn("token", _value_at(F.col("text_2"), F.lit(0), fields)).where("token is not null")
     right = free.select("page_id", F.col("line_no_2").alias("line_no"), F.col("cell_2").alias("cell"), "field", kinds.alias("kind"), F.col("start_2").alias("start"), "token", F.lit("right").alias("way"))
     return line.drop("_from").unionByName(right)
 
@@ -226,7 +227,7 @@ def stacked(cells: DataFrame, fields: tuple[Field, ...] = FIELDS, labels: DataFr
     tall (watermarks), and itself no label. The gap of the first step rules the next ones: a wider one ends the block.
     """
     found = once(labels_in(cells, fields)) if labels is None else labels
-    whole = found.join(cells, ["page_id", "line_no", "cell"])
+    whole = found.hint("merge").join(cells, ["page_id", "line_no", "cell"])
     row = W.partitionBy("page_id", "line_no").orderBy("l")
     label = whole.withColumn("_l", F.col("l") + (F.col("r") - F.col("l")) * F.col("from") / F.greatest(F.length("text"), F.lit(1)))
     stops = label.select("page_id", "line_no", "cell", "field", "from", "_l").withColumn("stop", F.coalesce(F.lead("_l").over(W.partitionBy("page_id", "line_no").orderBy("_l")), F.lit(float("inf"))))
@@ -234,7 +235,7 @@ def stacked(cells: DataFrame, fields: tuple[Field, ...] = FIELDS, labels: DataFr
     for f in fields:
         steps = F.when(F.col("field") == f.name, f.below if f.kind else 0).otherwise(steps)
     ends = F.col("to") + F.length(F.regexp_extract(F.substring("text", F.col("to") + 1, F.length("text")), f"^[)）]?(?:{_SEPARATOR})?[ 　]*", 0)) >= F.length("text")
-    open_ = label.where(ends | F.col("header")).drop("_l").join(stops, ["page_id", "line_no", "cell", "field", "from"]).withColumn("_steps", steps).where("_steps > 0")
+    open_ = label.where(ends | F.col("header")).drop("_l").join(stops.hint("merge"), ["page_id", "line_no", "cell", "field", "from"]).withColumn("_steps", steps).where("_steps > 0")
     frontier = open_.select("page_id", "field", F.col("line_no").alias("label_line"), F.col("cell").alias("label_cell"), "from", "stop", "_steps", F.col("_l").alias("left"), F.least("r", F.col("_l") + 6 * (F.col("b") - F.col("t"))).alias("edge"),
                             (F.col("b") - F.col("t")).alias("h"), "t", "b", F.lit(None).cast("double").alias("first"))
     named = found.select("page_id", F.col("line_no").alias("line_no_2"), F.col("cell").alias("cell_2")).distinct()
@@ -251,7 +252,7 @@ def stacked(cells: DataFrame, fields: tuple[Field, ...] = FIELDS, labels: DataFr
         top = fits.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("t_2", "l_2", "line_no_2", "cell_2"))).where("_n = 1")
         gap = F.greatest(F.col("t_2") - F.col("b"), F.lit(0.0))
         even = F.col("first").isNull() | (gap <= F.greatest(1.5 * F.col("first"), 0.3 * F.col("h")))
-        kept = top.where(even).join(named, ["page_id", "line_no_2", "cell_2"], "left_anti").where(~F.col("text_2").rlike(r"[:：*][ 　]*$")).withColumn("token", _value_at(F.col("text_2"), F.lit(0), fields)).where("token is not null")
+        kept = top.where(even).join(named.hint("merge"), ["page_id", "line_no_2", "cell_2"], "left_anti").where(~F.col("text_2").rlike(r"[:：*][ 　]*$")).withColumn("token", _value_at(F.col("text_2"), F.lit(0), fields)).where("token is not null")
         hit = kept.select("page_id", F.col("line_no_2").alias("line_no"), F.col("cell_2").alias("cell"), "field", _by_field(fields, lambda f: f.kind).alias("kind"), F.lit(step).alias("step"), "label_line", F.col("start_2").alias("start"), "token")
         out = hit if out is None else out.unionByName(hit)
         frontier = kept.select(*key, "stop", "_steps", "left", "edge", "h", F.col("t_2").alias("t"), F.col("b_2").alias("b"), F.coalesce("first", gap).alias("first"))

@@ -3,7 +3,8 @@
 Of two boxes the taller one (the first of equals) is entered in every band that it, grown by `reach` of its own heights,
 touches; the other in the band of its centre. Two boxes whose vertical gap is at most `reach` heights of the taller one, or
 that share half the height of the lower one, meet exactly once. The keys of the join are page and band, so that a page of
-any number of lines is many small groups.
+any number of lines is many small groups. Neither side is ever broadcast: the sizes that compressed files have tell little of
+the rows that come out of them.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def near_pairs(one: DataFrame, other: DataFrame, reach: float = 1.5, band: float
     a, b = one, _renamed(other, "_2")
     centre_2 = F.floor((F.col("t_2") + F.col("b_2")) / 2 / band).cast("long")
     taller = F.col("b") - F.col("t") >= F.col("b_2") - F.col("t_2")
-    over = a.withColumn("_band", _bands("t", "b", reach, band)).join(b.withColumn("_band", centre_2), ["page_id", "_band"]).where(taller)
-    under = a.withColumn("_band", centre).join(b.withColumn("_band", _bands("t_2", "b_2", reach, band)), ["page_id", "_band"]).where(~taller)
+    over = a.withColumn("_band", _bands("t", "b", reach, band)).join(b.withColumn("_band", centre_2).hint("merge"), ["page_id", "_band"]).where(taller)
+    under = a.withColumn("_band", centre).join(b.withColumn("_band", _bands("t_2", "b_2", reach, band)).hint("merge"), ["page_id", "_band"]).where(~taller)
     return over.unionByName(under).drop("_band")
 
 
@@ -41,7 +42,7 @@ def below(one: DataFrame, other: DataFrame, low: Column, high: Column, band: flo
     spread = F.explode(F.sequence(F.floor(low / band).cast("long"), F.floor(high / band).cast("long")))
     a = one.withColumn("_low", low).withColumn("_high", high).withColumn("_band", spread)
     b = _renamed(other, "_2").withColumn("_band", F.floor(F.col("t_2") / band).cast("long"))
-    return a.join(b, ["page_id", "_band"]).where(F.col("t_2").between(F.col("_low"), F.col("_high"))).drop("_band", "_low", "_high")
+    return a.join(b.hint("merge"), ["page_id", "_band"]).where(F.col("t_2").between(F.col("_low"), F.col("_high"))).drop("_band", "_low", "_high")
 
 
 def row_share() -> Column:
