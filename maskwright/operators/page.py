@@ -31,7 +31,8 @@ def birth_echoes(ids: DataFrame, lines: DataFrame, event_words: str = "签发|
     born = ids.select("page_id", *[F.substring(t, a, n).try_cast("int").alias(c) for c, a, n in (("y", 7, 4), ("m", 11, 2), ("d", 13, 2))]).distinct()
     found = lines.where(~F.coalesce(F.col("text").rlike(f"(?i){event_words}"), F.lit(False))).select("page_id", "line_no", F.explode(D.find(F.col("text"))).alias("x"))
     read = found.select("page_id", "line_no", "x.start", "x.end", F.explode(D.readings(F.col("x.token"))).alias("r")).select("page_id", "line_no", "start", "end", "r.*")
-    return read.join(born, ["page_id", "y", "m", "d"], "left_semi").select("page_id", "line_no", "start", "end").distinct()
+    # Sizes of compressed files tell little of the rows in them: never broadcast.
+    return read.join(born.hint("merge"), ["page_id", "y", "m", "d"], "left_semi").select("page_id", "line_no", "start", "end").distinct()
 
 
 def following_lines(starts: DataFrame, boxes: DataFrame, most: int = 3) -> DataFrame:

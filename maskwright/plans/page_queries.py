@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import validators as V
 from ..operators import finders, metrics, page, regions
 from ..sources import ingest
+from ..sources.shared import spread_by
 from .queries import _BOXES, _CANDIDATES, _SPANS, boxes_of, candidates_of, dealt, dealt_sql, query, spans_of
 
 _IOU = "(greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) * greatest(least(x.b, y.b) - greatest(x.t, y.t), 0))"
@@ -260,7 +261,8 @@ def date_readings(spark, sf_dir):
         F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.concat_ws("", F.lit("平成"), F.year(d) - 1988, F.lit("年"), F.month(d), F.lit("月"), F.dayofmonth(d), F.lit("日")),
         F.concat_ws("", year, F.lit("年"), F.get(han, F.month(d) - 1), F.lit("月"), F.get(han, F.dayofmonth(d) - 1), F.lit("日")), F.date_format(d, "d MMM yyyy"), F.concat_ws("", F.lit("民国"), F.year(d) - 1911, F.lit("年"), F.month(d), F.lit("月"), F.dayofmonth(d), F.lit("日")),
     )
-    lines = ingest.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).select("o_orderkey", F.posexplode(styles).alias("style", "text"))
+    orders = spread_by(ingest.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    lines = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).select("o_orderkey", F.posexplode(styles).alias("style", "text"))
     read = lines.select("o_orderkey", "style", F.explode(dates.find(F.concat(F.lit("on "), "text", F.lit(" it was")))).alias("x")).select("o_orderkey", "style", dates.readings(F.col("x.token")).alias("r"))
     first = F.array_sort("r", lambda a, b: a["m"] - b["m"])
     return read.select("o_orderkey", "style", F.size("r").alias("n"), first[0]["y"].alias("y"), first[0]["m"].alias("m"))
@@ -271,7 +273,7 @@ def document_pages(spark, sf_dir):
     """Passport pages made from customers, read again: fields and names."""
     k = F.col("c_custkey")
     check = lambda x: V.mrz_check(x).cast("string")
-    c = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), F.concat(F.lit("N"), F.lpad(k.cast("string"), 8, "0")).alias("number"), F.concat(F.lpad((k * 7 % 99 + 1).cast("string"), 2, "0"), F.lit("0203")).alias("birth"), F.concat(F.lit("31"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("15")).alias("expiry"), F.get(F.array(F.lit("ANNA"), F.lit("OMAR"), F.lit("VERA")), (k % 3).cast("int")).alias("given"))
+    c = spread_by(ingest.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("page_id"), F.concat(F.lit("N"), F.lpad(k.cast("string"), 8, "0")).alias("number"), F.concat(F.lpad((k * 7 % 99 + 1).cast("string"), 2, "0"), F.lit("0203")).alias("birth"), F.concat(F.lit("31"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("15")).alias("expiry"), F.get(F.array(F.lit("ANNA"), F.lit("OMAR"), F.lit("VERA")), (k % 3).cast("int")).alias("given"))
     upper = F.rpad(F.concat(F.lit("P<UTOMILLER<<"), "given"), 44, "<")
     lower = F.rpad(F.concat("number", check(F.col("number")), F.lit("UTO"), "birth", check(F.col("birth")), F.lit("F"), "expiry", check(F.col("expiry"))), 43, "<")
     lines = c.select("page_id", F.posexplode(F.array(upper, F.concat(lower, F.lit("0")), F.lit("other text"))).alias("line_no", "text"))
@@ -295,6 +297,6 @@ def birth_echoes(spark, sf_dir):
     weights = sum((F.substring(body, i + 1, 1).cast("int") * w for i, w in enumerate(V.CN_WEIGHTS)), F.lit(0)) % 11
     number = F.concat(body, F.substring(F.lit(V.CN_CHECK), weights + 1, F.lit(1)))
     day = F.when(k % 2 == 0, "1949年12月31日").otherwise("1949年12月30日")
-    lines = ingest.table(spark, sf_dir, "customer").select(k.alias("page_id"), F.posexplode(F.array(number, day, F.concat(F.lit("签发 "), day))).alias("line_no", "text"))
+    lines = spread_by(ingest.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("page_id"), F.posexplode(F.array(number, day, F.concat(F.lit("签发 "), day))).alias("line_no", "text"))
     ids = lines.select("page_id", F.explode(finders.resident_ids(F.col("text"))).alias("x")).select("page_id", "x.token")
     return page.birth_echoes(ids, lines).select("page_id", "line_no")
