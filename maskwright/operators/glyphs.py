@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import once
 from . import grid
 
 CELL = 64.0
+MOST_SENT = 200_000
 _WIDE = "[ᄀ-ᇿ⺀-鿿가-힯豈-﫿＀-｠　-〿]"
 
 
@@ -44,14 +46,18 @@ def _cells(low: Column, high: Column, cell: float) -> Column:
 def glyph_at(touches: DataFrame, glyphs: DataFrame, reach: float, cell: float = CELL) -> DataFrame:
     """(touch_id, glyph): of touches(touch_id, page_id, x, y) that hit one of glyphs(page_id, glyph, l, t, r, b): the smallest
     that holds the point, else the nearest within reach; the first of equals. Glyphs lie in every cell that they, grown by
-    reach, touch, so that a point meets the glyphs of its own cell only."""
+    reach, touch, so that a point meets the glyphs of its own cell only. Places touched many times meet them once; up to MOST_SENT
+    places are sent to the glyphs, which are not shuffled then."""
+    places = once(touches.select("page_id", "x", "y").distinct())
+    few = places.count() <= MOST_SENT
     spread = glyphs.select("page_id", "glyph", "l", "t", "r", "b", F.explode(_cells(F.col("l") - reach, F.col("r") + reach, cell)).alias("_cx")).withColumn("_cy", F.explode(_cells(F.col("t") - reach, F.col("b") + reach, cell)))
-    points = touches.select("touch_id", "page_id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("_cx"), F.floor(F.col("y") / cell).cast("long").alias("_cy"))
-    pairs = points.join(spread, ["page_id", "_cx", "_cy"])
+    points = places.select("page_id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("_cx"), F.floor(F.col("y") / cell).cast("long").alias("_cy"))
+    pairs = spread.join(F.broadcast(points) if few else points.hint("merge"), ["page_id", "_cx", "_cy"])
     dx, dy = F.greatest(F.col("l") - F.col("x"), F.col("x") - F.col("r"), F.lit(0)), F.greatest(F.col("t") - F.col("y"), F.col("y") - F.col("b"), F.lit(0))
     far = (dx * dx + dy * dy).cast("double")
     size = F.when(far == 0, (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).otherwise(0).cast("double")
-    return pairs.where(far <= reach * reach).groupBy("touch_id").agg(F.min(F.struct(far.alias("far"), size.alias("size"), "glyph"))["glyph"].alias("glyph"))
+    found = pairs.where(far <= reach * reach).groupBy("page_id", "x", "y").agg(F.min(F.struct(far.alias("far"), size.alias("size"), "glyph"))["glyph"].alias("glyph"))
+    return touches.join(F.broadcast(found) if few else found.hint("merge"), ["page_id", "x", "y"]).select("touch_id", "glyph")
 
 
 def glyphs_along(strokes: DataFrame, glyphs: DataFrame, reach: float, step: float) -> DataFrame:

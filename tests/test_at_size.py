@@ -22,3 +22,31 @@ def test_long_work_on_rows_is_dealt_over_all_tasks(spark, name, monkeypatch):
 @pytest.mark.parametrize("name", ["values_beside", "stacked_values", "typed_labels", "birth_echoes", "damaged_documents"])
 def test_tables_as_large_as_the_input_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_a_place_touched_many_times_meets_its_glyphs_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import glyphs
+
+    touches = spark.range(1000).select(F.col("id").alias("touch_id"), F.lit(1).alias("page_id"), (F.col("id") % 2 * 100).alias("x"), F.lit(5).alias("y"))
+    own = spark.range(50).select(F.lit(1).alias("page_id"), F.col("id").alias("glyph"), (F.col("id") * 4).alias("l"), F.lit(0).alias("t"), (F.col("id") * 4 + 3).alias("r"), F.lit(9).alias("b"))
+    for most in (200_000, 0):
+        monkeypatch.setattr(glyphs, "MOST_SENT", most)
+        places, whole = [], glyphs.once
+        monkeypatch.setattr(glyphs, "once", lambda df: places.append(whole(df)) or places[-1])
+        got = {r.touch_id: r.glyph for r in glyphs.glyph_at(touches, own, 9.0).collect()}
+        assert got == {i: 25 if i % 2 else 0 for i in range(1000)}
+        assert [p.count() for p in places] == [2]
+        monkeypatch.undo()
+
+
+def test_spans_with_nothing_between_need_no_text(spark):
+    from maskwright.operators import metrics
+
+    spans = spark.createDataFrame([(1, 0, "A", 0, 2), (1, 0, "A", 3, 5), (1, 0, "A", 9, 12), (1, 0, "A", 10, 14), (1, 1, "POSTAL_ADDRESS", 0, 3), (1, 1, "POSTAL_ADDRESS", 9, 12), (1, 1, "A", 0, 3), (1, 1, "A", 9, 12), (2, 0, "A", 0, 1)], "page_id int, line_no int, kind string, start int, end int")
+    lines = spark.createDataFrame([(1, 0, "ab cd xx yyyyyyy"), (1, 1, "foo, NY, bar")], "page_id int, line_no int, text string")
+    out = metrics.joined_spans(spans, lines)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "A", 0, 5), (1, 0, "A", 9, 14), (1, 1, "A", 0, 3), (1, 1, "A", 9, 12), (1, 1, "POSTAL_ADDRESS", 0, 12)]
+    # Windows sort spans without texts.
+    assert not any("text" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
