@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,18 @@ def bounds(quad: Column) -> Column:
     return F.struct(F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"))
 
 
+def edges(quad: Column) -> tuple[Column, Column, Column, Column]:
+    """l, t, r, b of a quad of four points, as columns that joins can compare without a loop over an array."""
+    at = lambda c: [F.get(quad, F.lit(i))[c] for i in range(4)]
+    return F.least(*at("x")), F.least(*at("y")), F.greatest(*at("x")), F.greatest(*at("y"))
+
+
+def may_meet(a: Column, b: Column) -> Column:
+    """Whether the bounds of two quads share an area: only then can the quads."""
+    (al, at, ar, ab), (bl, bt, br, bb) = edges(a), edges(b)
+    return (al < br) & (bl < ar) & (at < bb) & (bt < ab)
+
+
 def center(quad: Column) -> Column:
     mean = lambda c: _sum(F.transform(quad, lambda p: p[c])) / F.size(quad)
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
@@ -171,20 +186,93 @@ def _grown(points, by: float):
     return out
 
 
-def _as_quad(points):
-    return [{"x": float(x), "y": float(y)} for x, y in points]
-
-
 def _iou_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_overlap(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def _bounding_of(points: pd.Series) -> pd.Series:
-    return pd.Series([_as_quad(_least_rectangle(_points(p))) for p in points])
+def _by_size(arrays: pa.Array):
+    """Arrays of points by their number n: (rows, x, y), x and y of shape (rows, n)."""
+    sizes = pc.list_value_length(arrays).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    flat = arrays.flatten()
+    x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        at = starts[rows][:, None] + np.arange(n)
+        yield rows, x[at], y[at]
+
+
+def _arrow_quads(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """(rows, x, y) of all sizes as one array of quads in the order of rows."""
+    size = np.zeros(n, np.int64)
+    for rows, x, _ in found:
+        size[rows] = x.shape[1]
+    ends = np.cumsum(size)
+    xs, ys = np.zeros(int(size.sum())), np.zeros(int(size.sum()))
+    for rows, x, y in found:
+        at = (ends - size)[rows][:, None] + np.arange(x.shape[1])
+        xs[at], ys[at] = x, y
+    points = pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), points)
+
+
+def _grown_all(x: np.ndarray, y: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_grown for many polygons of one size."""
+    x2, y2 = np.roll(x, -1, 1), np.roll(y, -1, 1)
+    sense = np.where((x * y2 - x2 * y).sum(1) / 2 >= 0, 1, -1)[:, None]
+    n = np.hypot(x2 - x, y2 - y)
+    n[n == 0] = 1.0
+    nx, ny = sense * (y2 - y) / n, -sense * (x2 - x) / n
+    c = nx * x + ny * y + by[:, None]
+    a, b, f0 = (np.roll(v, 1, 1) for v in (nx, ny, c))
+    det = a * ny - b * nx
+    ok = np.abs(det) > 1e-9
+    safe = np.where(ok, det, 1.0)
+    return np.where(ok, (f0 * ny - b * c) / safe, x), np.where(ok, (a * c - f0 * nx) / safe, y)
+
+
+def _least_rectangles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_least_rectangle for many sets of one size: the sides of each hull in turn, from its leftmost lowest point on."""
+    m, n = x.shape
+    row = np.arange(m)
+    first = np.lexsort((y, x), axis=1)[:, 0] if n else np.zeros(m, int)
+    at, corners, best = first.copy(), np.zeros((m, 4, 2)), np.full(m, np.inf)
+    going, sides = np.ones(m, bool), np.zeros(m, int)
+    for _ in range(n):
+        dx, dy = x - x[row, at][:, None], y - y[row, at][:, None]
+        far = dx * dx + dy * dy
+        # The next point of the hull has no other to its right; of those in line the farthest.
+        cross = dx[:, :, None] * dy[:, None, :] - dy[:, :, None] * dx[:, None, :]
+        open_ = (far > 0) & (cross >= 0).all(2)
+        to = np.where(open_, far, -1.0).argmax(1)
+        going &= open_[row, to]
+        sides += going
+        length = np.where(going, np.hypot(dx[row, to], dy[row, to]), 1.0)
+        ux, uy = (dx[row, to] / length)[:, None], (dy[row, to] / length)[:, None]
+        along, across = x * ux + y * uy, y * ux - x * uy
+        a0, a1, c0, c1 = along.min(1), along.max(1), across.min(1), across.max(1)
+        size = (a1 - a0) * (c1 - c0)
+        better = going & (~np.isfinite(best) | (size < best - 1e-9))
+        best = np.where(better, size, best)
+        for i, (s, c) in enumerate(((a0, c0), (a1, c0), (a1, c1), (a0, c1))):
+            corners[better, i, 0], corners[better, i, 1] = (s * ux[:, 0] - c * uy[:, 0])[better], (s * uy[:, 0] + c * ux[:, 0])[better]
+        at = np.where(going, to, at)
+        going &= (x[row, at] != x[row, first]) | (y[row, at] != y[row, first])
+        if not going.any():
+            break
+    for i in np.flatnonzero(sides < 3):  # fewer than three corners: the box along the axes
+       
+        corners[i] = _least_rectangle(list(zip(x[i].tolist(), y[i].tolist())))
+    return corners[:, :, 0], corners[:, :, 1]
+
+
+def _bounding_of(points: pa.Array) -> pa.Array:
+    return _arrow_quads([(rows, *_least_rectangles(x, y)) for rows, x, y in _by_size(points)], len(points))
 
 
-def _expanded_of(quad: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([_as_quad(_grown(_points(q), float(d))) for q, d in zip(quad, by)])
+def _expanded_of(quad: pa.Array, by: pa.Array) -> pa.Array:
+    d = by.to_numpy(zero_copy_only=False).astype(float)
+    return _arrow_quads([(rows, *_grown_all(x, y, d[rows])) for rows, x, y in _by_size(quad)], len(quad))
 
 
 def iou(a, b) -> Column:
@@ -194,9 +282,9 @@ def iou(a, b) -> Column:
 
 def bounding_quad(points) -> Column:
     """The rectangle of least area around an array of points."""
-    return F.pandas_udf(_bounding_of, QUAD)(points)
+    return F.arrow_udf(_bounding_of, QUAD)(points)
 
 
 def expanded(quad, by) -> Column:
     """The quad with its edges moved out by a number of pixels."""
-    return F.pandas_udf(_expanded_of, QUAD)(quad, by)
+    return F.arrow_udf(_expanded_of, QUAD)(quad, by)

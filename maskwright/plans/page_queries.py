@@ -36,7 +36,7 @@ def quad_measures(spark, sf_dir):
 @query(f"SELECT x.page_id, x.line_no, y.line_no AS other, round({_IOU} / ({_SIZE} - {_IOU})::DOUBLE, 6) AS iou FROM {_PAIR} WHERE x.line_no < y.line_no AND {_IOU} > 0")
 def quad_iou(spark, sf_dir):
     own = boxes_of(spark, sf_dir).select("page_id", "line_no", _quad().alias("q"))
-    pairs = own.join(own.select("page_id", F.col("line_no").alias("other"), F.col("q").alias("q2")), "page_id").where("line_no < other")
+    pairs = own.join(own.select("page_id", F.col("line_no").alias("other"), F.col("q").alias("q2")), "page_id").where("line_no < other").where(G.may_meet(F.col("q"), F.col("q2")))
     return pairs.select("page_id", "line_no", "other", F.round(G.iou("q", "q2"), 6).alias("iou")).where("iou > 0")
 
 
@@ -263,7 +263,7 @@ def date_readings(spark, sf_dir):
     )
     orders = spread_by(ingest.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     lines = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).select("o_orderkey", F.posexplode(styles).alias("style", "text"))
-    read = lines.select("o_orderkey", "style", F.explode(dates.find(F.concat(F.lit("on "), "text", F.lit(" it was")))).alias("x")).select("o_orderkey", "style", dates.readings(F.col("x.token")).alias("r"))
+    read = lines.select("o_orderkey", "style", F.explode(dates.read(F.concat(F.lit("on "), "text", F.lit(" it was")))).alias("x")).select("o_orderkey", "style", F.col("x.readings").alias("r"))
     first = F.array_sort("r", lambda a, b: a["m"] - b["m"])
     return read.select("o_orderkey", "style", F.size("r").alias("n"), first[0]["y"].alias("y"), first[0]["m"].alias("m"))
 

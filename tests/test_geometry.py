@@ -33,3 +33,21 @@ def test_turned_quads(spark):
         assert row.iou == pytest.approx(both / either, abs=0.03) and row.other_way == pytest.approx(row.iou)
         assert row.hull == pytest.approx(800, rel=1e-6) and row.grown == pytest.approx(44 * 24, rel=1e-6) and row.short == pytest.approx(20)
         assert row.holds == inside(b, 50, 50)
+
+
+def test_many_hulls_and_offsets_are_those_of_single_ones():
+    import random
+
+    import numpy as np
+
+    from maskwright.functions import geometry as G
+
+    r = random.Random(4)
+    for n in (1, 2, 3, 4, 5, 8):
+        sets = [[(float(r.randint(0, 9)), float(r.randint(0, 9))) if k % 2 else (r.uniform(0, 99), r.uniform(0, 99)) for _ in range(n)] for k in range(200)]
+        x, y = (np.array([[p[i] for p in s] for s in sets]) for i in (0, 1))
+        for s, a, b in zip(sets, *G._least_rectangles(x, y)):
+            want, got = G._least_rectangle(s), list(zip(a, b))
+            assert abs(abs(G._area(want)) - abs(G._area(got))) < 1e-6
+        for s, a, b in zip(sets, *G._grown_all(x, y, np.full(len(sets), 3.0))):
+            assert np.allclose(G._grown(s, 3.0), list(zip(a, b)))
