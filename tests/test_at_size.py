@@ -50,3 +50,21 @@ def test_spans_with_nothing_between_need_no_text(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 0, "A", 0, 5), (1, 0, "A", 9, 14), (1, 1, "A", 0, 3), (1, 1, "A", 9, 12), (1, 1, "POSTAL_ADDRESS", 0, 12)]
     # Windows sort spans without texts.
     assert not any("text" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
+
+
+def test_distances_between_bounds_are_those_of_levenshtein(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import metrics
+
+    r = random.Random(6)
+    words = ["".join(r.choices("aAbBÄä中 😀x", k=r.randint(0, 12))) for _ in range(400)]
+    pairs = [(w, w.lower()) for w in words] + list(zip(words, words[1:])) + [("İI", "İI".lower()), ("ab", "ba"), ("", "")]
+    table = spark.createDataFrame(pairs, "a string, b string")
+    assert table.where(metrics.edit_distance(F.col("a"), F.col("b")) != F.levenshtein("a", "b")).count() == 0
+
+
+def test_themes_come_with_the_lines(spark):
+    assert "Join" not in plan(QUERIES["reading_errors"](spark, SMALL))
