@@ -36,6 +36,13 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
     raise RuntimeError(f"components have not converged in {most_rounds} rounds")
 
 
+def outdone(conflicts: DataFrame) -> DataFrame:
+    """The nodes(node) of conflicts(early, late) that greedy() leaves out: nodes without conflicts aren't looked at."""
+    pairs = once(conflicts.select("early", "late").where("early < late").distinct())
+    nodes = pairs.select(F.col("early").alias("node")).union(pairs.select(F.col("late").alias("node"))).distinct()
+    return nodes.join(greedy(nodes, pairs), "node", "left_anti")
+
+
 def greedy(nodes: DataFrame, conflicts: DataFrame, most_rounds: int = 200) -> DataFrame:
     """The nodes(node) that stay if they are taken in rising order, each unless an earlier one that stays conflicts with it.
 
@@ -56,5 +63,6 @@ def greedy(nodes: DataFrame, conflicts: DataFrame, most_rounds: int = 200) -> Da
         waiting = open_.select(F.col("late").alias("node")).distinct().join(gone, "node", "left_anti")
         fresh = once(waiting.join(rest.select(F.col("late").alias("node")), "node", "left_anti"))
         all_kept = all_kept.union(fresh)
+        forget(open_)
         open_ = rest
     raise RuntimeError(f"conflicts are not settled after {most_rounds} rounds")

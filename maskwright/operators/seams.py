@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import once
 from . import graph, grid
 
 EDGE = 2.0
+#: Rows in which pieces meet: about the height of a band, so that each is entered in few of them.
+ROWS = 256.0
 
 
 def _area(l: str, t: str, r: str, b: str):
@@ -20,6 +23,11 @@ def _covered():
     return F.coalesce(both / F.nullif(F.least(_area("l", "t", "r", "b"), _area("l_2", "t_2", "r_2", "b_2")), F.lit(0.0)), F.lit(0.0))
 
 
+def _overlapping(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs that may share an area: no reach beyond the boxes is needed."""
+    return grid.near_pairs(one, other, reach=0.0, band=ROWS)
+
+
 def merged_bands(boxes: DataFrame, bands: DataFrame, most: float = 0.5) -> DataFrame:
     """(page_id, pieces, l, t, r, b) of boxes(page_id, k, i, l, t, r, b) of bands(page_id, k, top, bottom, height).
 
@@ -29,12 +37,14 @@ def merged_bands(boxes: DataFrame, bands: DataFrame, most: float = 0.5) -> DataF
     """
     at = boxes.join(bands, ["page_id", "k"]).select("page_id", "k", F.struct("page_id", "k", "i").alias("node"), *[F.col(c).cast("double").alias(c) for c in "ltrb"],
                                                    ((F.col("top") > 0) & (F.col("t") < F.col("top") + EDGE) | (F.col("bottom") < F.col("height")) & (F.col("b") > F.col("bottom") - EDGE)).alias("cut"))
+    at = once(at)  # read by every step: worked out once
     whole, pieces = at.where(~F.col("cut")).drop("cut"), at.where("cut").drop("cut")
-    twice = grid.near_pairs(whole, whole, reach=0.5).where((F.col("k") < F.col("k_2")) & (_covered() > most))
-    kept = whole.join(graph.greedy(whole.select("node"), twice.select(F.col("node").alias("early"), F.col("node_2").alias("late"))), "node", "left_semi")
-    hidden = grid.near_pairs(pieces, kept, reach=0.5).where(_covered() > most).select("node").distinct()
-    left = pieces.join(hidden, "node", "left_anti")
-    meet = grid.near_pairs(left, left, reach=0.5).where((F.col("node") < F.col("node_2")) & (_covered() > 0)).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+    twice = _overlapping(whole, whole).where((F.col("k") < F.col("k_2")) & (_covered() > most))
+    gone = graph.outdone(twice.select(F.col("node").alias("early"), F.col("node_2").alias("late")))
+    kept = whole.join(gone, "node", "left_anti")
+    hidden = _overlapping(pieces, kept).where(_covered() > most).select("node").distinct()
+    left = once(pieces.join(hidden, "node", "left_anti"))
+    meet = _overlapping(left, left).where((F.col("node") < F.col("node_2")) & (_covered() > 0)).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
     of = graph.components(left.select("node"), meet)
     joined = left.join(of, "node").groupBy("component").agg(F.first("page_id").alias("page_id"), F.count("*").alias("pieces"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")).drop("component")
     return kept.select("page_id", F.lit(1).cast("long").alias("pieces"), "l", "t", "r", "b").unionByName(joined)

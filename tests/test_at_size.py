@@ -68,3 +68,10 @@ def test_distances_between_bounds_are_those_of_levenshtein(spark):
 
 def test_themes_come_with_the_lines(spark):
     assert "Join" not in plan(QUERIES["reading_errors"](spark, SMALL))
+
+
+def test_only_boxes_in_conflict_are_chosen_among(spark):
+    from maskwright.operators import graph
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "early long, late long")
+    assert sorted(r.node for r in graph.outdone(pairs).collect()) == [2, 9]
