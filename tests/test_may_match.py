@@ -22,3 +22,16 @@ def test_no_line_with_a_finding_is_skipped(spark):
 
 def test_every_rule_says_what_it_needs():
     assert set(rules.NEEDS) == set(rules.BY_ID)
+
+
+def test_gates_only_try_words_where_their_first_characters_stand():
+    import re
+
+    from maskwright.functions.spans import by_first
+
+    assert by_first("Exp\\.?|Valid thru|有效期至?", True) == "(?:(?=[EVev][AXax])(?i:Exp\\.?|Valid thru)|(?=[一-鿿])(?:有效期至?))"
+    assert by_first("e-?mail|tel") == "(?=[et])(?:e-?mail|tel)"
+    for words in (rules._EXPIRY, rules._BIRTH, rules._PASSPORT, rules.NAME_LABELS, rules._PICKUP):
+        own = re.compile(by_first(words, True))
+        for word in words.replace("\\", "").replace("?", "").split("|"):
+            assert own.search(f"x{word.upper()}")
