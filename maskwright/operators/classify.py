@@ -22,7 +22,7 @@ from . import rules as R
 TITLES = "先生|女士|小姐|太太|夫人|老师|师傅|医生|大夫|教授|经理|主任|同学|阿姨|叔叔|律师|护士|队长|老板"
 PERSON_FIELDS = "手机号码?|手机|联系电话|电话|身份证号?|证件号码?|乘客|旅客|入住人|住客|收件|收货|寄件|会员|车主|持卡人|持有人|学生|家长|患者|就诊人|性别|出生|国籍|民族|学号|工号|职务|职称|签名|法定代表人"
 TICKETS = "成人票|儿童票|学生票|婴儿票|成人|儿童|学生|婴儿"
-ENGLISH_FIELDS = r"(?i)(?<![A-Za-z])(?:passengers?|travell?ers?|guests?(?: name)?|recipient|attn|attention|customer name|patient|cardholder|account holder|date of birth|dob|nationality|gender|passport|seat|frequent flyer|member(?:ship)? no|mobile|phone|tel|e-?mail|signature|ship to|bill to|deliver to|contact)(?![A-Za-z])"
+ENGLISH_FIELDS = "passengers?|travell?ers?|guests? name|guests?|recipient|attn|attention|customer name|patient|cardholder|account holder|date of birth|dob|nationality|gender|passport|seat|frequent flyer|membership no|member no|mobile|phone|tel|e-?mail|signature|ship to|bill to|deliver to|contact"
 MASKED = r"(?<![0-9A-Za-z*＊•●])[0-9]{2,6}[*＊•●xX]{2,}[0-9Xx]{2,6}(?![0-9A-Za-z*＊•●])"
 ATTACHED, NEARBY = "attached", "nearby"
 _HAN = "一-鿿"
@@ -34,18 +34,22 @@ def _bare(found: Column) -> Column:
 
 
 def titles(text: Column) -> Column:
-    return _bare(S.find_spans(text, rf"(?:{TITLES})|(?<![A-Za-z])(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?(?![A-Za-z])"))
+    return _bare(S.find_spans(text, rf"{S.by_first(TITLES)}|{S.by_first('Mr|Mrs|Ms|Miss|Dr|Prof', behind='(?<![A-Za-z])')}\.?(?![A-Za-z])"))
 
 
 def nearby_anchors(text: Column) -> Column:
     """The places in a line that speak for a name near by."""
-    of_rules = [f.spans(text) for rule in ("phone", "email", "address") for f in R.BY_ID[rule].finders]
-    of_rules.append(P.resident_ids(text))
-    of_rules.append(F.filter(S.find_spans(text, r"(?<![0-9A-Za-z])[A-Z]{1,2}[0-9]{6}\([0-9A]\)"), lambda x: R.V.hkid(x["token"])))
-    words = rf"{MASKED}|(?<![{_HAN}A-Za-z])(?:{R.NAME_LABELS}|{PERSON_FIELDS})|(?<![{_HAN}A-Za-z])(?:{TICKETS})(?![{_HAN}])|{ENGLISH_FIELDS}"
-    of_rules.append(S.find_spans(text, words))
-    may = rf"{R.NEEDS['phone']}|{R.NEEDS['email']}|{R.NEEDS['address']}|(?:[0-9] ?){{15}}|\(|{words}"
-    return F.when(text.rlike(may), F.concat(*[_bare(x) for x in of_rules])).otherwise(F.array().cast(SPANS))
+    none = F.array().cast(SPANS)
+    # As in rules.hits, finders only run on lines that have what their matches need.
+    where = lambda needed, *found: F.when(needed, F.concat(*map(_bare, found))).otherwise(none)
+    of_rules = [where(text.rlike(R.NEEDS[rule]), *[f.spans(text) for f in R.BY_ID[rule].finders]) for rule in ("phone", "email", "address")]
+    of_rules.append(where(text.rlike("(?=[0-9])(?:[0-9] ?){15}"), P.resident_ids(text)))
+    of_rules.append(where(text.contains("("), F.filter(S.find_spans(text, r"(?<![0-9A-Za-z])[A-Z]{1,2}[0-9]{6}\([0-9A]\)"), lambda x: R.V.hkid(x["token"]))))
+    alone = f"(?<![{_HAN}A-Za-z])"
+    words = rf"(?=[0-9]){MASKED}|{S.by_first(f'{R.NAME_LABELS}|{PERSON_FIELDS}', behind=alone)}|{S.by_first(TICKETS, behind=alone)}(?![{_HAN}])|{S.by_first(ENGLISH_FIELDS, True, '(?<![A-Za-z])')}(?![A-Za-z])"
+    of_rules.append(_bare(S.find_spans(text, words)))
+    may = rf"{R.NEEDS['phone']}|{R.NEEDS['email']}|{R.NEEDS['address']}|(?=[0-9])(?:[0-9] ?){{15}}|\(|{words}"
+    return F.when(text.rlike(may), F.concat(*of_rules)).otherwise(none)
 
 
 def span_box(start: Column, end: Column) -> list[Column]:
@@ -63,23 +67,23 @@ def _marked() -> Column:
 
 
 def anchors(lines: DataFrame) -> DataFrame:
-    """(page_id, line_no, reach, start, end, l, t, r, b) of lines(page_id, line_no, text, l, t, r, b)."""
+    """(page_id, line_no, reach, text, start, end, l, t, r, b) of lines(page_id, line_no, text, l, t, r, b); the text only comes
+    with attached ones."""
     read = lines.withColumn("_t", half_width_digits(F.col("text")))
     found = read.withColumn("_a", _marked()).select("page_id", "line_no", "text", "l", "t", "r", "b", F.explode_outer("_a").alias("a")).where("a is not null")
-    return found.select("page_id", "line_no", "a.reach", "a.start", "a.end", *span_box(F.col("a.start"), F.col("a.end")))
+    return found.select("page_id", "line_no", "a.reach", F.when(F.col("a.reach") == ATTACHED, F.col("text")).alias("text"), "a.start", "a.end", *span_box(F.col("a.start"), F.col("a.end")))
 
 
-def supported(guesses: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of guesses(id, page_id, line_no, start, end, l, t, r, b) that an anchor supports.
+def supported(guesses: DataFrame, found: DataFrame) -> DataFrame:
+    """Ids of guesses(id, page_id, line_no, start, end, l, t, r, b) that one of the anchors found supports.
 
     An attached one touches the guess, or blanks only are between. A near one stands elsewhere on the same line; or shares
     half the lower height; or is at most a height and a half above or below and two heights aside, the higher box counting.
     """
-    text = lines.select("page_id", "line_no", "text")
-    close = guesses.alias("g").join(found.where(F.col("reach") == ATTACHED).alias("a"), ["page_id", "line_no"]).join(text, ["page_id", "line_no"])
+    close = guesses.alias("g").join(found.where(F.col("reach") == ATTACHED).alias("a"), ["page_id", "line_no"])
     low, high = F.least(F.col("g.end"), F.col("a.end")), F.greatest(F.col("g.start"), F.col("a.start"))
     touching = close.where(F.trim(F.substring("text", low + 1, F.greatest(high - low, F.lit(0)))) == "").select("id")
-    near = found.where(F.col("reach") == NEARBY)
+    near = found.where(F.col("reach") == NEARBY).drop("reach", "text")
     apart = (F.col("g.end") <= F.col("a.start")) | (F.col("a.end") <= F.col("g.start"))
     beside = guesses.alias("g").join(near.alias("a"), ["page_id", "line_no"]).where(apart).select("id")
     pairs = grid.near_pairs(guesses, near, reach=1.5).where("line_no <> line_no_2")
@@ -124,8 +128,10 @@ def classify(lines: DataFrame, states: dict[str, str] | None = None, floor: floa
         return hits
     ident = F.struct("page_id", "line_no", "start", "end")
     unsure = hits.where("guess").withColumn("id", ident)
-    pages = read.join(unsure.select("page_id").distinct(), "page_id", "left_semi")
-    good = supported(unsure.select("id", "page_id", "line_no", "start", "end", "l", "t", "r", "b"), anchors(pages), pages)
+    # Sizes of compressed files tell little of the rows in them: never broadcast.
+    pages = read.join(unsure.select("page_id").distinct().hint("merge"), "page_id", "left_semi")
+    # Guesses meet anchors in four joins: lines are read for anchors once.
+    good = supported(unsure.select("id", "page_id", "line_no", "start", "end", "l", "t", "r", "b"), once(anchors(pages)))
     kept_guesses = unsure.join(good, "id", "left_semi").drop("id")
     return hits.where(~F.col("guess")).unionByName(kept_guesses)
 

@@ -75,3 +75,45 @@ def test_only_boxes_in_conflict_are_chosen_among(spark):
 
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "early long, late long")
     assert sorted(r.node for r in graph.outdone(pairs).collect()) == [2, 9]
+
+
+@pytest.mark.parametrize("name", ["text_under_masks", "anchored_names"])
+def test_pages_are_dealt_once_over_all_tasks(spark, name, monkeypatch):
+    from maskwright.operators import classify
+
+    monkeypatch.setattr(classify, "once", lambda df: df)  # the plan as a whole
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SMALL))
+
+
+def test_pages_of_masks_are_shuffled_by_nothing_else(spark):
+    told = [x for x in plan(QUERIES["text_under_masks"](spark, SMALL)).splitlines() if "Exchange hashpartitioning" in x]
+    assert told and all("REPARTITION_BY_NUM" in x for x in told)
+
+
+def test_lines_are_read_for_anchors_once(spark, monkeypatch):
+    from maskwright.operators import classify
+
+    kept, whole = [], classify.once
+    monkeypatch.setattr(classify, "once", lambda df: kept.append(df.columns) or whole(df))
+    QUERIES["anchored_names"](spark, SMALL)
+    assert len(kept) == 2 and "reach" in kept[1]
+
+
+def test_spans_of_texts_that_have_the_mark(spark):
+    from maskwright.functions import spans as S
+    from pyspark.sql import functions as F
+
+    texts = ["ab12c3", "12", "", "none", f"a{S.MARK}1 22", f"{S.MARK}", "😀7 é8", None]
+    got = [r.x and [tuple(y) for y in r.x] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.find_spans(F.col("t"), "[0-9]+").alias("x")).orderBy("i").collect()]
+    assert got == [[(2, 4, "12"), (5, 6, "3")], [(0, 2, "12")], [], [], [(2, 3, "1"), (4, 6, "22")], [], [(1, 2, "7"), (4, 5, "8")], None]
+
+
+def test_text_under_a_turned_mask(spark):
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import page
+
+    glyphs = spark.createDataFrame([(1, 0, i, 10.0 * i, 5.0, c) for i, c in enumerate("abcde")] + [(1, 1, 0, 20.0, 9.0, None), (1, 2, 0, 20.0, 10.0, "z")], "page_id int, line_no int, i int, x double, y double, c string")
+    quad = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((20.0, 0.0), (30.0, 5.0), (20.0, 10.0), (10.0, 5.0))])
+    got = page.text_under(glyphs, spark.range(1).select(F.lit(1).alias("page_id"), F.lit(7).alias("id"), quad.alias("quad"))).collect()
+    assert [tuple(r) for r in got] == [(1, 7, "bcd /  / z")]
