@@ -99,13 +99,17 @@ def covered_glyphs(glyphs: DataFrame, masks: DataFrame) -> DataFrame:
 def text_under(glyphs: DataFrame, masks: DataFrame) -> DataFrame:
     """(page_id, id, text): per mask(page_id, id, quad), from its first to its last glyph(page_id, line_no, i, x, y, c) of each
     line, lines parted by ' / '."""
-    from ..functions.geometry import contains
+    from ..functions.geometry import bounds, contains
 
-    within = (F.col("g.page_id") == F.col("m.page_id")) & contains(F.col("m.quad"), F.col("g.x"), F.col("g.y"))
-    reach = glyphs.alias("g").join(masks.alias("m"), within).groupBy("g.page_id", "m.id", "g.line_no").agg(F.min("g.i").alias("lo"), F.max("g.i").alias("hi"))
+    # The bounds of a mask are worked out once for the mask; only pairs within them meet its quad. (1e-6: no pair is lost by rounding.)
+    edged = masks.withColumn("e", bounds(F.col("quad"))).select("page_id", "id", "quad", *[(F.col(f"e.{c}") + by).alias(c) for c, by in zip("ltrb", (-1e-6, -1e-6, 1e-6, 1e-6))])
+    near = F.col("g.x").between(F.col("m.l"), F.col("m.r")) & F.col("g.y").between(F.col("m.t"), F.col("m.b"))
+    within = (F.col("g.page_id") == F.col("m.page_id")) & near & contains(F.col("m.quad"), F.col("g.x"), F.col("g.y"))
+    reach = glyphs.alias("g").join(edged.alias("m"), within).groupBy("g.page_id", "m.id", "g.line_no").agg(F.min("g.i").alias("lo"), F.max("g.i").alias("hi"))
     cut = glyphs.join(reach, ["page_id", "line_no"]).where("i between lo and hi")
-    line = cut.groupBy("page_id", "id", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "").alias("part"))
-    return line.groupBy("page_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"]), " / ").alias("text"))
+    found = cut.groupBy("page_id", "id").agg(F.sort_array(F.collect_list(F.struct("line_no", "i", "c"))).alias("_all"))
+    parted = lambda x, k: F.when(F.get("_all", k - 1)["line_no"] != x["line_no"], F.concat(F.lit(" / "), F.coalesce(x["c"], F.lit("")))).otherwise(x["c"])
+    return found.select("page_id", "id", F.array_join(F.transform("_all", parted), "").alias("text"))
 
 
 def tapped(touches: DataFrame, masks: DataFrame) -> DataFrame:

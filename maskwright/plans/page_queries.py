@@ -63,7 +63,7 @@ h AS (SELECT g.page_id, m.line_no AS id, g.line_no, min(g.i) AS lo, max(g.i) AS
 p AS (SELECT g.page_id, id, g.line_no, string_agg(c, '' ORDER BY i) AS part FROM g JOIN h ON g.page_id = h.page_id AND g.line_no = h.line_no AND g.i BETWEEN lo AND hi GROUP BY ALL)
 SELECT page_id, id, string_agg(part, ' / ' ORDER BY line_no) AS text FROM p GROUP BY ALL""")
 def text_under_masks(spark, sf_dir):
-    x = boxes_of(spark, sf_dir)
+    x = boxes_of(spark, sf_dir, by_page=True)
     glyphs = x.select("page_id", (F.col("l") % 3).alias("line_no"), F.col("line_no").alias("i"), ((F.col("l") + F.col("r")) / 2).alias("x"), ((F.col("t") + F.col("b")) / 2).alias("y"), F.char(F.lit(64) + F.col("line_no")).alias("c"))
     return page.text_under(glyphs, x.select("page_id", F.col("line_no").alias("id"), _quad().alias("quad")))
 
