@@ -77,11 +77,11 @@ def spans_of(length: Column, tile: int, overlap: int) -> Column:
     return F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
 
 
-def bands(pages: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
-    """(page_id, k, top, bottom): overlapping bands over the height of pages(page_id, height)."""
+def bands(pages: DataFrame, size: int = 256, overlap: int = 64, *keep: str) -> DataFrame:
+    """(page_id, k, top, bottom): overlapping bands over the height of pages(page_id, height), with columns of the pages to keep."""
     starts = spans_of(F.col("height").cast("int"), size, overlap)
-    cut = pages.select("page_id", "height", F.posexplode(starts).alias("k", "top"))
-    return cut.select("page_id", "k", "top", F.least(F.col("top") + size, F.col("height").cast("int")).alias("bottom"))
+    cut = pages.select("*", F.posexplode(starts).alias("k", "top"))
+    return cut.select("page_id", *keep, "k", "top", F.least(F.col("top") + size, F.col("height").cast("int")).alias("bottom"))
 
 
 def merged_tiles(lines: DataFrame, tile: int) -> DataFrame:

@@ -77,6 +77,18 @@ def test_only_boxes_in_conflict_are_chosen_among(spark):
     assert sorted(r.node for r in graph.outdone(pairs).collect()) == [2, 9]
 
 
+def test_boxes_cut_by_seams_are_shuffled_once_as_order_lines(spark, monkeypatch):
+    from maskwright.operators import graph, seams
+
+    told, whole = [], seams.once
+    for module in (seams, graph):
+        monkeypatch.setattr(module, "once", lambda df: told.append(plan(df)) or whole(df))
+    told.append(plan(QUERIES["seamless_boxes"](spark, SMALL)))
+    shuffles = [x for one in told for x in one.splitlines() if "Exchange" in x]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
+    assert not any("Join" in one for one in told)
+
+
 @pytest.mark.parametrize("name", ["text_under_masks", "anchored_names"])
 def test_pages_are_dealt_once_over_all_tasks(spark, name, monkeypatch):
     from maskwright.operators import classify

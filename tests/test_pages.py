@@ -45,6 +45,72 @@ def test_seams(spark):
     assert sorted((x.l, x.t, x.r, x.b, x.pieces) for x in got) == [(10, 10, 50, 30, 1), (10, 110, 50, 130, 1), (200, 90, 240, 400, 4), (300, 401, 340, 450, 1)]
 
 
+def _merged(boxes, bands, most=0.5):
+    """What merged_bands() states, for the boxes (k, l, t, r, b) of one page, in plain Python."""
+    size = lambda x: (x[3] - x[1]) * (x[4] - x[2])
+    both = lambda x, y: max(min(x[3], y[3]) - max(x[1], y[1]), 0) * max(min(x[4], y[4]) - max(x[2], y[2]), 0)
+    covers = lambda x, y: both(x, y) > 0 and both(x, y) / min(size(x), size(y)) > most
+    kept, pieces, groups = [], [], []
+    for x in sorted(boxes):
+        top, bottom, height = bands[x[0]]
+        if top > 0 and x[2] < top + seams.EDGE or bottom < height and x[4] > bottom - seams.EDGE:
+            pieces.append(x)
+        elif not any(y[0] != x[0] and covers(y, x) for y in kept):
+            kept.append(x)
+    for x in pieces:
+        if not any(covers(y, x) for y in kept):
+            near = [g for g in groups if any(both(x, y) > 0 for y in g)]
+            groups = [g for g in groups if g not in near] + [sum(near, [x])]
+    return sorted((len(g), *[float(pick(y[n] for y in g)) for n, pick in ((1, min), (2, min), (3, max), (4, max))]) for g in [[x] for x in kept] + groups)
+
+
+def test_seams_of_pages_merged_in_place_and_by_rounds(spark, monkeypatch):
+    r = random.Random(3)
+    edges = {k: (k * 90, k * 90 + 150, 510) for k in range(5)}
+    pages = {f"p{p}": [] for p in range(12)}
+    for p, boxes in enumerate(pages.values()):
+        for _ in range((1, 3, 8, 40)[p % 4]):
+            l, t, w, h = r.randint(0, (60, 400)[p % 2]), r.randint(0, 505), r.choice([0, 4, 30, 90]), r.choice([-3, 0, 3, 20, 60, 300])
+            for k, (top, bottom, _) in edges.items():
+                if t < bottom and t + h > top or r.random() < 0.02:  # as it is cut, or found a little beside it
+                    boxes.append((k, l + r.choice([0, 0, 1]), max(t, top) if r.random() < 0.9 else t, l + w, min(t + h, bottom)))
+    rows = [(p, k, i, *map(float, box)) for p, boxes in pages.items() for i, (k, *box) in enumerate(boxes)]
+    table = spark.createDataFrame(rows, "page_id string, k int, i int, l double, t double, r double, b double").repartition(3)
+    bands = spark.createDataFrame([(p, k, *at) for p in pages for k, at in edges.items()], "page_id string, k int, top int, bottom int, height int")
+    wanted = sorted((p, *x) for p, boxes in pages.items() for x in _merged(boxes, edges))
+    most_in_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most_in_batch)
+    try:
+        for most, size in ((2000, 10_000), (2000, 7), (20, 7), (1, 3)):  # batches end within pages; pages may be too large
+            monkeypatch.setattr(seams, "MOST", most)
+            spark.conf.set(most_in_batch, size)
+            got = seams.merged_bands(table, bands).collect()
+            assert sorted((x.page_id, x.pieces, x.l, x.t, x.r, x.b) for x in got) == wanted
+    finally:
+        spark.conf.set(most_in_batch, before)
+
+
+def test_seams_of_a_page_that_meets_in_many_pairs(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    l, t = r.integers(0, 300, (2, 500)).astype(float)
+    edges = np.repeat([0, 1, 2], [300, 0, 200]), l, t, l + 40, t + r.integers(1, 90, 500)
+    pairs = sorted((i, j) for i in range(500) for j in range(i) if edges[0][i] == edges[0][j] and min(edges[3][i], edges[3][j]) > max(l[i], l[j]) and min(edges[4][i], edges[4][j]) > max(t[i], t[j]))
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(seams, "PAIRS", most)
+        x, y, _ = seams._meeting(*edges)
+        assert sorted(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist())) == pairs
+
+
+def test_seams_of_boxes_without_numbers(spark):
+    nan, band = float("nan"), (0, 150, 150)
+    rows = [(1, 0, 0, 1.0, 10.0, 5.0, 20.0, *band), (2, 0, 0, nan, 10.0, 5.0, 20.0, *band), (2, 0, 1, 10.0, 40.0, 50.0, 60.0, *band), (None, 0, 0, 1.0, 10.0, 5.0, 20.0, *band)]
+    found = spark.createDataFrame(rows, "page_id long, k int, i int, l double, t double, r double, b double, top int, bottom int, height int")
+    got = seams.merged(found.coalesce(1)).collect()
+    assert sorted((x.page_id or 0, str(x.l), x.t) for x in got) == [(0, "1.0", 10.0), (1, "1.0", 10.0), (2, "10.0", 40.0), (2, "nan", 10.0)]
+
+
 def test_glyphs_and_doubles(spark):
     lines = [(1, 0, "a中 b", 0.9, 0.0, 0.0, 50.0, 10.0), (1, 1, "a中 b", 0.8, 1.0, 0.0, 50.0, 10.0), (1, 2, "", 0.9, 0.0, 40.0, 0.0, 50.0), (2, 0, "a中 b", 0.8, 1.0, 0.0, 50.0, 10.0)]
     kept = glyphs.distinct_lines(spark.createDataFrame(lines, BOX))
